@@ -150,8 +150,8 @@ def satellite_rows(change_log: DataFrame, commits: DataFrame, key_columns: dict[
     def events_of(log: DataFrame) -> DataFrame:
         # the old image only matters where it is whole
         log = log.withColumns({"full_old": F.coalesce(full, F.lit(False)), "old_image": F.when(full, F.col("old_decoded")).otherwise(empty)})
-        events = replay.row_events(replay.committed(log, commits), key_columns, ["message_time", "full_old", "old_image"])
-        return replay.complete_moves(replay.sliced(events, hot), widths, hot is not None)
+        events = replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"])
+        return replay.complete_moves(replay.committed(replay.sliced(events, hot), commits), widths, hot is not None)
 
     columns = [*replay.EVENT_COLUMNS, "message_time", "full_old", F.col("old_image").alias("old_decoded")]
     events = events_of(change_log).select(*columns)

@@ -37,9 +37,9 @@ DROP, PUT, PATCH = 0, 1, 2
 EVENT_COLUMNS = ["table_name", "row_key", "slice", "seq", "kind", "cols", "moved_from", "tie"]
 
 
-def committed(change_log: DataFrame, commits: DataFrame) -> DataFrame:
-    """Changes whose transaction (slot_name, xid) is among the commits. Spark broadcasts the commits only if they are small."""
-    return change_log.join(commits.select("slot_name", "xid"), ["slot_name", "xid"], "left_semi")
+def committed(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    """Rows whose transaction (slot_name, xid) is among the commits. Spark broadcasts the commits only if they are small."""
+    return rows.join(commits.select("slot_name", "xid"), ["slot_name", "xid"], "left_semi")
 
 
 def key_from(image: Column, table: Column, key_columns: dict[str, list[str]]) -> Column:
@@ -52,7 +52,7 @@ def key_from(image: Column, table: Column, key_columns: dict[str, list[str]]) ->
 
 
 def row_events(changes: DataFrame, key_columns: dict[str, list[str]], extra: list[str] | None = None) -> DataFrame:
-    """Events of committed changes, with the ``extra`` columns carried along."""
+    """Events of changes, with the ``extra`` columns carried along. Made before any shuffle, so that only what a replay needs travels."""
     extra = extra or []
     old_key = key_from(F.col("old_decoded"), F.col("table_name"), key_columns)
     moved = (F.col("op") == "U") & old_key.isNotNull() & (old_key != F.col("row_key"))
@@ -233,7 +233,7 @@ def current_state(change_log: DataFrame, commits: DataFrame, key_columns: dict[s
     """
     log = change_log if columns else change_log.withColumn("new_decoded", F.lit(None).cast("map<string,string>"))
     hot = hot_rows_of(change_log.select("table_name", "row_key", "lsn"), hot_rows)
-    events = sliced(row_events(committed(log, commits), key_columns), hot)
+    events = committed(sliced(row_events(log, key_columns, ["slot_name", "xid"]), hot), commits)
     if columns:
         events = complete_moves(events, narrow_moves(change_log, key_columns), hot is not None)
     state = fold(events.select(*EVENT_COLUMNS), hot is not None).filter(F.col("kind") != DROP)
