@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.plans import change_queries
+from tidelog.plans import change_queries, log_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(change_queries.QUERIES)
+    return change_queries.QUERIES | log_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(change_queries.ORACLE)
+    return change_queries.ORACLE | log_queries.ORACLE
