@@ -218,9 +218,9 @@ def complete_moves(events: DataFrame, widths: dict[str, int], any_hot: bool, max
         todo = got.filter(F.col("moved_from").isNotNull() & (F.size("cols") < width)).select("table_name", "row_key", "seq", F.col("moved_from").alias("source"), "before")
     if not found:
         return events
-    older = reduce(DataFrame.unionByName, found).groupBy("table_name", "row_key", "seq").agg(F.sort_array(F.collect_list(F.struct("before", "cols"))).alias("past"))
+    older = reduce(DataFrame.unionByName, found).groupBy("table_name", "row_key", "seq").agg(F.sort_array(F.collect_list(F.struct("before", F.map_entries("cols").alias("cols")))).alias("past"))
     merge = lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
-    base = F.aggregate("past", F.create_map().cast("map<string,string>"), lambda acc, p: merge(acc, p["cols"]))
+    base = F.aggregate("past", F.create_map().cast("map<string,string>"), lambda acc, p: merge(acc, F.map_from_entries(p["cols"])))
     filled = events.filter(short).join(older, ["table_name", "row_key", "seq"], "left")
     filled = filled.withColumn("cols", F.when(F.col("past").isNull(), F.col("cols")).otherwise(merge(base, F.col("cols"))))
     return events.filter(~short).unionByName(filled.select(*events.columns))
