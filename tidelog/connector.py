@@ -25,11 +25,11 @@ class Connector:
         self.frames_path, self.tables, self.checkpoint = frames_path, tables or {}, checkpoint
         self._query: StreamingQuery | None = None
 
-    def changes(self, starting_lsn: int = 0, ack_file: str | None = None) -> DataFrame:
+    def changes(self, starting_lsn: int = 0, ack_file: str | None = None, max_files: int = 64) -> DataFrame:
         """Delivered changes as a stream, filtered by the publication and without heartbeat rows."""
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         self.spark.dataSource.register(ReplicationSource)
-        reader = self.spark.readStream.format(ReplicationSource.name()).option("path", self.frames_path).option("startingLsn", str(starting_lsn))
+        reader = self.spark.readStream.format(ReplicationSource.name()).option("path", self.frames_path).option("startingLsn", str(starting_lsn)).option("maxFiles", str(max_files))
         stream = assemble_stream((reader.option("ackFile", ack_file) if ack_file else reader).load())
         p = self.config.publication
         if p.operations:
