@@ -132,7 +132,8 @@ class Assembly(StatefulProcessor):
             counts[str(xid)] = n + 1
         kept["state"] = slot_rules.state
         self.control.update((json.dumps(kept),))
-        yield pd.DataFrame(out, columns=_FIELDS) if out else pd.DataFrame({f: [] for f in _FIELDS})
+        if out:
+            yield pd.DataFrame(out, columns=_FIELDS)
 
     def close(self) -> None:
         pass
