@@ -148,9 +148,9 @@ def unescape(line: str) -> str | None:
 # --- plausibility ------------------------------------------------------------
 
 # Letters of Russian and Ukrainian, from frequent to rare.
-_CYRILLIC = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъёіїєґ"
+_CYRILLIC = "оеаинтсрвлікмдпуяыьгзбчйхжшюїєцщэфґъё"
 _GREEK = "αοιετσνηυρπκμλςωδγχθφβξζψίόέάήύώϊϋΐΰ"
-_CYRILLIC_COST = {c: 0.55 + 0.015 * i for i, c in enumerate(_CYRILLIC)}
+_CYRILLIC_COST = {c: 0.55 + 0.025 * i for i, c in enumerate(_CYRILLIC)}
 # Accented letters of the languages that texts here are commonly written in, and signs used in running text.
 _LATIN = "áàâäãåçéèêëíìîïñóòôöõøúùûüýÿßæœąćęłńśźżčďěňřšťůžğışőűđðþ"
 _SIGNS = "’“”–—…•·°±µ©®™€£§«»¿¡×÷½¼¾²³→←↑↓⇒≤≥≠≈‘"
@@ -162,6 +162,8 @@ _WRONG_PLACE = frozenset("²³¹ªºµ¼½¾¿¡¢£¤¥¦§¨©«¬®¯°±´¶
 def _char(c: str) -> tuple[float, str]:
     """(cost, class) of one non-ASCII character."""
     o = ord(c)
+    if o >= 0x10000:
+        return (1.4, "sign") if 0x1F000 <= o < 0x1FB00 else (4.5, "other" if o < 0xF0000 else "bad")
     if o < 0xA0 or c == LOST or 0xE000 <= o < 0xF900 or o >= 0xF0000:
         return 5.0, "bad"
     if c == " ":
@@ -170,22 +172,22 @@ def _char(c: str) -> tuple[float, str]:
         return 1.0, "upper" if c.isupper() else "lower"
     if 0x400 <= o < 0x530:
         low = c.lower()
-        return (_CYRILLIC_COST.get(low, 3.0) + (0.25 if c != low else 0), "cyr_u" if c != low else "cyr")
+        return (_CYRILLIC_COST.get(low, 3.0), "cyr_u" if c != low else "cyr")
     if 0x370 <= o < 0x400:
         low = c.lower()
         return (0.8 if low in _GREEK else 1.8), ("gre_u" if c != low else "gre")
     if 0x3041 <= o < 0x3100:
         return 0.9, "kana"
     if 0x4E00 <= o < 0xA000:
-        for enc, first, last in (("gb2312", 0xB0, 0xD7), ("euc_jp", 0xB0, 0xCF)):
+        for enc, first, last, kind in (("euc_jp", 0xB0, 0xCF, "han"), ("gb2312", 0xB0, 0xD7, "han_cn")):
             try:
                 if first <= c.encode(enc)[0] <= last:
-                    return 1.2, "han"
+                    return 1.2, kind
             except UnicodeEncodeError:
                 pass
         try:
             c.encode("gb2312")
-            return 1.9, "han"
+            return 1.9, "han_cn"
         except UnicodeEncodeError:
             return 2.3, "han"
     if 0xAC00 <= o < 0xD7A4:
@@ -205,8 +207,9 @@ def _char(c: str) -> tuple[float, str]:
     return 2.4, "other"
 
 
-_SCRIPT = {"upper": "l", "lower": "l", "ascii_u": "l", "ascii_l": "l", "cyr": "c", "cyr_u": "c", "gre": "g", "gre_u": "g", "han": "h", "kana": "h", "hangul": "k"}
+_SCRIPT = {"upper": "l", "lower": "l", "ascii_u": "l", "ascii_l": "l", "cyr": "c", "cyr_u": "c", "gre": "g", "gre_u": "g", "han": "h", "han_cn": "h", "kana": "h", "hangul": "k"}
 _NON_ASCII = re.compile("[^\x00-\x7f]+")
+_KANA = re.compile("[\u3041-\u30fe]")
 _CLOSING, _OPENING = frozenset("’”…»"), frozenset("“‘«¿¡€£©±½•→")
 
 
@@ -221,6 +224,7 @@ def implausibility(line: str) -> tuple[float, bool]:
     ASCII costs nothing. A line in which nothing is odd needs no search.
     """
     total, odd = 0.0, 0.0
+    japanese = bool(_KANA.search(line))
     for m in _NON_ASCII.finditer(line):
         a, b = m.span()
         last = _ascii_kind(line[a - 1]) if a else ""
@@ -244,9 +248,13 @@ def implausibility(line: str) -> tuple[float, bool]:
                 caps = caps + 1 if kind in ("cyr_u", "gre_u") else 0
                 if caps > 1:
                     odd += 0.1  # capitals only: worth a search, not a fault
+                elif caps:
+                    cost += 0.25
                 if kind in ("cyr_u", "gre_u") and last in ("cyr", "gre"):
                     extra += 1.8
                 own = _SCRIPT[kind]
+                if japanese and kind == "han_cn":
+                    cost += 0.5  # Chinese characters that Japanese doesn't use
                 if last in _SCRIPT and _SCRIPT[last] != own:
                     extra += 0.8 if own in "hk" and last.startswith("ascii") else 1.8
             elif kind == "box":
@@ -281,7 +289,7 @@ def implausibility(line: str) -> tuple[float, bool]:
             if nxt.startswith("ascii"):
                 if last == "box" or (last in _SCRIPT and _SCRIPT[last] in "cg"):
                     total, odd = total + 1.5, odd + 1.5
-                elif last in ("han", "kana", "hangul"):
+                elif last in ("han", "han_cn", "kana", "hangul"):
                     total += 0.8
     return total, odd > 0
 
@@ -322,8 +330,13 @@ def _neighbours(line: str, pairs: bool) -> Iterator[tuple[str, str, float]]:
 @lru_cache(200_000)
 def restore_line(line: str) -> tuple[str, tuple[str, ...]]:
     """The cheapest text reachable from the line and the operations that lead there (none: it is fine as it is)."""
+    if _ENTITY.search(line):
+        plain = html.unescape(line)
+        new, path = restore_line(plain) if plain != line else (line, ())
+        if path:
+            return new, ("unescape", *path)
     start, odd = implausibility(line)
-    if not odd and not _ENTITY.search(line) and not any(_looks_utf8(w).search(line) for w in WRONG):
+    if not odd and not any(_looks_utf8(w).search(line) for w in WRONG):
         return line, ()
     best = (start - _MIN_GAIN, line, ())
     visited = {hash(line)}

@@ -158,6 +158,7 @@ def packed(documents: DataFrame, limits: DataFrame, *, ranks_path: str = DEFAULT
 
         def flush() -> Iterator[pa.RecordBatch]:
             name, shard = group
+            items.sort(key=lambda x: (x[3], x[2], x[0], x[1] or ""))
             rows = pack(items, packs[name], max_sources)
             for a in range(0, len(rows), 20_000):
                 part = rows[a : a + 20_000]
