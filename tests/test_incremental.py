@@ -65,7 +65,7 @@ def test_positions_and_messages(spark, change_rows, commit_rows):
     )
     assert [(r[0], int(r[1])) for r in incremental.confirmed_positions(info).collect()] == [("s", 0x20)]
     log = change_rows([(1, "s", "I", "t", 1, 5, "a", {"id": "a"}, None, None), (2, "s", "I", "t", 2, 6, "b", {"id": "b"}, None, None), (3, "s", "I", "t", 2, 6, "b", {"id": "b"}, None, None), (4, "t", "I", "t", 1, 5, "a", {"id": "a"}, None, None), (5, "s", "I", "t", 9, 7, "c", None, None, None)])
-    commits = spark.createDataFrame([("s", 1, 0x20), ("s", 2, 0x21), ("s", 2, 0x21), ("t", 1, 0x20)], "slot_name string, xid bigint, commit_lsn bigint")
+    commits = spark.createDataFrame([("s", 1, 0x20), ("s", 2, 0x21), ("s", 2, 0x21), ("t", 1, 0x20), ("s", 9, None)], "slot_name string, xid bigint, commit_lsn bigint")
     got = sorted(tuple(r)[:4] for r in incremental.unconfirmed_messages(log, commits, info).collect())
     assert got == [("s", 6, "t", "b"), ("t", 5, "t", "a")]
     assert incremental.unconfirmed_messages(log.limit(0), commits, info).count() == 0

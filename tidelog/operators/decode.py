@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidelog import storage
 from tidelog.operators.assemble import assemble, in_context
 from tidelog.sources import wire
 from tidelog.sources.frames import number
@@ -95,8 +96,12 @@ def bodies(rows: DataFrame) -> DataFrame:
 
 
 def change_events(frames: DataFrame, *, abort_scope: str = "transaction", block: int = 1 << 20) -> DataFrame:
-    """Frames to delivered change events; undecodable ones have an ``error``."""
-    rows = in_context(frames, block=block)
+    """Frames to delivered change events; undecodable ones have an ``error``.
+
+    The frames in context are written once to the shared folder: what follows reads
+    them several times, mostly a few narrow columns of the control frames.
+    """
+    rows = storage.materialize(in_context(frames, block=block), "frames")
     delivered = assemble(rows, abort_scope=abort_scope)
     named = with_relation(delivered, relations(rows)).withColumns({"table_schema": F.col("relation.table_schema"), "table_name": F.col("relation.table_name")})
     events = bodies(named).withColumnRenamed("tag", "op")

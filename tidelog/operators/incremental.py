@@ -123,8 +123,9 @@ def committed_messages(change_log: DataFrame, commits: DataFrame, positions: Dat
     positions (one row a slot) join last, when Spark knows how small they are.
     """
     narrow = hashed(change_log, MESSAGE, MESSAGE_CONTENT).select("slot_name", F.col("lsn").cast("bigint").alias("lsn"), "xid", "table_name", "row_key", "delivery_id", K1, K2, CONTENT)
-    ends = commits.groupBy("slot_name", "xid").agg(F.max(F.col("commit_lsn").cast("bigint")).alias("commit_lsn"))
-    ends = ends.join(positions, "slot_name", "left").select("slot_name", "xid", (F.col("commit_lsn") <= F.coalesce(F.col("position").cast("bigint"), F.lit(0))).alias("confirmed"))
+    number = "decimal(20,0)"  # positions fill 64 bits
+    ends = commits.filter(F.col("commit_lsn").isNotNull()).groupBy("slot_name", "xid").agg(F.max(F.col("commit_lsn").cast(number)).alias("commit_lsn"))
+    ends = ends.join(positions, "slot_name", "left").select("slot_name", "xid", (F.col("commit_lsn") <= F.coalesce(F.col("position").cast(number), F.lit(0).cast(number))).alias("confirmed"))
     return one_per_key(narrow.join(ends, ["slot_name", "xid"]), [F.col("delivery_id")])
 
 

@@ -19,10 +19,9 @@ def op_counts(changes: DataFrame, op: str = "op") -> DataFrame:
 
 
 def lag_behind_newest(changes: DataFrame, position: Column, out: str = "lag") -> DataFrame:
-    """Adds how far each row's position is behind the newest of all (one number, joined to every row)."""
-    newest = changes.agg(F.max(position).alias("__newest"))
-    # one row by construction: a global aggregate
-    return changes.join(F.broadcast(newest)).withColumn(out, F.greatest(F.col("__newest") - position, F.lit(0))).drop("__newest")
+    """Adds how far each row's position is behind the newest of all (one number, read first)."""
+    newest = changes.agg(F.max(position).cast("string")).first()[0]
+    return changes.withColumn(out, F.greatest(F.lit(newest).cast("decimal(20,0)") - position.cast("decimal(20,0)"), F.lit(0)).cast("decimal(20,0)"))
 
 
 def slot_status(slot_info: DataFrame) -> DataFrame:

@@ -40,10 +40,16 @@ def key_bounds(df: DataFrame, key: str) -> DataFrame:
 
 def range_chunks(bounds: DataFrame, size: int) -> DataFrame:
     """(chunk_index, range_start, range_end): inclusive ranges, the last one clipped; one open chunk for an empty table."""
+    return _range_chunks(bounds, size).drop("is_last_chunk")
+
+
+def _range_chunks(bounds: DataFrame, size: int) -> DataFrame:
     n = F.when(F.col("lo").isNull(), F.lit(1).cast("bigint")).otherwise(ceil_div(F.col("hi") - F.col("lo") + 1, size))
     i = F.col("chunk_index")
-    chunks = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk_index"))
-    return chunks.select("chunk_index", (F.col("lo") + i * size).alias("range_start"), F.least(F.col("lo") + i * size + (size - 1), "hi").alias("range_end"))
+    chunks = bounds.select("lo", "hi", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk_index"))
+    # least() skips nulls, so an empty table's range is kept null by its start
+    end = F.when(F.col("lo").isNotNull(), F.least(F.col("lo") + i * size + (size - 1), "hi"))
+    return chunks.select("chunk_index", (F.col("lo") + i * size).alias("range_start"), end.alias("range_end"), (i == F.col("n") - 1).alias("is_last_chunk"))
 
 
 def blocks_of(rows: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
@@ -80,8 +86,7 @@ def plan_chunks(df: DataFrame, spec: TableSpec, size: int, slot: str, lsn: int,
     """Chunk rows of one table as they are kept in the job's metadata, all pending."""
     strategy = choose_strategy(df.schema, list(spec.key), spec.strategy)
     if strategy == RANGE:
-        chunks = range_chunks(key_bounds(df, spec.key[0]), size)
-        chunks = chunks.withColumn("is_last_chunk", F.col("chunk_index") == F.max("chunk_index").over(Window.partitionBy(F.lit(0))))
+        chunks = _range_chunks(key_bounds(df, spec.key[0]), size)
     elif strategy == BLOCK:
         chunks = block_chunks(blocks_of(df, rows_per_block), size, rows_per_block)
     else:

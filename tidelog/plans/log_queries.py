@@ -122,7 +122,7 @@ def lsn_format_text(spark, sf):
 
 @_query("WITH $LOG SELECT frame_seq, greatest((SELECT max(lsn) FROM log) - lsn, 0) AS lag FROM log")
 def lsn_lag(spark, sf):
-    return monitor.lag_behind_newest(_log(spark, sf), F.col("lsn")).select("frame_seq", "lag")
+    return monitor.lag_behind_newest(_log(spark, sf), F.col("lsn")).select("frame_seq", F.col("lag").cast("bigint").alias("lag"))
 
 
 @_query("WITH $LOG SELECT op, count(*) AS n FROM log GROUP BY op")
