@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import lsn, naming, pgtypes
 from tidelog.sources import wire
-from tidelog.sources.frames import headers
+from tidelog.operators import decode, monitor
+from tidelog.sources.frames import headers, split_packets
 
 
 def test_relation_bytes():
@@ -106,3 +107,17 @@ def test_scalars(spark):
     assert naming.ceil_div(101, 25) == 5 and naming.next_delay(40, 2, 60) == 60
     assert naming.dsn("h", 1, "u@x", "p/w", "d") == "postgres://u%40x:p%2Fw@h:1/d"
     assert one.select(*naming.truncate_flags(F.lit(2))).first()[:] == (False, True)
+
+
+def test_packets_identity_and_typed_rows(spark):
+    rows = [("s", 1, bytearray(b"w" + struct.pack(">QQq", 5, 6, -1_000_000) + b"Exy")), ("s", 2, bytearray(b"k" + struct.pack(">QqB", 9, 0, 1))), ("s", 3, bytearray(b"k" + b"\0" * 16)), ("s", 4, None), ("s", 5, bytearray(b""))]
+    got = {r["frame_seq"]: r for r in split_packets(spark.createDataFrame(rows, "slot string, packet_seq bigint, data binary")).collect()}
+    assert (got[1]["kind"], int(got[1]["wal_start"]), int(got[1]["wal_end"]), bytes(got[1]["payload"])) == ("log", 5, 6, b"Exy") and got[1]["server_time"].year == 1999
+    assert got[2]["kind"] == "keepalive" and int(got[2]["wal_end"]) == 9 and got[2]["reply_wanted"]
+    assert [got[i]["kind"] for i in (3, 4, 5)] == ["error"] * 3
+    one = monitor.system_identity(spark.createDataFrame([("7", "1", "16/B374D848", "db")], "systemid string, timeline string, xlogpos string, dbname string")).first()
+    assert (one["system_id"], one["timeline"], int(one["position"]), one["database"]) == ("7", 1, 0x16B374D848, "db")
+    df = spark.createDataFrame([({"id": "1", "n": None},), ({"id": "x"},), (None,)], "after map<string,string>")
+    got = decode.typed_rows(df, [("id", 23, -1), ("n", 25, -1)], strict=True).collect()
+    assert [(r["id"], r["present"], r["error"]) for r in got] == [(1, ["id", "n"], None), (None, ["id"], "not of its type: id"), (None, None, None)]
+    assert naming.lock_key("ab") == 97 * 31 + 98 and naming.lock_key("x" * 50) >= 0

@@ -71,3 +71,12 @@ def dsn(host: str, port: int, user: str, password: str, database: str, params: d
 
 def operations_list(ops: list[str]) -> str:
     return ", ".join(ops)
+
+
+def lock_key(name: str) -> int:
+    """The number that stands for a name in an advisory lock: a 64-bit polynomial hash without its sign."""
+    h = 0
+    for b in name.encode("utf-8"):
+        h = (h * 31 + b) & 0xFFFFFFFFFFFFFFFF
+    h = h - (1 << 64) if h >> 63 else h
+    return abs(h) if h != -(1 << 63) else h

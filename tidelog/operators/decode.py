@@ -119,3 +119,20 @@ def dead_letters(frames: DataFrame) -> DataFrame:
 def truncated_tables(events: DataFrame) -> DataFrame:
     """One row for each table that a truncate names."""
     return events.filter("op = 'T'").select("slot", "frame_seq", F.explode("oids").alias("oid"), "cascade", "restart_identity")
+
+
+def typed_rows(changes: DataFrame, columns: list[tuple[str, int, int]], *, image: str = "after", strict: bool = False) -> DataFrame:
+    """Text images as typed columns (name, type oid, type modifier), plus which columns were ``present``.
+
+    A column that is absent (unchanged) and one that is null both come out null, so
+    ``present`` tells them apart. Text that doesn't fit its type gives null, and with
+    ``strict`` the row's ``error`` names the column.
+    """
+    from tidelog.functions.pgtypes import typed
+
+    value = lambda n: F.try_element_at(F.col(image), F.lit(n))
+    out = changes.withColumns({"present": F.sort_array(F.map_keys(image)), **{n: typed(value(n), oid, mod) for n, oid, mod in columns}})
+    if strict:
+        bad = F.concat_ws(", ", *(F.when(value(n).isNotNull() & typed(value(n), oid, mod).isNull(), F.lit(n)) for n, oid, mod in columns))
+        out = out.withColumn("error", F.when(bad != "", F.concat(F.lit("not of its type: "), bad)))
+    return out

@@ -57,3 +57,8 @@ def snapshot_metrics(chunks: DataFrame, host: str) -> DataFrame:
     values = {"in_progress": (F.col("completed_chunks") < F.col("total_chunks")).cast("int"), "total_tables": F.col("total_tables"), "completed_tables": F.col("completed_tables"), "total_rows": F.col("total_rows"), "duration_seconds": F.col("us") / 1e6, "total_chunks": F.col("total_chunks"), "completed_chunks": F.col("completed_chunks"), "active_workers": F.coalesce("active_workers", F.lit(0))}
     pairs = F.array(*(F.struct(F.lit(f"{PREFIX}_snapshot_{k}").alias("name"), v.cast("double").alias("value")) for k, v in values.items()))
     return s.select("slot_name", F.explode(pairs).alias("m")).select("m.name", "slot_name", F.lit(host).alias("host"), "m.value")
+
+
+def system_identity(rows: DataFrame) -> DataFrame:
+    """(system_id, timeline, position, database) from the one row of text that a server identifies itself with."""
+    return rows.select("systemid", F.col("timeline").try_cast("int").alias("timeline"), lsn_parse("xlogpos").alias("position"), F.col("dbname").alias("database")).withColumnRenamed("systemid", "system_id")

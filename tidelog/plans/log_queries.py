@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.functions.lsn import lsn_format
-from tidelog.functions.naming import latency_micros
-from tidelog.operators import apply, assemble, decode, monitor, publication, scan, snapshot
+from tidelog.functions.naming import latency_micros, qualified, replica_identity
+from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
 from tidelog.plans.source_tables import table
+from tidelog.sources.frames import split_packets
 from tidelog.sources.synthetic import LSN_STEP, ROOM, frames_of, log_of
 
 QUERIES: dict = {}
@@ -195,6 +196,35 @@ def snapshot_metrics(spark, sf):
     return monitor.snapshot_metrics(table(spark, sf, "snapshot_chunks"), "h").filter(F.col("name").isin(names))
 
 
+@_query("SELECT delivery_id, try_cast(new_decoded['id'] AS INTEGER) AS id, try_cast(new_decoded['user_id'] AS INTEGER) AS user_id, try_cast(new_decoded['amount'] AS DECIMAL(10,2)) AS amount, new_decoded['status'] AS status, len(map_keys(new_decoded))::INT AS n_present FROM change_log WHERE table_name = 'shop_orders' AND new_decoded IS NOT NULL")
+def typed_change_rows(spark, sf):
+    log = table(spark, sf, "change_log").filter("table_name = 'shop_orders' AND new_decoded IS NOT NULL")
+    typed = decode.typed_rows(log, [("id", 23, -1), ("user_id", 23, -1), ("amount", 1700, 655366), ("status", 25, -1)], image="new_decoded")
+    return typed.select("delivery_id", "id", "user_id", "amount", "status", F.size("present").alias("n_present"))
+
+
+@_query("SELECT delivery_id, list_sort(list_filter(map_keys(new_decoded), lambda k: k IN ('id', 'name', 'status')))::VARCHAR[] AS kept FROM change_log WHERE new_decoded IS NOT NULL")
+def change_column_list(spark, sf):
+    log = table(spark, sf, "change_log").filter("new_decoded IS NOT NULL")
+    return log.select("delivery_id", F.sort_array(F.map_keys(publication.keep_columns(F.col("new_decoded"), ["id", "name", "status"]))).alias("kept"))
+
+
+@_query("SELECT table_name, op, coalesce(old_kind, '-') AS old_kind, count(*) AS n, count(*) FILTER (WHERE old_decoded IS NOT NULL) AS with_old FROM change_log GROUP BY 1, 2, 3")
+def replica_identity_images(spark, sf):
+    log = table(spark, sf, "change_log")
+    return log.groupBy("table_name", "op", F.coalesce("old_kind", F.lit("-")).alias("old_kind")).agg(F.count(F.lit(1)).alias("n"), F.count("old_decoded").alias("with_old"))
+
+
+@_query("SELECT coalesce(table_schema, 'public') || '.' || table_name AS full_name, count(*) AS n FROM relation_log GROUP BY 1")
+def qualified_names(spark, sf):
+    return table(spark, sf, "relation_log").groupBy(qualified(F.col("table_schema"), F.col("table_name")).alias("full_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT relation_id, CASE replica_id WHEN 'd' THEN 'DEFAULT' WHEN 'f' THEN 'FULL' WHEN 'n' THEN 'NOTHING' WHEN 'i' THEN 'USING INDEX' ELSE replica_id END AS identity FROM relation_log")
+def replica_identity_names(spark, sf):
+    return table(spark, sf, "relation_log").select("relation_id", replica_identity(F.col("replica_id")).alias("identity"))
+
+
 # --- transactions ------------------------------------------------------------
 
 _ACK = "WITH $LOG, t AS (SELECT *, max(lsn) OVER (PARTITION BY xid) + 1 AS end_lsn, row_number() OVER (PARTITION BY xid ORDER BY frame_seq DESC) = 1 AS is_txn_last FROM log WHERE NOT streamed) SELECT frame_seq, xid, is_txn_last, CASE WHEN is_txn_last THEN end_lsn ELSE lsn END AS ack_lsn FROM t"
@@ -209,6 +239,12 @@ def txn_ack_lsn(spark, sf):
     return t.select("frame_seq", "xid", "is_txn_last", F.when(F.col("is_txn_last"), F.col("end_lsn")).otherwise(F.col("lsn")).alias("ack_lsn"))
 
 
+@_query("SELECT slot_name, xid, count(*) AS n, max(lsn)::BIGINT AS last_lsn FROM change_log WHERE (slot_name, xid) IN (SELECT (slot_name, xid) FROM wal_commits) GROUP BY 1, 2")
+def committed_transactions(spark, sf):
+    rows = replay.committed(table(spark, sf, "change_log"), table(spark, sf, "wal_commits"))
+    return rows.groupBy("slot_name", "xid").agg(F.count(F.lit(1)).alias("n"), F.max("lsn").cast("bigint").alias("last_lsn"))
+
+
 _COMMITTED = "WITH $LOG SELECT frame_seq, xid, op FROM log WHERE NOT (streamed AND aborted)"
 
 
@@ -270,6 +306,17 @@ def keyed_topic(spark, sf):
 # --- the same over encoded frames: encode, decode, assemble -------------------
 
 
+@_query("SELECT kind, count(*) AS n, max(wal_end) AS top FROM (SELECT 'log' AS kind, event_id + 1 AS wal_end FROM events UNION ALL SELECT 'keepalive', event_id + 5 FROM events WHERE event_id % 100 = 0) GROUP BY 1")
+def packets_split(spark, sf):
+    e, hex16 = F.col("event_id"), lambda c: F.lpad(F.hex(c), 16, "0")
+    log = F.concat(F.lit("77"), hex16(e), hex16(e + 1), hex16(F.lit(0)), F.hex(F.lit("E")))
+    alive = F.concat(F.lit("6B"), hex16(e + 5), hex16(F.lit(0)), F.lit("01"))
+    events = table(spark, sf, "events")
+    packet = lambda df, text: df.select(F.lit("s").alias("slot"), e.alias("packet_seq"), F.unhex(text).alias("data"))
+    packets = packet(events, log).unionByName(packet(events.filter(e % 100 == 0), alive))
+    return split_packets(packets).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("wal_end").cast("bigint").alias("top"))
+
+
 def _delivered(spark: SparkSession, sf: str) -> DataFrame:
     return decode.change_events(frames_of(table(spark, sf, "events"))).filter("op IN ('I', 'U', 'D')").withColumn("event_seq", F.floor(F.col("frame_seq") / ROOM).cast("bigint"))
 

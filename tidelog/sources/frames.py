@@ -54,3 +54,25 @@ def _at(tag: Column, whole: Column, payload: Column, places: dict[str, int], wid
         value = number(payload, position, width)
         out = F.when((tag == t) & whole, value) if out is None else out.when((tag == t) & whole, value)
     return out
+
+
+def split_packets(packets: DataFrame) -> DataFrame:
+    """Copy-data packets (slot, packet_seq, data) to rows with ``kind``: log data, keepalive or an error.
+
+    Log data become frames (wal_start, wal_end, server_time, payload); keepalives only
+    move the received position and may ask for a reply.
+    """
+    d, tag = F.col("data"), F.decode(F.substring("data", 1, 1), "ISO-8859-1")
+    log, alive = (tag == "w") & (F.length(d) >= 25), (tag == "k") & (F.length(d) == 18)
+    kind = F.when(log, "log").when(alive, "keepalive").otherwise("error")
+    signed = lambda c: F.when(c >= F.lit(str(1 << 63)).cast("decimal(20,0)"), c - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(c)
+    return packets.select(
+        "slot",
+        F.col("packet_seq").alias("frame_seq"),
+        kind.alias("kind"),
+        F.when(log, number(d, 2, 8)).alias("wal_start"),
+        F.when(log, number(d, 10, 8)).when(alive, number(d, 2, 8)).alias("wal_end"),
+        source_time(signed(F.when(log, number(d, 18, 8)).when(alive, number(d, 10, 8)))).cast("timestamp_ntz").alias("server_time"),
+        F.when(alive, F.substring(d, 18, 1) == F.unhex(F.lit("01"))).alias("reply_wanted"),
+        F.when(log, F.substring(d, 26, 2147483647)).alias("payload"),
+    )

@@ -85,6 +85,9 @@ class ReplicationReader(DataSourceStreamReader):
 
     def commit(self, end: dict) -> None:
         self.confirmed = max(self.confirmed, int(end["lsn"]))
+        self._report()
+
+    def _report(self) -> None:
         if self.ack:
             import time
 
@@ -95,7 +98,8 @@ class ReplicationReader(DataSourceStreamReader):
             os.replace(tmp, self.ack)
 
     def stop(self) -> None:
-        pass
+        if self.confirmed:  # a last report, if anything was confirmed
+            self._report()
 
 
 class ReplicationSource(DataSource):
