@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidelog import storage
 from tidelog.functions.lsn import lsn_format
 from tidelog.functions.naming import latency_micros, qualified, replica_identity
 from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
 from tidelog.plans.source_tables import table
-from tidelog.sources.frames import split_packets
+from tidelog.sources.frames import FRAMES, split_packets
 from tidelog.sources.synthetic import LSN_STEP, ROOM, frames_of, log_of
 
 QUERIES: dict = {}
@@ -347,3 +348,50 @@ def wire_roundtrip_commit_order(spark, sf):
 def wire_roundtrip_images(spark, sf):
     after = lambda k: F.try_element_at("after", F.lit(k))
     return _delivered(spark, sf).select(F.col("event_seq").alias("frame_seq"), "op", F.try_element_at("before", F.lit("id")).cast("bigint").alias("old_pk"), after("id").cast("bigint").alias("new_pk"), after("value").cast("double").alias("value"), after("props").alias("props"))
+
+
+# --- the same as streams: frames in files, stateful assembly, sinks ------------
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Captured frames of the whole table in order, followed as a stream in micro-batches of some files."""
+    from tidelog.sources.replication import ReplicationSource
+    from tidelog.streaming.assembly import ROCKSDB, assemble_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.dataSource.register(ReplicationSource)
+    folder = storage.fresh_dir(spark, "frames")
+    events = table(spark, sf, "events")
+    files = -(-events.count() // 50_000)
+    frames_of(events).repartitionByRange(max(1, files), "frame_seq").sortWithinPartitions("frame_seq").write.parquet(folder)
+    return assemble_stream(spark.readStream.format(ReplicationSource.name()).option("path", folder).option("maxFiles", "4").load())
+
+
+def _until_read(writer) -> None:
+    """A source without the AvailableNow trigger is followed until it has nothing new."""
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+@_query(_COMMITTED.replace("SELECT frame_seq, xid", "SELECT frame_seq, xid + 1 AS xid"))
+def stream_roundtrip_committed(spark, sf):
+    out = storage.fresh_dir(spark, "delivered")
+    _until_read(_stream(spark, sf).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
+    rows = spark.read.parquet(out).filter("op IN ('I', 'U', 'D')")
+    return rows.select(F.floor(F.col("frame_seq") / ROOM).cast("bigint").alias("frame_seq"), "xid", "op")
+
+
+@_query("""WITH $LOG, e AS (SELECT *, CASE WHEN streamed THEN max(frame_seq) OVER (PARTITION BY xid) ELSE frame_seq END AS emit_seq FROM log WHERE NOT (streamed AND aborted)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY emit_seq DESC, frame_seq DESC) rn FROM e) SELECT pk, value FROM r WHERE rn = 1 AND op <> 'D'""")
+def stream_into_table(spark, sf):
+    current = apply.CurrentTable(spark, storage.fresh_dir(spark, "table"), ["pk"], "seq")
+    changes = _stream(spark, sf).filter("op IN ('I', 'U', 'D')")
+    image = F.coalesce("after", "before")
+    # the place in delivery: first the commit, then the frame
+    seq = F.struct("emit_seq", "frame_seq")
+    keyed = changes.select(F.get_json_object(image, "$.id").cast("bigint").alias("pk"), F.get_json_object(image, "$.value").cast("double").alias("value"), "op", seq.alias("seq"))
+    _until_read(keyed.writeStream.foreachBatch(current.apply).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
+    return current.rows().select("pk", "value")

@@ -27,6 +27,14 @@ class TimelineSwitch(RuntimeError):
     """The server's history went on under another timeline; positions no longer compare."""
 
 
+def _filesystem(path: str):
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if "://" in path:
+        return FileSystem.from_uri(path)
+    return LocalFileSystem(), path.removeprefix("file:")
+
+
 class FrameRange(InputPartition):
     def __init__(self, file: str, low: int, high: int):
         self.file, self.low, self.high = file, low, high
@@ -35,7 +43,10 @@ class FrameRange(InputPartition):
 class ReplicationReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options.get("path")
-        if not self.path or not os.path.isdir(self.path):
+        if not self.path:
+            raise ValueError("no folder of frames")
+        self.fs, self.folder = _filesystem(self.path)
+        if not self.fs.get_file_info(self.folder).is_file and self.fs.get_file_info(self.folder).type.name != "Directory":
             raise ValueError(f"no folder of frames: {self.path!r}")
         self.start = int(options.get("startinglsn", options.get("startingLsn", "0")))
         self.ack = options.get("ackfile", options.get("ackFile"))
@@ -44,23 +55,47 @@ class ReplicationReader(DataSourceStreamReader):
             raise TimelineSwitch(f"timeline {options['servertimeline']} instead of {options['timeline']}")
         self.reached = self.start
         self.confirmed = 0
+        self.ranges: dict[str, tuple[int, int] | None] = {}
+
+    def __getstate__(self) -> dict:  # file systems don't travel to the executors
+        return {k: v for k, v in self.__dict__.items() if k != "fs"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.fs, self.folder = _filesystem(self.path)
 
     def _files(self) -> list[tuple[str, int, int]]:
         """(file, lowest, highest position) from the footers."""
-        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSelector
 
         out = []
-        for name in sorted(os.listdir(self.path)):
-            if not name.endswith(".parquet"):
+        for info in sorted(self.fs.get_file_info(FileSelector(self.folder)), key=lambda i: i.path):
+            file = info.path
+            if not file.endswith(".parquet"):
                 continue
-            file = os.path.join(self.path, name)
-            meta = pq.read_metadata(file)
-            at = meta.schema.names.index("wal_start")
-            stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
-            if stats and all(s is not None and s.has_min_max for s in stats):
-                out.append((file, min(int(s.min) for s in stats), max(int(s.max) for s in stats)))
+            if file not in self.ranges:  # files never change
+                self.ranges[file] = self._range(file)
+            if self.ranges[file]:
+                out.append((file, *self.ranges[file]))
         return sorted(out, key=lambda f: f[2])
 
+    def _range(self, file: str) -> tuple[int, int] | None:
+        import pyarrow.parquet as pq
+
+        with self.fs.open_input_file(file) as f:
+            meta = pq.read_metadata(f)
+        at = meta.schema.names.index("wal_start")
+        stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        if stats and all(s is not None and s.has_min_max for s in stats):
+            return min(int(s.min) for s in stats), max(int(s.max) for s in stats)
+        if not stats:
+            return None
+        import pyarrow.compute as pc
+
+        with self.fs.open_input_file(file) as f:
+            ends = pc.min_max(pq.read_table(f, columns=["wal_start"])["wal_start"]).as_py()
+        return int(ends["min"]), int(ends["max"])
+
     def initialOffset(self) -> dict:  # noqa: N802
         return {"lsn": self.start}
 
@@ -78,7 +113,7 @@ class ReplicationReader(DataSourceStreamReader):
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        file = pq.ParquetFile(partition.file)
+        file = pq.ParquetFile(self.fs.open_input_file(partition.file))
         for batch in file.iter_batches(batch_size=8192):
             at = pc.cast(batch.column(batch.schema.names.index("wal_start")), pa.int64())
             yield batch.filter(pc.and_(pc.greater_equal(at, partition.low), pc.less(at, partition.high))).select([c.split()[0] for c in FRAMES.split(", ")])
