@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -168,6 +169,8 @@ def _char(c: str) -> tuple[float, str]:
         return 5.0, "bad"
     if c == " ":
         return 1.5, "sign"
+    if c in "œŒ":
+        return 1.3, "upper" if c == "Œ" else "lower"
     if c in _LATIN_SET:
         return 1.0, "upper" if c.isupper() else "lower"
     if 0x400 <= o < 0x530:
@@ -241,6 +244,8 @@ def implausibility(line: str) -> tuple[float, bool]:
                     extra += 0.3 if run == 2 else 1.0
                 if kind == "upper" and last in ("lower", "ascii_l"):
                     extra += 1.8
+                elif kind == "upper" and last in ("upper", "ascii_u") and line[i + 1 : i + 2].islower():
+                    extra += 0.5
                 if last in _SCRIPT and _SCRIPT[last] != "l" or last in ("box", "half"):
                     extra += 1.8
             elif kind in _SCRIPT:
@@ -269,11 +274,11 @@ def implausibility(line: str) -> tuple[float, bool]:
                 nxt = _char(line[i + 1])[1] if i + 1 < b else (_ascii_kind(line[i + 1]) if i + 1 < len(line) else "")
                 before, after = last in _SCRIPT or last in ("sign?", "other", "bad"), nxt in _SCRIPT
                 if c in _CLOSING:
-                    extra += 0.0 if not after or (c == "’" and before) else 1.5 if before else 0.6
+                    extra += 0.0 if not after or (c == "’" and before) else 1.8 if before else 0.6
                 elif c in _OPENING:
                     extra += 1.2 if before else 0.0
                 elif kind == "sign":
-                    extra += 0.8 * before + 0.8 * after
+                    extra += 0.8 * before + (0.0 if c in "µ°" else 1.2 if c in "™®÷¬" else 0.8) * after
                 else:
                     extra += 1.0 * before + 0.6 * after
                 if last == "box":
@@ -297,7 +302,7 @@ def implausibility(line: str) -> tuple[float, bool]:
 # --- search ------------------------------------------------------------------
 
 #: What a restored line must gain, what each operation and each that isn't about UTF-8 costs, and how many states a line may reach.
-_MIN_GAIN, _OP_COST, _PAIR_COST, _MAX_STATES = 0.3, 0.35, 1.0, 400
+_MIN_GAIN, _OP_COST, _PAIR_COST, _MAX_STATES = 0.3, 0.35, 0.85, 400
 
 
 _WIDE_CHAR = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
@@ -365,27 +370,48 @@ def restore_line(line: str) -> tuple[str, tuple[str, ...]]:
 _LINE = re.compile(r"[^\r\n]+")
 
 
+def _again(line: str, path: tuple[str, ...]) -> str | None:
+    """The line after a single known operation, if that makes it more plausible."""
+    wrong, right = path[0].split(">")
+    new = undo_pair(line, wrong, right)
+    return new if new is not None and implausibility(new)[0] < implausibility(line)[0] - _MIN_GAIN else None
+
+
 def restore_text(text: str) -> tuple[str, int, int]:
-    """(restored text, garbled lines restored, lines with characters lost). Line ends stay as they are."""
-    fixed = lost = 0
+    """(restored text, garbled lines restored, lines with characters lost). Line ends stay as they are.
 
-    def line(m: re.Match) -> str:
-        nonlocal fixed, lost
+    A text is usually garbled in one way: where lines differ in the (non-UTF-8)
+    operation found, the text's most frequent one is preferred if it fits.
+    """
+    lines: dict[str, tuple[str, tuple[str, ...]]] = {}
+    lost = 0
+    for m in _LINE.finditer(text):
         s = m[0]
-        if s.isascii() and "&" not in s:
-            return s
-        # indentation and diff marks aren't part of what is looked up again and again
-        body = s.lstrip(" \t+-#/*")
         if LOST in s:
             lost += 1
-            return s
-        new, path = restore_line(body)
-        if path:
-            fixed += 1
-            return s[: len(s) - len(body)] + new
-        return s
-
-    return _LINE.sub(line, text), fixed, lost
+        elif not s.isascii() or "&" in s:
+            # indentation and diff marks aren't part of what is looked up again and again
+            body = s.lstrip(" \t+-#/*")
+            found = restore_line(body)
+            if found[1]:
+                lines[s] = (s[: len(s) - len(body)] + found[0], found[1])
+    if not lines:
+        return text, 0, lost
+    single = Counter(p for _, p in lines.values() if len(p) == 1 and p[0] != "unescape" and not p[0].endswith("utf-8"))
+    if len(single) > 1:
+        common = min(single, key=lambda p: (-single[p], p))
+        for s, (_, p) in list(lines.items()):
+            if p in single and p != common and (new := _again(s, common)) is not None:
+                lines[s] = (new, common)
+    fixed = 0
+
+    def replace(m: re.Match) -> str:
+        nonlocal fixed
+        found = lines.get(m[0])
+        fixed += found is not None
+        return found[0] if found else m[0]
+
+    return _LINE.sub(replace, text), fixed, lost
 
 
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("restored", pa.string()), ("lines_restored", pa.int32()), ("lines_lost", pa.int32())])
