@@ -44,7 +44,7 @@ def test_copies_across_batches_late_and_out_of_order(spark, tmp_path):
     # the third batch arrives before the second: smaller ids come later
     parts[1], parts[2] = parts[2], parts[1]
     folder, cp = str(tmp_path / "in"), str(tmp_path / "cp")
-    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"))
+    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"), max_segments=2)
     for part in parts[:4]:
         write(spark, folder, [part])
         surplus(spark, folder, store, cp)
@@ -53,6 +53,7 @@ def test_copies_across_batches_late_and_out_of_order(spark, tmp_path):
     got = surplus(spark, folder, store, cp)
     assert len(got) == len(set(got)) and set(got) == expected(rows)
     assert store.log()["watermark"] is not None and len(store.log()["batches"]) >= 5
+    assert len(store.log()["segments"]) <= 2
     # running it again changes nothing
     assert sorted(surplus(spark, folder, store, cp)) == sorted(got)
 

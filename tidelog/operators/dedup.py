@@ -36,20 +36,27 @@ _SEGMENT = "k1 bigint, k2 bigint, id bigint, slot bigint"
 
 
 class SeenStore:
-    """Identifiers seen so far, as segments by batch; see the module's text."""
+    """Identifiers seen so far, as segments by batch; see the module's text.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    When there are more than ``max_segments``, they are merged into one, ordered by
+    slot, so that looking up a few slots reads a few row groups.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, max_segments: int = 64):
+        self.spark, self.path, self.max_segments = spark, path.rstrip("/"), max_segments
 
     def log(self) -> dict:
         text = storage.read_text(self.spark, f"{self.path}/COMMITTED")
-        return json.loads(text) if text else {"batch": -1, "watermark": None, "batches": []}
+        return json.loads(text) if text else {"batch": -1, "watermark": None, "batches": [], "segments": []}
 
     def _segments(self, log: dict) -> DataFrame | None:
-        paths = [f"{self.path}/seen/batch={b}" for b in log["batches"]]
-        if not paths:
-            return None
-        return self.spark.read.schema(_SEGMENT).option("basePath", f"{self.path}/seen").parquet(*paths)
+        return self.spark.read.schema(_SEGMENT).parquet(*(f"{self.path}/seen/{s}" for s in log["segments"])) if log["segments"] else None
+
+    def _merged(self, log: dict) -> dict:
+        name = f"merged-{log['batch']}"
+        rows = self._segments(log).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("slot").alias("slot"))
+        rows.repartitionByRange("slot").sortWithinPartitions("slot").write.mode("overwrite").parquet(f"{self.path}/seen/{name}")
+        return log | {"segments": [name]}
 
     def surplus(self) -> DataFrame:
         """(id) of every surplus copy of the committed batches."""
@@ -86,11 +93,15 @@ class SeenStore:
             surplus = batch.join(kept.select("k1", "k2", "kept"), ["k1", "k2"]).filter(F.col("id") != F.col("kept")).select("id")
             surplus = surplus.unionByName(kept.filter(F.col("was") > F.col("kept")).select(F.col("was").alias("id")))
             segment = kept.filter(F.col("was").isNull() | (F.col("own") < F.col("was"))).select("k1", "k2", F.col("own").alias("id"), "slot")
-        segment.write.mode("overwrite").parquet(f"{self.path}/seen/batch={number}")
+        segment.write.mode("overwrite").parquet(f"{self.path}/seen/batch-{number}")
         surplus.write.mode("overwrite").parquet(f"{self.path}/surplus/batch={number}")
-        top = self.spark.read.schema(_SEGMENT).parquet(f"{self.path}/seen/batch={number}").agg(F.max("slot")).first()[0]
+        top = self.spark.read.schema(_SEGMENT).parquet(f"{self.path}/seen/batch-{number}").agg(F.max("slot")).first()[0]
         mark = max(x for x in (log["watermark"], top - horizon if top is not None else None, -(1 << 62)) if x is not None)
-        storage.swap_text(self.spark, f"{self.path}/COMMITTED", json.dumps({"batch": number, "watermark": mark, "batches": [*log["batches"], number]}))
+        log = {"batch": number, "watermark": mark, "batches": [*log["batches"], number], "segments": [*log["segments"], f"batch-{number}"]}
+        merge = len(log["segments"]) > self.max_segments
+        storage.swap_text(self.spark, f"{self.path}/COMMITTED", json.dumps(self._merged(log) if merge else log))
+        for old in log["segments"] if merge else ():  # nobody but the one writer reads them
+            storage.delete(self.spark, f"{self.path}/seen/{old}")
 
 
 def surplus_copies(stream: DataFrame, keys: list[str], id_column: str, slot: Column, *, horizon: int, store: SeenStore | None = None, checkpoint: str | None = None) -> DataFrame:
