@@ -36,6 +36,7 @@ def test_only_new_and_changed_records(spark):
     # what a run doesn't see stays known
     assert run(spark, st, [("b", None, {}, None)]) == []
     assert run(spark, st, []) == []
+    assert st.version == 7 and st.table().count() == 3
 
 
 def test_a_failed_run_is_taken_again(spark):

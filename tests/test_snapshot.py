@@ -67,6 +67,22 @@ def test_events_markers_and_job_state(spark):
     assert [r["id"] for r in last] == [60]
 
 
+def test_shared_folder(spark):
+    from tidelog import storage
+
+    path = storage.fresh_dir(spark, "test")
+    assert path.startswith(storage.shared_root(spark)) and not storage.exists(spark, path)
+    assert storage.read_text(spark, f"{path}/x") is None and storage.children(spark, path) == []
+    storage.swap_text(spark, f"{path}/x", "one")
+    storage.swap_text(spark, f"{path}/x", "twö")
+    assert storage.read_text(spark, f"{path}/x") == "twö" and [c for c in storage.children(spark, path) if not c.endswith(".crc")] == ["x"]
+    assert storage.is_file(spark, f"{path}/x") and not storage.is_file(spark, path)
+    made = storage.materialize(spark.range(3), "test")
+    assert made.count() == 3
+    storage.delete(spark, path)
+    assert not storage.exists(spark, path)
+
+
 def test_conditions():
     publication.check_condition(None), publication.check_condition("  "), publication.check_condition("updated_at > '2024'")
     for bad in ("a; b", "a -- b", "a /* b", "$$x$$", "x = 'drop'", "DO", "a or Delete"):
@@ -128,6 +144,8 @@ def test_metrics(spark):
     assert got["cdc_snapshot_total_rows"] == 100 and got["cdc_snapshot_completed_tables"] == 1 and got["cdc_snapshot_active_workers"] == 0
     info = spark.createDataFrame([("s", True, "0/10", "0/20", "0/30", "reserved", "2025-01-01 00:00:00", 1), ("s", False, "0/40", "1/0", "0/50", "lost", "2025-01-02 00:00:00", 2)], "slot_name string, active boolean, restart_lsn string, confirmed_flush_lsn string, current_lsn string, wal_status string, polled_at string, poll_id bigint")
     got = {r["name"].rsplit("slot_", 1)[1]: r["value"] for r in monitor.slot_metrics(info, "h").collect()}
+    lines = [r["line"] for r in monitor.exposition(spark.createDataFrame([("m", 'a"b', "h", 1.5), ("m", None, "h", None)], "name string, slot_name string, host string, value double")).collect()]
+    assert lines == ['m{slot_name="a\\"b",host="h"} 1.5']
     assert got["lag"] == 0 and got["retained_wal_size"] == 0x10 and got["is_active"] == 0
 
 

@@ -60,8 +60,8 @@ class CurrentTable:
         merged = new if known is None else latest(known.unionByName(new, allowMissingColumns=True), self.keys, self.seq)
         data = f"{self.path}/v-{(now.get('version') or 0) + 1}-{batch_id if batch_id is not None else 'x'}"
         merged.write.mode("overwrite").parquet(data)
-        storage.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps({"version": (now.get("version") or 0) + 1, "data": data, "batch": batch_id if batch_id is not None else now.get("batch")}))
-        if now.get("previous"):
+        storage.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps({"version": (now.get("version") or 0) + 1, "data": data, "batch": batch_id if batch_id is not None else now.get("batch"), "previous": now.get("data")}))
+        if now.get("previous"):  # readers of the last version may still be at work
             storage.delete(self.spark, now["previous"])
 
 

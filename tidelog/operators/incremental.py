@@ -72,8 +72,8 @@ class IncrementalState:
             storage.delete(self.spark, state)
             raise ConcurrentRun(f"{self.path}: version {self.version}, this run began from {based_on}")
         old = self._current()
-        storage.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps({"version": based_on + 1, "state": state}))
-        if old["version"] and old.get("previous"):
+        storage.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps({"version": based_on + 1, "state": state, "previous": old.get("state")}))
+        if old.get("previous"):  # the version before the last: no run that began on it can commit any more
             storage.delete(self.spark, old["previous"])
         return based_on + 1
 

@@ -62,3 +62,9 @@ def snapshot_metrics(chunks: DataFrame, host: str) -> DataFrame:
 def system_identity(rows: DataFrame) -> DataFrame:
     """(system_id, timeline, position, database) from the one row of text that a server identifies itself with."""
     return rows.select("systemid", F.col("timeline").try_cast("int").alias("timeline"), lsn_parse("xlogpos").alias("position"), F.col("dbname").alias("database")).withColumnRenamed("systemid", "system_id")
+
+
+def exposition(metrics: DataFrame) -> DataFrame:
+    """(line) of metrics (name, slot_name, host, value) in the text format that scrapers read."""
+    label = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\"), '"', r'\\"')
+    return metrics.filter("value is not null").select(F.concat(F.col("name"), F.lit('{slot_name="'), label(F.col("slot_name")), F.lit('",host="'), label(F.col("host")), F.lit('"} '), F.col("value").cast("string")).alias("line"))

@@ -23,8 +23,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_root(spark)}/tidelog/{purpose}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/tidelog/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete everything this process put into the shared folder; DataFrames made from it are void then."""
+    for path in _made:
+        delete(spark, path)
+    n = len(_made)
+    _made.clear()
+    return n
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
