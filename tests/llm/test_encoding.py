@@ -64,3 +64,16 @@ def test_documents(spark):
     got = [(x["doc_id"], x["restored"]) for x in encoding.garbled(df).collect() if x["doc_id"] != 7]
     assert sorted(got, key=str) == sorted([(4, TEXTS[0]), (4, TEXTS[0]), (None, TEXTS[1]), (6, "ok\n" * 5000 + TEXTS[2] + "\n" + "x" * 100_000)], key=str)
     assert encoding.garbled(df.limit(0)).count() == 0
+
+
+def test_spaces_that_were_part_of_a_character():
+    assert encoding.restore_line("å\x8d ç\x94¨ – ok")[0] == "占用 – ok"
+    assert encoding.restore_line("grÃ¢ce Ã  un")[0] == "grâce à un"
+    assert encoding.restore_line("à la Ã  b")[1] == ()
+
+
+def test_a_text_is_garbled_in_one_way():
+    lines = ["Pøidej ètení øádkù ne¾ zaène pøenos", "b³±d po³±czenia ¿eby unikn±æ", "ètení øádkù"]
+    whole = encoding.restore_text("\n".join(lines))
+    # the last line has nothing odd in it and stays
+    assert whole == ("Přidej čtení řádků než začne přenos\nbłąd połączenia żeby uniknąć\nètení øádkù", 2, 0)

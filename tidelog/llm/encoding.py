@@ -65,6 +65,8 @@ def _to_bytes(encoding: str) -> dict[int, int]:
 
 
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+#: Often a non-breaking space became a plain one afterwards; where a line holds valid sequences, those with a space in its place count too.
+_UTF8_SPACED = re.compile(_UTF8.pattern + "|[\xe1-\xec\xee\xef](?:[\x80-\xbf] | [\x80-\xbf])|[\xc2-\xc5] ")
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#x[0-9A-Fa-f]{2,5}|[A-Za-z]{2,8}\d?);")
 _OUT = re.compile("[\U000f0080-\U000f00ff]")
 
@@ -87,9 +89,9 @@ def undo_utf8(line: str, wrong: str) -> str | None:
     if not _looks_utf8(wrong).search(line):
         return None
     moved = line.translate(_to_bytes(wrong))
-    fixed, n = _UTF8.subn(lambda m: "\x00" + m[0].encode("latin-1").decode("utf-8") + "\x00", moved)
-    if not n:
+    if not _UTF8.search(moved):
         return None
+    fixed = _UTF8_SPACED.sub(lambda m: "\x00" + m[0].replace(" ", "\xa0").encode("latin-1").decode("utf-8") + "\x00", moved)
     # what wasn't part of a sequence goes back to what it was
     back = _from_bytes(wrong)
     parts = fixed.split("\x00")
@@ -384,6 +386,7 @@ def restore_text(text: str) -> tuple[str, int, int]:
     operation found, the text's most frequent one is preferred if it fits.
     """
     lines: dict[str, tuple[str, tuple[str, ...]]] = {}
+    open_lines: set[str] = set()
     lost = 0
     for m in _LINE.finditer(text):
         s = m[0]
@@ -395,11 +398,16 @@ def restore_text(text: str) -> tuple[str, int, int]:
             found = restore_line(body)
             if found[1]:
                 lines[s] = (s[: len(s) - len(body)] + found[0], found[1])
+            elif implausibility(body)[1]:
+                open_lines.add(s)
     if not lines:
         return text, 0, lost
     single = Counter(p for _, p in lines.values() if len(p) == 1 and p[0] != "unescape" and not p[0].endswith("utf-8"))
-    if len(single) > 1:
+    if single:
         common = min(single, key=lambda p: (-single[p], p))
+        for s in open_lines:  # too little in the line alone, but the text's other lines say what happened
+            if (new := _again(s, common)) is not None:
+                lines[s] = (new, common)
         for s, (_, p) in list(lines.items()):
             if p in single and p != common and (new := _again(s, common)) is not None:
                 lines[s] = (new, common)
