@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.naming import next_delay, snapshot_slot_name
 from tidelog.operators import publication as pub, snapshot as snap
+from tidelog.session import ship
 from tidelog.sources.config import Config, read_config
 from tidelog.sources.replication import ReplicationSource
 from tidelog.streaming.assembly import ROCKSDB, assemble_stream
@@ -21,6 +22,7 @@ class Connector:
 
     def __init__(self, spark: SparkSession, config: Config | str, frames_path: str | None = None, tables: dict[str, DataFrame] | None = None, checkpoint: str | None = None):
         self.spark = spark
+        ship(spark)
         self.config = (read_config(config) if isinstance(config, str) else config).validate()
         self.frames_path, self.tables, self.checkpoint = frames_path, tables or {}, checkpoint
         self._query: StreamingQuery | None = None

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tidelog.session import travel_by_value
 from tidelog.sources import wire
 from tidelog.sources.frames import FRAMES
 
@@ -147,3 +148,6 @@ class ReplicationSource(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return ReplicationReader(dict(self.options))
+
+
+travel_by_value(__name__, wire.__name__)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.operators.decode import decode_body
+from tidelog.session import travel_by_value
 from tidelog.sources import wire
 
 OUTPUT = (
@@ -146,3 +147,6 @@ def assemble_stream(frames: DataFrame) -> DataFrame:
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+travel_by_value(__name__, decode_body.__module__, wire.__name__)
