@@ -25,6 +25,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidelog import storage
+
 STEP = ["origin", "table_name", "subject", "rank", "step_no", "columns"]
 _COLUMNS = "array<struct<name:string,type:string>>"
 
@@ -98,6 +100,7 @@ def record_file_steps(files: DataFrame) -> DataFrame:
     Types are the JSON types, whole and broken numbers apart (``integer``, ``number``).
     """
     parts = files.select("table_name", "file_no", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), "record_json").mapInArrow(_headers, _PART)
+    parts = storage.materialize(parts, "headers")  # read twice below, and far smaller than the files
     key = ["table_name", "file_no", "taken_at"]
     by_type = parts.filter("field is not null").groupBy(*key, "field", "type").agg(F.sum("n").alias("n"))
     # a field is a number if most of its values are numbers of either kind
