@@ -117,16 +117,18 @@ def confirmed_positions(slot_info: DataFrame) -> DataFrame:
 
 
 def committed_messages(change_log: DataFrame, commits: DataFrame, positions: DataFrame) -> DataFrame:
-    """Hashed messages of committed transactions, one per message, and whether the slot's position covers them.
+    """Messages of committed transactions, one per message, with content hash and whether the slot's position covers them.
 
-    Only keys and hashes travel: the maps are hashed in the scan's stage. The
-    positions (one row a slot) join last, when Spark knows how small they are.
+    The maps are hashed in the scan's stage, so they don't travel; key hashes are
+    cheap to make from the key and only made where they are needed. The positions
+    (one row a slot) join last, when Spark knows how small they are.
     """
-    narrow = hashed(change_log, MESSAGE, MESSAGE_CONTENT).select("slot_name", F.col("lsn").cast("bigint").alias("lsn"), "xid", "table_name", "row_key", "delivery_id", K1, K2, CONTENT)
+    narrow = change_log.select("slot_name", F.col("lsn").cast("bigint").alias("lsn"), "xid", "table_name", "row_key", "delivery_id", hash64(change_log, MESSAGE_CONTENT, 3).alias(CONTENT))
     number = "decimal(20,0)"  # positions fill 64 bits
     ends = commits.filter(F.col("commit_lsn").isNotNull()).groupBy("slot_name", "xid").agg(F.max(F.col("commit_lsn").cast(number)).alias("commit_lsn"))
     ends = ends.join(positions, "slot_name", "left").select("slot_name", "xid", (F.col("commit_lsn") <= F.coalesce(F.col("position").cast(number), F.lit(0).cast(number))).alias("confirmed"))
-    return one_per_key(narrow.join(ends, ["slot_name", "xid"]), [F.col("delivery_id")])
+    # of repeated deliveries the first one's content counts
+    return narrow.join(ends, ["slot_name", "xid"]).groupBy(*MESSAGE).agg(F.min_by(CONTENT, F.coalesce("delivery_id", F.lit(0))).alias(CONTENT), F.max("confirmed").alias("confirmed"))
 
 
 def unconfirmed_messages(change_log: DataFrame, wal_commits: DataFrame, slot_info: DataFrame) -> DataFrame:
@@ -136,7 +138,9 @@ def unconfirmed_messages(change_log: DataFrame, wal_commits: DataFrame, slot_inf
     confirmed, whatever failed since; the current rows are then compared with it.
     """
     spark = change_log.sparkSession
-    current = storage.materialize(committed_messages(change_log, wal_commits, confirmed_positions(slot_info)), "messages")
+    messages = storage.materialize(committed_messages(change_log, wal_commits, confirmed_positions(slot_info)), "messages")
+    k1, k2 = hash128(messages, MESSAGE)
+    current = messages.withColumns({K1: k1, K2: k2})
     state = IncrementalState(spark, storage.fresh_dir(spark, "slots"))
     state.commit(current.filter("confirmed"), 0)
     return state.select(current).select("slot_name", "lsn", "table_name", "row_key", STATUS)
