@@ -77,3 +77,21 @@ def test_a_text_is_garbled_in_one_way():
     whole = encoding.restore_text("\n".join(lines))
     # the last line has nothing odd in it and stays
     assert whole == ("Přidej čtení řádků než začne přenos\nbłąd połączenia żeby uniknąć\nètení øádkù", 2, 0)
+
+
+def test_wrong_letters_that_are_letters_of_another_language(spark):
+    czech = ["čtení řádků když není žádný výstup", "při čtení řádků není žádný výstup"]
+    turkish = ["bağlantıyı yeniden başlatınca", "boş anahtarı yeniden doğrula"]
+    french = ["après l’écriture côté réplique ça échoue", "où la mémoire était déjà pleine"]
+    good = [x for x in (*czech, *turkish, *french, "São Ângelo", "við það", *FINE) for _ in range(3)]
+    bad = [(garble(czech[0], "cp1250", "cp1252"), czech[0]), (garble(turkish[0], "cp1254", "latin-1"), turkish[0])]
+    rows = [*enumerate(good), *((1000 + i, "a good line\n- // " + b) for i, (b, _) in enumerate(bad))]
+    got = encoding.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["restored"], r["lines_restored"]) for r in got) == [(1000 + i, "a good line\n- // " + x, 1) for i, (_, x) in enumerate(bad)]
+
+
+def test_the_better_operation_of_a_line_is_kept():
+    czech = "zpožděný záznam než začne přenos"
+    known = encoding.Company(dict.fromkeys(encoding.company_of(czech), 50))
+    lines = [*(garble(f"{x} přenos čtení", "iso8859-2", "latin-1") for x in ("řádků", "dlouhý řetězec", "příliš")), garble(czech, "cp1250", "cp1252")]
+    assert encoding.restore_text("\n".join(lines), known)[0].split("\n")[-1] == czech

@@ -11,6 +11,11 @@ UTF-8 shows itself, so for it only the byte sequences that are valid are decoded
 and the rest of the line stays: a garbled passage in a good line is found. Other
 encodings must explain the whole non-ASCII part of the line.
 
+Wrong letters that are all letters of some language look fine one by one. What gives
+them away is their company: letter pairs and triples are counted over all documents,
+and a line whose letters keep rare company, while an operation gives it a common
+one, is restored too (``Company``).
+
 Characters lost for good (U+FFFD stands where they were) mark a line as garbled
 that can't be restored; nothing is invented in their place.
 
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -369,24 +375,87 @@ def restore_line(line: str) -> tuple[str, tuple[str, ...]]:
     return best[1], best[2]
 
 
+# --- company of letters ------------------------------------------------------
+
+#: What the letters' company must gain (log of the documents that have it) in a line alone, and where other lines of the text say what happened.
+_MIN_COMPANY, _SOME_COMPANY = 3.0, 0.5
+#: Documents that must have a pair or triple for it to count as known, and how many of these are kept at most, the most frequent ones.
+_KNOWN, _MAX_COMPANY = 2, 100_000
+
+_WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0370-\u03ff\u0400-\u052f\u1e00-\u1eff]+")
+
+
+@lru_cache(100_000)
+def _company(word: str) -> tuple[str, ...]:
+    """Pairs and triples of letters and word ends that hold a letter outside ASCII."""
+    w = f" {word.lower()} "
+    return tuple(x for n in (2, 3) for i in range(len(w) - n + 1) if not (x := w[i : i + n]).isascii())
+
+
+def company_of(text: str) -> set[str]:
+    return {x for word in set(_WORD.findall(text)) if not word.isascii() for x in _company(word)}
+
+
+class Company:
+    """In how many documents each pair and triple stands, and what an operation gains by it."""
+
+    def __init__(self, documents: dict[str, int]):
+        self.documents = documents
+
+    def score(self, line: str) -> tuple[float, int, int]:
+        """(sum of logs, how many, documents of the rarest)"""
+        n = [self.documents.get(x, 0) for word in _WORD.findall(line) if not word.isascii() for x in _company(word)]
+        return sum(math.log(x + 0.5) for x in n), len(n), min(n, default=0)
+
+    def gain(self, line: str, new: str) -> float:
+        """0 where the two don't compare: signs became letters, or the new letters keep company that isn't known."""
+        (before, n, _), (after, m, rarest) = self.score(line), self.score(new)
+        return after - before if n == m and rarest >= _KNOWN else 0.0
+
+    def restore(self, line: str) -> tuple[str, tuple[str, ...]]:
+        """The line after the operation that gains most, if that is enough."""
+        best = (_MIN_COMPANY, line, ())
+        if self.score(line)[1]:
+            limit = implausibility(line)[0] + 0.5
+            tried = set()
+            for wrong, right in PAIRS:
+                new = undo_pair(line, wrong, right)
+                if new is None or new in tried:
+                    continue
+                tried.add(new)
+                if (gain := self.gain(line, new)) > best[0] and implausibility(new)[0] <= limit:
+                    best = (gain, new, (f"{wrong}>{right}",))
+        return best[1], best[2]
+
+
+@lru_cache(200_000)
+def _restored(company: Company, line: str) -> tuple[str, tuple[str, ...]]:
+    return company.restore(line)
+
+
 _LINE = re.compile(r"[^\r\n]+")
 
 
-def _again(line: str, path: tuple[str, ...]) -> str | None:
-    """The line after a single known operation, if that makes it more plausible."""
+def _again(line: str, path: tuple[str, ...], company: Company | None = None) -> str | None:
+    """The line after a single known operation, if that makes it more plausible or gives its letters better company."""
     wrong, right = path[0].split(">")
     new = undo_pair(line, wrong, right)
-    return new if new is not None and implausibility(new)[0] < implausibility(line)[0] - _MIN_GAIN else None
+    if new is None:
+        return None
+    cheaper = implausibility(line)[0] - implausibility(new)[0]
+    return new if cheaper > _MIN_GAIN or (company and cheaper >= -0.5 and company.gain(line, new) > _SOME_COMPANY) else None
 
 
-def restore_text(text: str) -> tuple[str, int, int]:
+def restore_text(text: str, company: Company | None = None) -> tuple[str, int, int]:
     """(restored text, garbled lines restored, lines with characters lost). Line ends stay as they are.
 
     A text is usually garbled in one way: where lines differ in the (non-UTF-8)
-    operation found, the text's most frequent one is preferred if it fits.
+    operation found, the text's most frequent one is preferred if it fits. With the
+    company of letters in all documents every non-ASCII line is searched, without it
+    only those in which something is odd.
     """
     lines: dict[str, tuple[str, tuple[str, ...]]] = {}
-    open_lines: set[str] = set()
+    open_lines: dict[str, None] = {}
     lost = 0
     for m in _LINE.finditer(text):
         s = m[0]
@@ -396,20 +465,22 @@ def restore_text(text: str) -> tuple[str, int, int]:
             # indentation and diff marks aren't part of what is looked up again and again
             body = s.lstrip(" \t+-#/*")
             found = restore_line(body)
+            if not found[1] and company:
+                found = _restored(company, body)
             if found[1]:
                 lines[s] = (s[: len(s) - len(body)] + found[0], found[1])
-            elif implausibility(body)[1]:
-                open_lines.add(s)
+            elif company or implausibility(body)[1]:
+                open_lines[s] = None
     if not lines:
         return text, 0, lost
     single = Counter(p for _, p in lines.values() if len(p) == 1 and p[0] != "unescape" and not p[0].endswith("utf-8"))
     if single:
         common = min(single, key=lambda p: (-single[p], p))
         for s in open_lines:  # too little in the line alone, but the text's other lines say what happened
-            if (new := _again(s, common)) is not None:
+            if (new := _again(s, common, company)) is not None:
                 lines[s] = (new, common)
         for s, (_, p) in list(lines.items()):
-            if p in single and p != common and (new := _again(s, common)) is not None:
+            if p in single and p != common and (new := _again(s, common)) is not None and not (company and company.gain(new, lines[s][0]) > _SOME_COMPANY):
                 lines[s] = (new, common)
     fixed = 0
 
@@ -425,11 +496,25 @@ def restore_text(text: str) -> tuple[str, int, int]:
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("restored", pa.string()), ("lines_restored", pa.int32()), ("lines_lost", pa.int32())])
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(1).to_pylist():
+            n.update(company_of(restore_text(text)[0]))
+    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["company", "n"])
+
+
+def company(suspects: DataFrame) -> Company:
+    """Counted over all documents, as they read after the search line by line. The driver gets a bounded table."""
+    counted = suspects.mapInArrow(_count, "company string, n bigint").groupBy("company").agg(F.sum("n").alias("n")).filter(F.col("n") >= _KNOWN)
+    return Company({r[0]: r[1] for r in counted.orderBy(F.desc("n"), "company").limit(_MAX_COMPANY).collect()})
+
+
+def _walk(batches: Iterator[pa.RecordBatch], known: Company) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            new, fixed, lost = restore_text(text)
+            new, fixed, lost = restore_text(text, known)
             if fixed or lost:
                 rows.append((doc, new, fixed, lost))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_OUT_SCHEMA.types)], schema=_OUT_SCHEMA)
@@ -438,7 +523,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled(documents: DataFrame) -> DataFrame:
     """(doc_id, restored, lines_restored, lines_lost) of each document with a garbled passage.
 
-    No shuffle: texts without any non-ASCII character or entity stop at the scan.
+    Two scans: the first counts the company that letters keep, the second searches.
+    Only the counts are shuffled: texts without any non-ASCII character or entity stop at the scan.
     """
     suspects = documents.select("doc_id", "text").filter(F.col("text").rlike("[^\\x00-\\x7F]|&[#A-Za-z]"))
-    return suspects.mapInArrow(_walk, "doc_id bigint, restored string, lines_restored int, lines_lost int")
+    known = company(suspects)
+    return suspects.mapInArrow(lambda batches: _walk(batches, known), "doc_id bigint, restored string, lines_restored int, lines_lost int")
