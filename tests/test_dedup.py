@@ -80,3 +80,13 @@ def test_empty_stream_and_single_file(spark, tmp_path):
     file = glob.glob(f"{folder}/*.parquet")[0]
     df = dedup.surplus_copies(dedup.read_as_stream(spark, file), ["slot_name", "lsn"], "msg", F.col("lsn"), horizon=1)
     assert [r["id"] for r in df.collect()] == [2]
+
+
+def test_copies_without_a_position_across_batches(spark, tmp_path):
+    parts = [[("a", None, "n", 5), (None, None, "n", 6), ("a", 1, "n", 7)], [("a", 900, "n", 8), ("a", None, "n", 9)], [("a", None, "n", 2), (None, None, "n", 10), ("b", None, "n", 11)], [("b", None, "n", 12), ("a", 1, "n", 13)]]
+    folder = str(tmp_path / "in")
+    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"), max_segments=2)
+    for part in parts:
+        write(spark, folder, [part])
+        got = surplus(spark, folder, store, str(tmp_path / "cp"))
+    assert sorted(got) == sorted(expected([r for part in parts for r in part])) == [5, 9, 10, 12, 13]

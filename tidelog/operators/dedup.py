@@ -12,7 +12,8 @@ Segments whose slot ends before the watermark are expired: batches no longer
 read them, except the late-arrival lookup, which reads expired segments, and only
 those of the slots in which a batch's late keys fall. The slot is a function of
 the message's identity (its log position or first time), so all copies of a
-message agree on it, however late they arrive.
+message agree on it, however late they arrive. Messages without a slot have no
+time to expire by: their identifiers stay live.
 
 The copy kept is the one with the smallest id. If a smaller id arrives in a later
 batch, it takes over and the copy kept before becomes surplus, so the result
@@ -77,7 +78,7 @@ class SeenStore:
             was = None
         else:
             mark = log["watermark"]
-            live = seen.filter(F.col("slot") >= mark)
+            live = seen.filter(F.col("slot").isNull() | (F.col("slot") >= mark))
             late = own.filter(F.col("slot") < mark)
             late_slots = [r[0] for r in late.select("slot").distinct().limit(10_001).collect()]
             if len(late_slots) > 10_000:  # too many to name: look everywhere
