@@ -173,3 +173,16 @@ def test_configuration(tmp_path):
     assert len(str(e.value).splitlines()) >= 10
     t = config.Table("t", columns=("a",))
     assert config.differing_tables([t], [t]) == [] and config.differing_tables([t], [config.Table("t")]) == [t]
+
+
+def test_block_chunks_together_hold_each_row_once(spark, tmp_path):
+    rows = people(spark, 95).select("name", F.create_map(F.lit("k"), "id").alias("m"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/t")
+    want = sorted(r["name"] for r in rows.collect())
+    for df in (spark.read.parquet(f"{tmp_path}/t"), rows):
+        for key, condition in ((("name",), None), ((), "name <> 'User_7'")):
+            spec = snapshot.TableSpec("t", key=key, columns=("name",), condition=condition)
+            chunks = snapshot.plan_chunks(df, spec, 40, "s", 1, rows_per_block=10).orderBy("chunk_index").collect()
+            read = [[r["name"] for r in snapshot.read_chunk(df, spec, c.asDict(), 10).collect()] for c in chunks]
+            assert len(chunks) == 3 and all(len(x) in (39, 40) for x in read[:2])
+            assert sorted(x for part in read for x in part) == [x for x in want if condition is None or x != "User_7"]

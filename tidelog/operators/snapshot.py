@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidelog.functions.naming import ceil_div
@@ -104,9 +105,50 @@ def range_predicate(key: str, chunk: dict) -> Column:
     return F.lit(True) if chunk.get("range_start") is None else F.col(key).between(chunk["range_start"], chunk["range_end"])
 
 
-def read_chunk(df: DataFrame, spec: TableSpec, chunk: dict) -> DataFrame:
-    """Rows of one chunk. Ranges reach the scan as filters; offsets sort by the key."""
+def _in_order(df: DataFrame, key: tuple[str, ...]) -> list[Column]:
+    """An order that only identical rows leave open: the key, then all other columns (maps, which have no order, as JSON)."""
+    rest = [f for f in df.schema if f.name not in key]
+    return [*(F.col(f"`{k}`") for k in key), *(F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rest)]
+
+
+def _in_files(df: DataFrame) -> bool:
+    try:
+        return "_metadata" not in df.columns and bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
+def block_rows(df: DataFrame, key: tuple[str, ...], first: int, end: int | None) -> DataFrame:
+    """Rows at positions ``first`` (inclusive) to ``end`` (exclusive; none: to the last row).
+
+    Rows of files stand in order of path and place in the file, and only the files
+    that the positions lie in are read. Other rows are sorted by the key and, as
+    far as that leaves an order open, by their other columns.
+    """
+    if not _in_files(df):
+        rows = df.orderBy(*_in_order(df, key)).offset(first)
+        return rows if end is None else rows.limit(end - first)
+    path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = df.select(path.alias("path"), at.alias("at")).groupBy("path").agg((F.max("at") + 1).alias("n")).orderBy("path").collect()
+    wanted, start = F.lit(False), 0
+    for file in files:
+        lo, hi = max(first, start) - start, file["n"] if end is None else min(end - start, file["n"])
+        if lo < hi:
+            wanted = wanted | ((path == file["path"]) & (at >= lo) & (at < hi))
+        start += file["n"]
+    return df.filter(wanted)
+
+
+def read_chunk(df: DataFrame, spec: TableSpec, chunk: dict, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
+    """Rows of one chunk. Ranges reach the scan as filters; offsets sort by the key.
+
+    Blocks are positions in the table before its condition; ``rows_per_block`` is the one they were planned with.
+    """
     kind = chunk.get("partition_strategy", OFFSET)
+    if kind == BLOCK and chunk.get("block_start") is not None:
+        per = max(1, rows_per_block)
+        last = chunk.get("block_end") is None or chunk.get("is_last_chunk")
+        df = block_rows(df, spec.key, chunk["block_start"] * per, None if last else chunk["block_end"] * per)
     kept = filter_rows(df, spec.condition)
     if kind == RANGE:
         kept = kept.filter(range_predicate(spec.key[0], chunk))
