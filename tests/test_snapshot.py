@@ -186,3 +186,12 @@ def test_block_chunks_together_hold_each_row_once(spark, tmp_path):
             read = [[r["name"] for r in snapshot.read_chunk(df, spec, c.asDict(), 10).collect()] for c in chunks]
             assert len(chunks) == 3 and all(len(x) in (39, 40) for x in read[:2])
             assert sorted(x for part in read for x in part) == [x for x in want if condition is None or x != "User_7"]
+
+
+def test_a_snapshot_marks_the_last_row_of_chunks_that_are_not_full(spark, tmp_path):
+    people(spark, 95).repartition(3).write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    specs = [snapshot.TableSpec("range", key=("id",)), snapshot.TableSpec("block", key=("name",)), snapshot.TableSpec("offset", key=("id",), strategy=snapshot.OFFSET, condition="id > 20")]
+    events = snapshot.take_snapshot({s.name: files for s in specs}, specs, "slot", 9, size=40, rows_per_block=10).filter("event_type = 'DATA'").collect()
+    last = {s.name: [e["row_data"]["id"] for e in events if e["table_name"] == s.name and e["is_last"]] for s in specs}
+    assert len(events) == 95 + 95 + 75 and last["range"] == ["95"] and len(last["block"]) == 1 and last["offset"] == ["95"]

@@ -47,7 +47,7 @@ class Connector:
         wanted = self.config.snapshot_tables(self.config.publication)
         specs = [snap.TableSpec(t.name, t.schema, columns=t.columns, condition=t.queryCondition or None, strategy=t.snapshotPartitionStrategy or None) for t in wanted]
         slot = snapshot_slot_name(self.config.database, self.config.snapshot.id or None) if self.config.snapshot_only else self.config.slot.name
-        return snap.take_snapshot({s.name: self.tables[s.name] for s in specs}, specs, slot, lsn, general_condition=self.config.snapshot.queryCondition or None)
+        return snap.take_snapshot({s.name: self.tables[s.name] for s in specs}, specs, slot, lsn, general_condition=self.config.snapshot.queryCondition or None, size=self.config.snapshot.chunkSize)
 
     def start(self, handler: Callable[[DataFrame, int], None], *, snapshot_lsn: int = 0, job_completed: bool | None = None, once: bool = False) -> StreamingQuery | None:
         """Snapshot (as batch -1) if one is due, then the changes after it."""

@@ -184,20 +184,49 @@ def markers(spark: SparkSession, slot: str, lsn: int) -> tuple[DataFrame, DataFr
     return one("BEGIN"), one("END")
 
 
-def take_snapshot(tables: dict[str, DataFrame], specs: list[TableSpec], slot: str, lsn: int, *, general_condition: str | None = None) -> DataFrame:
+def _positions(df: DataFrame, out: str) -> DataFrame:
+    """Adds the row's position: as ``block_rows`` has it for rows of files, else in the order in which tasks read."""
+    if not _in_files(df):
+        return df.withColumn(out, F.monotonically_increasing_id())
+    path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = df.select(path.alias("__path"), at.alias("at")).groupBy("__path").agg((F.max("at") + 1).alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    return df.select("*", path.alias("__path"), at.alias("__row")).join(files.select("__path", start.alias("__start")), "__path").withColumn(out, F.col("__start") + F.col("__row")).drop("__path", "__row", "__start")
+
+
+def _marked(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int) -> DataFrame:
+    """The table's rows and columns for the snapshot with ``is_last`` by the chunks that would be planned."""
+    strategy = choose_strategy(df.schema, list(spec.key), spec.strategy)
+    wanted = [*dict.fromkeys([*spec.columns, *spec.key])] if spec.columns else df.columns
+    if strategy == RANGE:
+        lo = key_bounds(df, spec.key[0]).first()["lo"]
+        rows = filter_rows(df, spec.condition).withColumn("__at", F.col(spec.key[0]).cast("bigint"))
+        width, first = size, lo or 0
+    elif strategy == BLOCK:
+        per = max(1, rows_per_block)
+        rows = filter_rows(_positions(df, "__at"), spec.condition)
+        width, first = max(1, size // per) * per, 0
+    else:  # offsets count the rows of one order
+        kept = filter_rows(df, spec.condition)
+        rows = kept.withColumn("__at", F.row_number().over(Window.orderBy(*_in_order(kept, spec.key))) - 1)
+        width, first = size, 0
+    rows = with_chunk(select_columns(rows, [*wanted, "__at"]), "__at", F.lit(first), width)
+    return mark_last(rows, "chunk_index", "__at", size).drop("__at")
+
+
+def take_snapshot(tables: dict[str, DataFrame], specs: list[TableSpec], slot: str, lsn: int, *, general_condition: str | None = None, size: int = 8000, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """All rows of all tables as one stream of events between markers.
 
-    Parquet files never change, so all tasks see one state; chunks are Spark's own
-    tasks. Each table is scanned once with its filter and columns pushed down.
+    Parquet files never change, so all tasks see one state. Each table is scanned
+    once with its filter and columns pushed down (and once for its bounds), and its
+    rows meet by chunks of ``size`` to mark the last one of each that isn't full.
     """
     spark = next(iter(tables.values())).sparkSession
     begin, end = markers(spark, slot, lsn)
     out = begin
     for spec in specs:
         spec = spec if spec.condition else replace(spec, condition=general_condition)
-        kept = filter_rows(tables[spec.name], spec.condition)
-        wanted = list(dict.fromkeys([*spec.columns, *spec.key])) if spec.columns else None
-        out = out.unionByName(data_events(select_columns(kept, wanted), spec, slot, lsn))
+        out = out.unionByName(data_events(_marked(tables[spec.name], spec, size, rows_per_block), spec, slot, lsn))
     return out.unionByName(end)
 
 

@@ -92,6 +92,37 @@ def snapshot_events_of_job(spark, sf):
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("op") == "r").alias("rows_read"))
 
 
+@_query("SELECT (o_orderkey - (SELECT min(o_orderkey) FROM orders))//8000 AS chunk_index, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'F'")
+def snapshot_query_condition_whole(spark, sf):
+    """All range chunks of the table with the condition, in one pass."""
+    orders = table(spark, sf, "orders")
+    lo = snapshot.key_bounds(orders, "o_orderkey").first()["lo"]
+    kept = publication.filter_rows(orders, "o_orderstatus = 'O' OR o_orderstatus = 'F'")
+    return snapshot.with_chunk(kept.select("o_orderkey", "o_orderstatus"), "o_orderkey", F.lit(lo), 8000)
+
+
+@_query("SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1)//100 AS chunk_index FROM orders")
+def snapshot_offset_chunks_whole(spark, sf):
+    """All offset chunks of the table, in one pass."""
+    rows = scan.row_numbers(table(spark, sf, "orders"), [], "o_orderkey", [], "__n")
+    return rows.withColumn("chunk_index", F.floor((F.col("__n") - 1) / 100).cast("bigint")).drop("__n")
+
+
+_EVENTS = " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, sum(n)::BIGINT AS rows_read, count(*) FILTER (WHERE n < 8000) AS last_rows FROM (SELECT count(*) AS n FROM {t} GROUP BY ({k} - (SELECT min({k}) FROM {t}))//8000)" for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey"))]
+    + ["SELECT 'lineitem', count(*), (count(*) % 8000 > 0)::INT FROM lineitem"]
+)
+
+
+@_query(_EVENTS)
+def snapshot_events_whole(spark, sf):
+    """The snapshot of all star tables: rows, and last rows of chunks that aren't full."""
+    keys = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
+    specs = [*(snapshot.TableSpec(t, key=(k,)) for t, k in keys.items()), snapshot.TableSpec("lineitem", key=("l_orderkey", "l_linenumber"))]
+    events = snapshot.take_snapshot({s.name: table(spark, sf, s.name) for s in specs}, specs, "job", 1 << 40)
+    return events.filter("op = 'r'").groupBy("table_name").agg(F.count(F.lit(1)).alias("rows_read"), F.count_if("is_last").alias("last_rows"))
+
+
 @_query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) > 0 AND count(*) = count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders")
 def chunk_completion(spark, sf):
     return snapshot.completion(table(spark, sf, "orders"), [], F.col("o_orderstatus") == "F")
