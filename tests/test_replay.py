@@ -133,3 +133,13 @@ def test_satellites_split_by_rate(spark, change_rows, commit_rows):
     assert split == {"t": {"busy": "fast", "calm": "slow"}}
     sat = history.satellite_rows(log, commits, KEYS).groupBy("satellite").count().collect()
     assert {r["satellite"]: r["count"] for r in sat} == {"fast": 19, "slow": 1}
+
+
+def test_moves_are_followed_to_the_end_of_their_chain(spark, change_rows, commit_rows):
+    rows = [(0, "s", "I", "plain", 1, 10, "k0", {"id": "k0", "a": "1", "b": None}, None, None)]
+    rows += [(i, "s", "U", "plain", 1, 10 + i, f"k{i}", {"id": f"k{i}"}, "K", {"id": f"k{i - 1}"}) for i in range(1, 7)]
+    log = change_rows(rows)
+    events = replay.committed(replay.sliced(replay.row_events(log, {}, ["slot_name", "xid"]), None), commit_rows([("s", 1)]))
+    whole = replay.complete_moves(events, replay.narrow_moves(log, {}), False, 3)  # many fewer than the chain has moves
+    got = {r["row_key"]: r["cols"] for r in whole.filter(F.col("moved_from").isNotNull()).collect()}
+    assert got == {f"k{i}": {"id": f"k{i}", "a": "1", "b": None} for i in range(1, 7)}

@@ -195,10 +195,12 @@ def narrow_moves(change_log: DataFrame, key_columns: dict[str, list[str]]) -> di
     return {r["table_name"]: r["width"] for r in rows}
 
 
-def complete_moves(events: DataFrame, widths: dict[str, int], any_hot: bool, max_rounds: int = 64) -> DataFrame:
+def complete_moves(events: DataFrame, widths: dict[str, int], any_hot: bool, merge_rounds: int = 32) -> DataFrame:
     """Give each moving update the columns it left out, from the state of its old key just before.
 
-    Rounds follow chains of such moves; each touches only the rows at the chain's far end.
+    Rounds follow chains of such moves to their end, however long: each goes to smaller
+    sequences and touches only the rows at the chain's far end. What ``merge_rounds``
+    rounds found is put into one table, so that plans stay small.
     """
     if not widths:
         return events
@@ -207,8 +209,8 @@ def complete_moves(events: DataFrame, widths: dict[str, int], any_hot: bool, max
     todo = storage.materialize(events.filter(short).groupBy("table_name", "row_key", "seq").agg(F.first("moved_from").alias("source")).withColumn("before", F.col("seq")), "moves")
     found: list[DataFrame] = []
     while not todo.isEmpty():
-        if len(found) == max_rounds:
-            raise RuntimeError(f"a chain of moves is longer than {max_rounds}")
+        if len(found) == merge_rounds:
+            found = [storage.materialize(reduce(DataFrame.unionByName, found), "moves")]
         asks = todo.select("table_name", F.to_json(F.struct(F.col("row_key").alias("key"), "seq")).alias("ask"), F.col("source").alias("row_key"), "before")
         past = events.join(asks, ["table_name", "row_key"]).filter(F.col("seq") < F.col("before")).withColumn("row_key", F.col("ask"))
         got = fold(past.select(*EVENT_COLUMNS), any_hot).filter(F.col("kind") != DROP)
