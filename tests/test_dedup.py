@@ -29,7 +29,7 @@ def write(spark, folder, parts):
 
 def surplus(spark, folder, store, checkpoint):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    df = dedup.surplus_copies(stream, ["slot_name", "lsn"], "msg", F.col("lsn") / 10, horizon=2, store=store, checkpoint=checkpoint)
+    df = dedup.surplus_copies(stream, ["slot_name", "lsn"], "msg", F.col("lsn") / 10, horizon=5, store=store, checkpoint=checkpoint)
     return [r["id"] for r in df.collect()]
 
 
@@ -44,7 +44,7 @@ def test_copies_across_batches_late_and_out_of_order(spark, tmp_path):
     # the third batch arrives before the second: smaller ids come later
     parts[1], parts[2] = parts[2], parts[1]
     folder, cp = str(tmp_path / "in"), str(tmp_path / "cp")
-    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"), max_segments=2)
+    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"), max_pieces=1)
     for part in parts[:4]:
         write(spark, folder, [part])
         surplus(spark, folder, store, cp)
@@ -52,8 +52,11 @@ def test_copies_across_batches_late_and_out_of_order(spark, tmp_path):
         write(spark, folder, [part])
     got = surplus(spark, folder, store, cp)
     assert len(got) == len(set(got)) and set(got) == expected(rows)
-    assert store.log()["watermark"] is not None and len(store.log()["batches"]) >= 5
-    assert len(store.log()["segments"]) <= 2
+    log = store.log()
+    assert log["watermark"] is not None and log["counts"]["batches"] >= 5
+    assert min(log["counts"].values()) > 0 and all(len(p) == 1 for p in log["live"].values())
+    # only what isn't expired stays in the commit file
+    assert all(int(f.split("=")[1]) >= log["watermark"] for f in log["live"])
     # running it again changes nothing
     assert sorted(surplus(spark, folder, store, cp)) == sorted(got)
 
@@ -85,8 +88,45 @@ def test_empty_stream_and_single_file(spark, tmp_path):
 def test_copies_without_a_position_across_batches(spark, tmp_path):
     parts = [[("a", None, "n", 5), (None, None, "n", 6), ("a", 1, "n", 7)], [("a", 900, "n", 8), ("a", None, "n", 9)], [("a", None, "n", 2), (None, None, "n", 10), ("b", None, "n", 11)], [("b", None, "n", 12), ("a", 1, "n", 13)]]
     folder = str(tmp_path / "in")
-    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"), max_segments=2)
+    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"), max_pieces=1)
     for part in parts:
         write(spark, folder, [part])
         got = surplus(spark, folder, store, str(tmp_path / "cp"))
     assert sorted(got) == sorted(expected([r for part in parts for r in part])) == [5, 9, 10, 12, 13]
+
+
+def test_a_backlog_goes_through_many_batches(spark):
+    r = random.Random(3)
+    rows = [("a", r.randint(max(0, i // 3 - 60), i // 3), "n", i) for i in range(3000)] + [("hot", 5, None, 3000 + i) for i in range(1500)] + [("a", None, "n", 5000), ("a", None, "n", 5001)]
+    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"))
+    got = dedup.surplus_in_backlog(spark.createDataFrame(rows, SCHEMA).repartition(5), ["slot_name", "lsn"], "msg", F.floor(F.col("lsn") / 20), horizon=1, store=store)
+    ids = [x["id"] for x in got.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == expected(rows)
+    counts = store.log()["counts"]
+    assert counts["batches"] > 10 and counts["pieces_read"] > 0 and counts["late_lookups"] > 0 and counts["expired"] > 0
+    assert dedup.surplus_in_backlog(spark.createDataFrame([], SCHEMA), ["slot_name", "lsn"], "msg", F.col("lsn"), horizon=1).count() == 0
+
+
+def test_a_stream_killed_between_writing_and_committing_goes_on(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    rows = [("a", r.randint(max(0, i - 90), i) // 4, "n", i) for i in range(600)]
+    folder, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    write(spark, folder, [rows[a : a + 100] for a in range(0, 600, 100)])
+    store = dedup.SeenStore(spark, storage.fresh_dir(spark, "test"))
+    swap, calls = storage.swap_text, []
+
+    def dying(spark, path, text):
+        if path.endswith("COMMITTED") and len(calls) < 6:
+            calls.append(path)
+            if len(calls) in (2, 5):
+                raise RuntimeError("killed")
+        swap(spark, path, text)
+
+    monkeypatch.setattr(storage, "swap_text", dying)
+    got = None
+    for _ in range(3):
+        try:
+            got = surplus(spark, folder, store, cp)
+        except Exception as e:
+            assert "killed" in str(e)
+    assert len(calls) == 6 and len(got) == len(set(got)) and set(got) == expected(rows)

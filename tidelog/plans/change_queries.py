@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.operators import dedup, drift, history, incremental, replay
@@ -44,10 +46,10 @@ def p3_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     slot = F.expr(f"cast(lsn as bigint) div {SLOT_BYTES}")
-    changes = dedup.read_as_stream(spark, f"{sf}/change_log.parquet")
-    snaps = dedup.read_as_stream(spark, f"{sf}/snapshot_events.parquet").filter(F.col("event_type") == "DATA")
-    a = dedup.surplus_copies(changes, incremental.MESSAGE, "delivery_id", slot, horizon=LIVE_SLOTS)
-    b = dedup.surplus_copies(snaps, ["slot_name", "table_name", "lsn", "row_key"], "snap_event_id", slot, horizon=LIVE_SLOTS)
+    snaps = table(spark, sf, "snapshot_events").filter(F.col("event_type") == "DATA")
+    both = [(table(spark, sf, "change_log"), incremental.MESSAGE, "delivery_id"), (snaps, ["slot_name", "table_name", "lsn", "row_key"], "snap_event_id")]
+    with ThreadPoolExecutor(len(both)) as pool:  # two streams, which run beside each other
+        a, b = pool.map(lambda x: dedup.surplus_in_backlog(*x, slot, horizon=LIVE_SLOTS), both)
     row = lambda df, origin: df.select(F.lit(origin).alias("origin"), F.col("id").alias("delivery_id"))
     return row(a, "change_log").unionByName(row(b, "snapshot_events"))
 
