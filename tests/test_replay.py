@@ -88,8 +88,6 @@ def test_replay_and_history_equal_a_plain_replay(spark, change_rows, commit_rows
     log, commits = change_rows(rows), commit_rows(committed + committed)
     got = {(r["table_name"], r["row_key"]): r["cols"] for r in replay.current_state(log, commits, KEYS, hot_rows=hot_rows).collect()}
     assert got == live
-    narrow = {(r["table_name"], r["row_key"]): r["lsn"] for r in replay.current_state(log, commits, KEYS, hot_rows=hot_rows, columns=False).collect()}
-    assert set(narrow) == set(live)
     sat = history.satellite_rows(log, commits, KEYS, hot_rows=hot_rows).cache()
     assert {(r["table_name"], r["row_key"], r["lsn"]) for r in history.opened_versions(sat).collect()} == versions_of(true)
     assert history.opened_versions(sat).count() == len(versions_of(true))
@@ -136,10 +134,45 @@ def test_satellites_split_by_rate(spark, change_rows, commit_rows):
 
 
 def test_moves_are_followed_to_the_end_of_their_chain(spark, change_rows, commit_rows):
-    rows = [(0, "s", "I", "plain", 1, 10, "k0", {"id": "k0", "a": "1", "b": None}, None, None)]
-    rows += [(i, "s", "U", "plain", 1, 10 + i, f"k{i}", {"id": f"k{i}"}, "K", {"id": f"k{i - 1}"}) for i in range(1, 7)]
-    log = change_rows(rows)
-    events = replay.committed(replay.sliced(replay.row_events(log, {}, ["slot_name", "xid"]), None), commit_rows([("s", 1)]))
-    whole = replay.complete_moves(events, replay.narrow_moves(log, {}), False, 3)  # many fewer than the chain has moves
-    got = {r["row_key"]: r["cols"] for r in whole.filter(F.col("moved_from").isNotNull()).collect()}
-    assert got == {f"k{i}": {"id": f"k{i}", "a": "1", "b": None} for i in range(1, 7)}
+    n = 90
+    rows = [(0, "s", "I", "plain", 1, 10, "k0", {"id": "k0", "a": "1", "b": None, "c": "0"}, None, None)]
+    for i in range(1, n):  # each key is altered once and then moves on
+        rows.append((2 * i, "s", "U", "plain", 1, 10 + 2 * i, f"k{i}", {"id": f"k{i}"}, "K", {"id": f"k{i - 1}"}))
+        rows.append((2 * i + 1, "s", "U", "plain", 1, 11 + 2 * i, f"k{i}", {"c" if i % 2 else "b": str(i)}, None, None))
+    got = replay.current_state(change_rows(rows), commit_rows([("s", 1)]), {}).collect()
+    assert [(r["row_key"], r["cols"]) for r in got] == [(f"k{n - 1}", {"id": f"k{n - 1}", "a": "1", "b": str(n - 2), "c": str(n - 1)})]
+
+
+def test_a_hot_key_that_is_moved_away_and_back(spark, change_rows, commit_rows):
+    """Many incomplete moves out of one key with many changes: the walk over its changes answers them all."""
+    rows, live, lsn = [(0, "s", "I", "plain", 1, 1, "a", {"id": "a", "x": "0", "y": "0"}, None, None)], {"x": "0", "y": "0"}, 1
+    r = random.Random(4)
+    for i in range(1, 300):
+        here, there = ("a", "b") if i % 2 else ("b", "a")
+        for _ in range(3):
+            lsn += 1
+            c, v = r.choice("xy"), str(r.randint(0, 99))
+            live[c] = v
+            rows.append((lsn, "s", "U", "plain", 1, lsn, here, {"id": here, c: v}, None, None))
+        lsn += 1
+        rows.append((lsn, "s", "U", "plain", 1, lsn, there, {"id": there}, "K", {"id": here}))
+    r.shuffle(rows)
+    got = replay.current_state(change_rows(rows), commit_rows([("s", 1)]), {}, hot_rows=20).collect()
+    assert [(x["row_key"], x["cols"]) for x in got] == [("b", {"id": "b", **live})]
+
+
+def test_more_hot_rows_than_fit_a_list(spark, commit_rows, change_rows):
+    """1,500 rows of 8 changes with slices of 2 (and one of 64), against the plain fold."""
+    one = spark.range(1500 * 8).selectExpr("id AS delivery_id", "'s' AS slot_name", "if(id < 1500, 'I', 'U') AS op", "'t' AS table_name", "1L AS xid", "cast(id AS decimal(20,0)) AS lsn", "concat('r', id % 1500) AS row_key", "map('id', concat('r', id % 1500), concat('c', id % 7), cast(id AS string)) AS new_decoded", "cast(null AS map<string,string>) AS old_decoded", "cast(null AS string) AS old_kind", "timestamp_ntz'2025-01-01' AS message_time")
+    more = one.filter("row_key = 'r3'").selectExpr("delivery_id + 100000 AS delivery_id", "* EXCEPT (delivery_id)")
+    for k in range(1, 8):
+        more = more.unionByName(one.filter("row_key = 'r3'").selectExpr(f"delivery_id + {k + 1} * 100000 AS delivery_id", "slot_name", "'U' AS op", "table_name", "xid", f"lsn + {k} * 100000 AS lsn", "row_key", "new_decoded", "old_decoded", "old_kind", "message_time"))
+    log, commits = one.unionByName(more), commit_rows([("s", 1)])
+    counts = replay.profile(log, {})
+    assert replay.hot_rows_of(log, counts, 2).count() == 1500
+    sizes = replay.sliced(replay.row_events(log, {}, []), replay.hot_rows_of(log, counts, 2)).groupBy("row_key", "slice").agg(F.count_distinct("seq").alias("n")).agg(F.max("n"), F.max("slice")).first()
+    assert sizes[0] <= 4 and sizes[1] >= 16
+    rows = lambda hot: sorted((r["row_key"], r["lsn"], sorted(r["cols"].items())) for r in replay.current_state(log, commits, {}, hot_rows=hot).collect())
+    assert rows(2) == rows(10**6)
+    versions = lambda hot: sorted(tuple(r) for r in history.opened_versions(history.satellite_rows(log, commits, {}, hot_rows=hot)).collect())
+    assert versions(2) == versions(10**6)

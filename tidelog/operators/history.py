@@ -3,7 +3,8 @@
 The attributes of a table are split into satellites by how often they change
 (``change_rates``: distinct values a row, over all data). Each satellite holds one
 row for each change of its own attributes: a row is appended only if its hash-diff
-over those attributes differs from that of the row before it, so a table with one
+over those attributes differs from that of the row before it (within a task the
+attributes themselves are compared, which comes to the same), so a table with one
 busy attribute doesn't store the others again and again. Nothing is ever updated;
 when a version ended follows from the next row (``with_end_times``, by ``lead``).
 A delete, or an update that moves the row to another key, appends a closing row.
@@ -24,15 +25,13 @@ repeated deliveries count once, with the time of the first.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidelog.operators import replay
-from tidelog.operators.replay import DROP, PATCH, PUT
+from tidelog.operators.replay import CARRY, DROP, PUT
 
-CARRY = -1
 FAST, SLOW = "fast", "slow"
 
 
@@ -55,44 +54,37 @@ def split_by_rate(rates: DataFrame, key_columns: dict[str, list[str]], fast_from
     return out
 
 
-_PREFIX_IN = replay.SUMMARY_INPUT
+_WALKED = "table_name string, row_key string, satellite string, slice int, lsn bigint, valid_from timestamp_ntz, attrs map<string,string>, opens_version boolean, closed boolean"
+_WALKED_ARROW = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("satellite", pa.string()), ("slice", pa.int32()), ("lsn", pa.int64()), ("valid_from", pa.timestamp("us")), ("attrs", pa.map_(pa.string(), pa.string())), ("opens_version", pa.bool_()), ("closed", pa.bool_())])
 
 
-def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From slice summaries in order: for each slice, the fold of all slices before it (none for the first)."""
-    row, state = None, None
-    for batch in batches:
-        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        out = []
-        for table, key, part, seq, kind, cols, moved in zip(*(col[n].to_pylist() for n in ("table_name", "row_key", "slice", "seq", "kind")), replay.map_lists(col["cols"]), col["moved_from"].to_pylist()):
-            if row != (table, key):
-                row, state = (table, key), replay.RowState()
-            elif state.kind >= 0:
-                out.append((table, key, part, state.seq, state.kind, list(state.cols.items())))
-            state.apply(seq, kind, cols, moved)
-        schema = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("slice", pa.int32()), ("seq", pa.int64()), ("last_kind", pa.int32()), ("cols", pa.map_(pa.string(), pa.string()))])
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(schema.types)], schema=schema)
-
-
-SATELLITE = "table_name string, row_key string, satellite string, slice int, lsn bigint, valid_from timestamp_ntz, hash_diff binary, attrs map<string,string>, opens_version boolean, closed boolean"
-_SATELLITE_ARROW = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("satellite", pa.string()), ("slice", pa.int32()), ("lsn", pa.int64()), ("valid_from", pa.timestamp("us")), ("hash_diff", pa.binary()), ("attrs", pa.map_(pa.string(), pa.string())), ("opens_version", pa.bool_()), ("closed", pa.bool_())])
+def hash_diff(attrs: Column) -> Column:
+    """MD5 of the attributes in order of name, each with its length, so that no two sets of attributes look alike; null for none."""
+    sized = lambda c: F.concat(F.length(c), F.lit(":"), c)
+    entries = F.transform(F.array_sort(F.map_keys(attrs)), lambda k: F.concat(sized(k), F.lit("="), F.coalesce(sized(attrs[k]), F.lit("-"))))
+    return F.when(attrs.isNotNull(), F.md5(F.array_join(entries, ";")))
 
 
 def _walker(split: dict[str, dict[str, str]]):
     """The state machine over events in order; one output row for each satellite row."""
-    parts = {t: sorted({*cols.values()}) for t, cols in split.items()}
-
-    def digest(cols: dict, of: dict, satellite: str) -> tuple[bytes, list]:
-        own = sorted((k, v) for k, v in cols.items() if of.get(k, SLOW) == satellite and k in of)
-        return blake2b(repr(own).encode("utf-8", "surrogatepass"), digest_size=16).digest(), own
+    parts = {t: sorted({*cols.values()}) or [SLOW] for t, cols in split.items()}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, known, cols, diffs, last, out = None, 0, {}, {}, None, []
+        # known: nothing yet (0), the row is there (1) or gone (2); own: its attributes by satellite
+        group, known, own, last, out = None, 0, {}, None, []
+        of, names = {}, [SLOW]
 
         def flush() -> pa.RecordBatch:
-            arrays = [pa.array([r[i] for r in out], t) for i, t in enumerate(_SATELLITE_ARROW.types)]
+            arrays = [pa.array([r[i] for r in out], t) for i, t in enumerate(_WALKED_ARROW.types)]
             out.clear()
-            return pa.RecordBatch.from_arrays(arrays, schema=_SATELLITE_ARROW)
+            return pa.RecordBatch.from_arrays(arrays, schema=_WALKED_ARROW)
+
+        def parted(cols: dict) -> dict[str, dict]:
+            new: dict[str, dict] = {s: {} for s in names}
+            for k, v in cols.items():
+                if (s := of.get(k)) is not None:
+                    new[s][k] = v
+            return new
 
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -100,37 +92,37 @@ def _walker(split: dict[str, dict[str, str]]):
             times = col["message_time"].cast(pa.int64()).to_pylist()
             for table, key, part, seq, kind, new, old, full, time in zip(*lists, replay.map_lists(col["cols"]), replay.map_lists(col["old_decoded"]), col["full_old"].to_pylist(), times):
                 if group != (table, key, part):
-                    group, known, cols, diffs, last = (table, key, part), 0, {}, {}, None
-                if kind < 0:  # what came before this slice; 1: alive, 2: gone
-                    known = 2 if full else 1
-                    cols = new
-                    of = split.get(table, {})
-                    diffs = {s: digest(cols, of, s)[0] for s in parts.get(table, (SLOW,))} if known == 1 else {}
+                    group, known, own, last = (table, key, part), 0, {}, None
+                    of, names = split.get(table, {}), parts.get(table, [SLOW])
+                if kind == CARRY:
+                    known, own = (2, {}) if full else (1, parted(new))
                     continue
                 if last is not None and (seq, kind) <= last:
                     continue
                 last = (seq, kind)
-                of, names = split.get(table, {}), parts.get(table, (SLOW,))
                 if kind == DROP:
                     if known != 2:
-                        out.extend((table, key, s, part, seq, time, None, [], False, True) for s in names)
-                    known, cols, diffs = 2, {}, {}
+                        out.extend((table, key, s, part, seq, time, None, False, True) for s in names)
+                    known, own = 2, {}
                     continue
                 fresh = kind == PUT or known == 2
-                if not fresh and known == 0 and full:  # not seen before, but the old image is whole
-                    cols, known = old, 1
-                    diffs = {s: digest(cols, of, s)[0] for s in names}
-                fresh = fresh or known == 0
-                cols = new if kind == PUT or known == 2 else {**cols, **new}
-                known, first = 1, True
-                for s in names:
-                    if not fresh and not any(of.get(k) == s for k in new):
-                        continue
-                    h, own = digest(cols, of, s)
-                    if fresh or diffs.get(s) != h:
-                        diffs[s] = h
-                        out.append((table, key, s, part, seq, time, h, own, first, False))
-                        first = False
+                if not fresh and known == 0:
+                    if full:  # not seen before, but the old image is whole
+                        own = parted(old)
+                    else:
+                        fresh = True
+                if fresh:
+                    own = parted(new)
+                    out.extend((table, key, s, part, seq, time, list(own[s].items()), i == 0, False) for i, s in enumerate(names))
+                else:
+                    first = True
+                    for s, changed in parted(new).items():
+                        was = own[s]
+                        if any(k not in was or was[k] != v for k, v in changed.items()):
+                            own[s] = {**was, **changed}
+                            out.append((table, key, s, part, seq, time, list(own[s].items()), first, False))
+                            first = False
+                known = 1
             if len(out) >= 4096:
                 yield flush()
         if out:
@@ -142,29 +134,23 @@ def _walker(split: dict[str, dict[str, str]]):
 def satellite_rows(change_log: DataFrame, commits: DataFrame, key_columns: dict[str, list[str]], *, split: dict[str, dict[str, str]] | None = None, fast_from: float = 1.5, hot_rows: int = 50_000) -> DataFrame:
     """All satellite rows; see the module's text. ``opens_version`` marks one row a version."""
     split = split if split is not None else split_by_rate(change_rates(change_log), key_columns, fast_from)
-    hot = replay.hot_rows_of(change_log.select("table_name", "row_key", "lsn"), hot_rows)
-    widths = replay.narrow_moves(change_log, key_columns)
+    counts = replay.profile(change_log, key_columns).persist()
+    try:
+        hot, widths = replay.hot_rows_of(change_log, counts, hot_rows), replay.widths_of(counts)
+    finally:
+        counts.unpersist()
     empty = F.create_map().cast("map<string,string>")
     full = (F.col("old_kind") == "O") & F.col("old_decoded").isNotNull()
-
-    def events_of(log: DataFrame) -> DataFrame:
-        # the old image only matters where it is whole
-        log = log.withColumns({"full_old": F.coalesce(full, F.lit(False)), "old_image": F.when(full, F.col("old_decoded")).otherwise(empty)})
-        events = replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"])
-        return replay.complete_moves(replay.committed(replay.sliced(events, hot), commits), widths, hot is not None)
-
-    columns = [*replay.EVENT_COLUMNS, "message_time", "full_old", F.col("old_image").alias("old_decoded")]
-    events = events_of(change_log).select(*columns)
+    # the old image only matters where it is whole
+    log = change_log.withColumns({"full_old": F.coalesce(full, F.lit(False)), "old_image": F.when(full, F.col("old_decoded")).otherwise(empty)})
+    events = replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"])
+    events = replay.complete_moves(replay.committed(replay.sliced(events, hot), commits), widths, hot)
+    events = events.select(*replay.EVENT_COLUMNS, "message_time", "full_old", F.col("old_image").alias("old_decoded"))
     if hot is not None:
-        # only the hot rows' own events are folded ahead; a move's two keys may both be needed, so the filter follows the events
-        ahead = events.select(*replay.EVENT_COLUMNS).filter(F.col("slice") > 0)
-        summaries = replay.in_order(ahead).select(*replay.SUMMARY_INPUT).mapInArrow(replay.fold_batches, replay.SUMMARY)
-        ordered = summaries.select(*_PREFIX_IN).repartition("table_name", "row_key").sortWithinPartitions("table_name", "row_key", "slice")
-        carry = ordered.mapInArrow(prefixes, "table_name string, row_key string, slice int, seq bigint, last_kind int, cols map<string,string>")
-        events = events.unionByName(carry.select("table_name", "row_key", "slice", "seq", F.lit(CARRY).alias("kind"), "cols", F.lit(None).cast("string").alias("moved_from"), F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), (F.col("last_kind") == DROP).alias("full_old"), empty.alias("old_decoded")))
-    # a carried state's sequence lies before all of its slice, so the common order puts it first
+        carry = replay.carried(events).select("table_name", "row_key", "slice", "seq", F.lit(CARRY).alias("kind"), "cols", F.lit(None).cast("string").alias("moved_from"), F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), (F.col("last_kind") == DROP).alias("full_old"), empty.alias("old_decoded"))
+        events = events.unionByName(carry)
     ready = replay.in_order(events).select("table_name", "row_key", "slice", "seq", "kind", "cols", "message_time", "full_old", "old_decoded")
-    return ready.mapInArrow(_walker(split), SATELLITE)
+    return ready.mapInArrow(_walker(split), _WALKED).withColumn("hash_diff", hash_diff(F.col("attrs")))
 
 
 def opened_versions(satellites: DataFrame) -> DataFrame:

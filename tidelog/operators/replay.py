@@ -8,14 +8,15 @@ state machine that skips sequences already applied, so repeated and out-of-order
 deliveries do no harm.
 
 Folding is associative: the fold of a run of events is itself an event. Rows with
-more than ``hot_rows`` events are therefore cut into slices of consecutive
-sequences, the slices are folded in parallel, and their results are folded once
-more in order. No task ever holds more than a slice of a hot row's events, and
-the state machine itself streams.
+more than ``hot_rows`` events, however many there are, are therefore cut into slices
+of consecutive sequences, the slices are folded in parallel, and their results are
+folded once more in order. No task ever holds more than a slice of a hot row's
+events, and the state machine itself streams.
 
 A moved row whose update leaves columns out (they are unchanged) takes them from
-the state its old key had at that sequence; ``complete_moves`` resolves such
-chains in rounds that only touch the rows concerned.
+the state its old key had at that sequence. ``complete_moves`` asks for all these
+states in one walk over the old keys' events, and follows chains of such moves by
+pointer doubling: a chain of any length takes the logarithm of it in rounds.
 
 Defined cases: an update of a row that isn't known creates it with the columns
 given; a delete of an unknown row leaves nothing; a null map counts as an empty
@@ -34,6 +35,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidelog import storage
 
 DROP, PUT, PATCH = 0, 1, 2
+#: Not changes: the state before a slice, and the question for the state before a sequence. They sort before changes of the same sequence.
+CARRY, PROBE = -2, -1
 EVENT_COLUMNS = ["table_name", "row_key", "slice", "seq", "kind", "cols", "moved_from", "tie"]
 
 
@@ -71,33 +74,40 @@ def row_events(changes: DataFrame, key_columns: dict[str, list[str]], extra: lis
     return flat.select("table_name", F.col("e.row_key").alias("row_key"), F.lit(0).alias("slice"), "seq", F.col("e.kind").alias("kind"), F.col("e.cols").alias("cols"), F.col("e.moved_from").alias("moved_from"), "tie", *extra)
 
 
-def hot_rows_of(change_log: DataFrame, hot_rows: int, max_slices: int = 1024) -> DataFrame | None:
-    """(table_name, row_key, bounds) of rows with more than ``hot_rows`` changes, or None.
+def profile(change_log: DataFrame, key_columns: dict[str, list[str]]) -> DataFrame:
+    """(table_name, row_key, n, width, narrow): per row its changes, the columns of its widest insert and of its narrowest moving update.
 
-    There are at most (all changes / hot_rows) of them, and ``hot_rows`` is raised
-    until that is 1,000 at most, so the result may be broadcast. ``bounds`` cut a
-    row's changes into slices of about ``hot_rows``.
+    One pass from which hot rows and incomplete moves are read off; committed or not, so at worst too many are named.
     """
-    counts = change_log.groupBy("table_name", "row_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    hot = counts.orderBy(F.desc("n"), "table_name", "row_key").limit(1001).collect()
-    if len(hot) > 1000:
-        return hot_rows_of(change_log, 2 * hot_rows, max_slices)
-    hot = [r for r in hot if r["table_name"] is not None and r["row_key"] is not None]
-    if not hot:
+    moved = (F.col("op") == "U") & (key_from(F.col("old_decoded"), F.col("table_name"), key_columns) != F.col("row_key"))
+    size = F.coalesce(F.size("new_decoded"), F.lit(0))
+    named = change_log.filter(F.col("table_name").isNotNull() & F.col("row_key").isNotNull())
+    return named.groupBy("table_name", "row_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("op") == "I", size)).alias("width"), F.min(F.when(moved, size)).alias("narrow"))
+
+
+def hot_rows_of(change_log: DataFrame, counts: DataFrame, hot_rows: int) -> DataFrame | None:
+    """(table_name, row_key, bounds) of rows with more than ``hot_rows`` changes (n in ``counts``), or None.
+
+    ``bounds`` cut a row's changes into a power of two of slices of at most about
+    ``hot_rows`` each, by its own quantiles. However many rows are hot, they stay a
+    table; Spark broadcasts it only while it is small.
+    """
+    slices = F.ceil(F.log2(F.col("n") / F.lit(hot_rows))).cast("int")
+    hot = storage.materialize(counts.filter(F.col("n") > hot_rows).select("table_name", "row_key", F.greatest(slices, F.lit(1)).alias("doublings")), "hot")
+    most = hot.agg(F.max("doublings")).first()[0]
+    if most is None:
         return None
-    spark = change_log.sparkSession
-    keys = spark.createDataFrame([(r["table_name"], r["row_key"]) for r in hot], "table_name string, row_key string")
-    pieces = {(r["table_name"], r["row_key"]): min(max_slices, -(-r["n"] // hot_rows)) for r in hot}
-    most = max(pieces.values())
-    marks = change_log.join(F.broadcast(keys), ["table_name", "row_key"]).groupBy("table_name", "row_key").agg(F.percentile_approx(F.col("lsn").cast("bigint"), [i / most for i in range(1, most)] or [0.5], 10_000).alias("bounds"))
-    rows = [(r["table_name"], r["row_key"], sorted(set(r["bounds"]))) for r in marks.collect()]
-    return spark.createDataFrame(rows, "table_name string, row_key string, bounds array<bigint>")
+    at = F.col("lsn").cast("bigint")
+    cuts = [F.percentile_approx(F.when(F.col("doublings") == d, at), [i / 2**d for i in range(1, 2**d)], max(10_000, 4 * 2**d)) for d in range(1, most + 1)]
+    marks = change_log.select("table_name", "row_key", "lsn").join(hot, ["table_name", "row_key"]).groupBy("table_name", "row_key").agg(F.array_sort(F.array_distinct(F.coalesce(*cuts))).alias("bounds"))
+    return storage.materialize(marks, "hot")
 
 
 def sliced(events: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Events with their slice: 0 for rows that aren't hot, 1, 2, ... in order of sequence for those that are."""
     if hot is None:
         return events
-    joined = events.join(F.broadcast(hot), ["table_name", "row_key"], "left")
+    joined = events.join(hot, ["table_name", "row_key"], "left")
     return joined.withColumn("slice", F.when(F.col("bounds").isNull(), 0).otherwise(1 + F.size(F.filter("bounds", lambda b: b < F.col("seq")))).cast("int")).drop("bounds")
 
 
@@ -184,59 +194,107 @@ def fold(events: DataFrame, any_hot: bool) -> DataFrame:
     return again.mapInArrow(fold_batches, SUMMARY)
 
 
-def narrow_moves(change_log: DataFrame, key_columns: dict[str, list[str]]) -> dict[str, int]:
-    """Tables in which a moving update leaves columns out, with the number of columns of their inserts.
+# --- the state before a slice, and before a sequence ---------------------------
 
-    One pass with an aggregate per table; committed or not, so at worst too many tables are named.
-    """
-    moved = (F.col("op") == "U") & (key_from(F.col("old_decoded"), F.col("table_name"), key_columns) != F.col("row_key"))
-    size = F.coalesce(F.size("new_decoded"), F.lit(0))
-    rows = change_log.groupBy("table_name").agg(F.max(F.when(F.col("op") == "I", size)).alias("width"), F.min(F.when(moved, size)).alias("narrow")).filter("narrow < width").collect()
+_CARRIED = "table_name string, row_key string, slice int, seq bigint, last_kind int, cols map<string,string>, moved_from string, put_seq bigint"
+_CARRIED_ARROW = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("slice", pa.int32()), ("seq", pa.int64()), ("last_kind", pa.int32()), ("cols", pa.map_(pa.string(), pa.string())), ("moved_from", pa.string()), ("put_seq", pa.int64())])
+
+
+def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From slice summaries in order: for each slice, the fold of all slices before it (none for the first)."""
+    row, state = None, None
+    for batch in batches:
+        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        out = []
+        for table, key, part, seq, kind, cols, moved, put in zip(*(col[n].to_pylist() for n in ("table_name", "row_key", "slice", "seq", "kind")), map_lists(col["cols"]), col["moved_from"].to_pylist(), col["put_seq"].to_pylist()):
+            if row != (table, key):
+                row, state = (table, key), RowState()
+            elif state.kind >= 0:
+                out.append((table, key, part, state.seq, state.kind, list(state.cols.items()), state.moved_from, state.put_seq))
+            state.apply(seq, kind, cols, moved, put)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_CARRIED_ARROW.types)], schema=_CARRIED_ARROW)
+
+
+def carried(events: DataFrame) -> DataFrame:
+    """The state before each slice of hot rows, but their first. Its sequence lies before all of the slice."""
+    summaries = in_order(events.select(*EVENT_COLUMNS).filter(F.col("slice") > 0)).select(*SUMMARY_INPUT).mapInArrow(fold_batches, SUMMARY)
+    return summaries.repartition("table_name", "row_key").sortWithinPartitions("table_name", "row_key", "slice").mapInArrow(prefixes, _CARRIED)
+
+
+_ANSWER = "table_name string, row_key string, seq bigint, source string, cols map<string,string>, moved_from string, put_seq bigint"
+_ANSWER_ARROW = pa.schema([("table_name", pa.string()), ("row_key", pa.string()), ("seq", pa.int64()), ("source", pa.string()), ("cols", pa.map_(pa.string(), pa.string())), ("moved_from", pa.string()), ("put_seq", pa.int64())])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each PROBE among events in order, the state its row has there, if the row exists."""
+    group, state, last = None, None, None
+    for batch in batches:
+        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        lists = [col[n].to_pylist() for n in ("table_name", "row_key", "slice", "seq", "kind", "moved_from", "put_seq", "last_kind", "ask")]
+        out = []
+        for table, key, part, seq, kind, moved, put, before, ask, cols in zip(*lists, map_lists(col["cols"])):
+            if group != (table, key, part):
+                group, state, last = (table, key, part), RowState(), None
+            if kind == PROBE:
+                if state.kind in (PUT, PATCH):
+                    out.append((table, ask, seq, key, list(state.cols.items()), state.moved_from, state.put_seq))
+            elif kind == CARRY:
+                state.kind, state.seq, state.cols, state.moved_from, state.put_seq = before, seq, cols, moved, put
+            elif last is None or (seq, kind) > last:
+                last = (seq, kind)
+                state.apply(seq, kind, cols, moved)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_ANSWER_ARROW.types)], schema=_ANSWER_ARROW)
+
+
+def widths_of(counts: DataFrame) -> dict[str, int]:
+    """Tables in which a moving update leaves columns out, with the number of columns of their inserts. One row a table."""
+    rows = counts.groupBy("table_name").agg(F.max("width").alias("width"), F.min("narrow").alias("narrow")).filter("narrow < width").collect()
     return {r["table_name"]: r["width"] for r in rows}
 
 
-def complete_moves(events: DataFrame, widths: dict[str, int], any_hot: bool, merge_rounds: int = 32) -> DataFrame:
+def complete_moves(events: DataFrame, widths: dict[str, int], hot: DataFrame | None) -> DataFrame:
     """Give each moving update the columns it left out, from the state of its old key just before.
 
-    Rounds follow chains of such moves to their end, however long: each goes to smaller
-    sequences and touches only the rows at the chain's far end. What ``merge_rounds``
-    rounds found is put into one table, so that plans stay small.
+    What a move finds there goes back to the old key's last PUT. If that is such a
+    move too, the rest is what that one finds: each move points to the next, and
+    every round joins the table of moves with itself and doubles how far they point.
     """
     if not widths:
         return events
     width = F.element_at(F.create_map(*(F.lit(x) for t, n in sorted(widths.items()) for x in (t, n))), F.col("table_name"))
     short = (F.col("kind") == PUT) & F.col("moved_from").isNotNull() & F.coalesce(F.size("cols") < width, F.lit(False))
-    todo = storage.materialize(events.filter(short).groupBy("table_name", "row_key", "seq").agg(F.first("moved_from").alias("source")).withColumn("before", F.col("seq")), "moves")
-    found: list[DataFrame] = []
-    while not todo.isEmpty():
-        if len(found) == merge_rounds:
-            found = [storage.materialize(reduce(DataFrame.unionByName, found), "moves")]
-        asks = todo.select("table_name", F.to_json(F.struct(F.col("row_key").alias("key"), "seq")).alias("ask"), F.col("source").alias("row_key"), "before")
-        past = events.join(asks, ["table_name", "row_key"]).filter(F.col("seq") < F.col("before")).withColumn("row_key", F.col("ask"))
-        got = fold(past.select(*EVENT_COLUMNS), any_hot).filter(F.col("kind") != DROP)
-        got = got.select("table_name", F.get_json_object("row_key", "$.key").alias("row_key"), F.get_json_object("row_key", "$.seq").cast("bigint").alias("seq"), "cols", "moved_from", F.coalesce("put_seq", F.lit(-1)).alias("before"))
-        got = storage.materialize(got, "moves")
-        found.append(got)
-        todo = got.filter(F.col("moved_from").isNotNull() & (F.size("cols") < width)).select("table_name", "row_key", "seq", F.col("moved_from").alias("source"), "before")
-    if not found:
+    moves = storage.materialize(events.filter(short).groupBy("table_name", "row_key", "seq").agg(F.min("moved_from").alias("source")), "moves")
+    if moves.isEmpty():
         return events
-    older = reduce(DataFrame.unionByName, found).groupBy("table_name", "row_key", "seq").agg(F.sort_array(F.collect_list(F.struct("before", F.map_entries("cols").alias("cols")))).alias("past"))
+    asked = moves.select("table_name", F.col("source").alias("row_key")).distinct()
+    empty, text, number = F.create_map().cast("map<string,string>"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    more = {"put_seq": number, "last_kind": F.lit(None).cast("int"), "ask": text}
+    past = events.select(*EVENT_COLUMNS).join(asked, ["table_name", "row_key"], "left_semi")
+    probes = sliced(moves.select("table_name", F.col("source").alias("row_key"), F.lit(0).alias("slice"), "seq", F.lit(PROBE).alias("kind"), empty.alias("cols"), text.alias("moved_from"), F.lit(0).cast("bigint").alias("tie"), F.col("row_key").alias("ask")), hot)
+    walked = past.withColumns(more).unionByName(probes.withColumns({n: c for n, c in more.items() if n != "ask"}))
+    if hot is not None:
+        walked = walked.unionByName(carried(past).withColumns({"kind": F.lit(CARRY), "tie": F.lit(0).cast("bigint"), "ask": text}))
+    answers = in_order(walked).select("table_name", "row_key", "slice", "seq", "kind", "cols", "moved_from", "put_seq", "last_kind", "ask").mapInArrow(_answers, _ANSWER)
+    on = F.col("moved_from").isNotNull() & (F.size("cols") < width)
+    found = storage.materialize(answers.select("table_name", "row_key", "seq", "cols", F.when(on, F.col("source")).alias("next_key"), F.when(on, F.col("put_seq")).alias("next_seq")), "moves")
     merge = lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
-    base = F.aggregate("past", F.create_map().cast("map<string,string>"), lambda acc, p: merge(acc, F.map_from_entries(p["cols"])))
-    filled = events.filter(short).join(older, ["table_name", "row_key", "seq"], "left")
-    filled = filled.withColumn("cols", F.when(F.col("past").isNull(), F.col("cols")).otherwise(merge(base, F.col("cols"))))
+    while not found.filter("next_seq is not null").isEmpty():
+        far = found.select("table_name", F.col("row_key").alias("next_key"), F.col("seq").alias("next_seq"), F.col("cols").alias("far"), F.col("next_key").alias("far_key"), F.col("next_seq").alias("far_seq"))
+        cols = F.when(F.col("far").isNull(), F.col("cols")).otherwise(merge(F.col("far"), F.col("cols")))
+        found = storage.materialize(found.join(far, ["table_name", "next_key", "next_seq"], "left").select("table_name", "row_key", "seq", cols.alias("cols"), F.col("far_key").alias("next_key"), F.col("far_seq").alias("next_seq")), "moves")
+    filled = events.filter(short).join(found.select("table_name", "row_key", "seq", F.col("cols").alias("past")), ["table_name", "row_key", "seq"], "left")
+    filled = filled.withColumn("cols", F.when(F.col("past").isNull(), F.col("cols")).otherwise(merge(F.col("past"), F.col("cols"))))
     return events.filter(~short).unionByName(filled.select(*events.columns))
 
 
-def current_state(change_log: DataFrame, commits: DataFrame, key_columns: dict[str, list[str]], *, hot_rows: int = 50_000, columns: bool = True) -> DataFrame:
-    """(table_name, row_key, lsn, cols): every row that exists after all committed changes.
-
-    ``columns=False`` leaves the column values out (they then don't travel).
-    """
-    log = change_log if columns else change_log.withColumn("new_decoded", F.lit(None).cast("map<string,string>"))
-    hot = hot_rows_of(change_log.select("table_name", "row_key", "lsn"), hot_rows)
-    events = committed(sliced(row_events(log, key_columns, ["slot_name", "xid"]), hot), commits)
-    if columns:
-        events = complete_moves(events, narrow_moves(change_log, key_columns), hot is not None)
+def current_state(change_log: DataFrame, commits: DataFrame, key_columns: dict[str, list[str]], *, hot_rows: int = 50_000) -> DataFrame:
+    """(table_name, row_key, lsn, cols): every row that exists after all committed changes."""
+    counts = profile(change_log, key_columns).persist()
+    try:
+        hot, widths = hot_rows_of(change_log, counts, hot_rows), widths_of(counts)
+    finally:
+        counts.unpersist()
+    events = committed(sliced(row_events(change_log, key_columns, ["slot_name", "xid"]), hot), commits)
+    events = complete_moves(events, widths, hot)
     state = fold(events.select(*EVENT_COLUMNS), hot is not None).filter(F.col("kind") != DROP)
     return state.select("table_name", "row_key", F.col("seq").alias("lsn"), "cols")

@@ -34,7 +34,7 @@ def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return replay.current_state(table(spark, sf, "change_log"), table(spark, sf, "wal_commits"), KEY_COLUMNS, columns=False).drop("cols")
+    return replay.current_state(table(spark, sf, "change_log"), table(spark, sf, "wal_commits"), KEY_COLUMNS).drop("cols")
 
 
 def p3_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_history(spark: SparkSession, sf: str) -> DataFrame:
     """Satellite rows with the time each was valid."""
     rows = history.with_end_times(_satellites(spark, sf))
-    return rows.select("table_name", "row_key", "satellite", "lsn", "valid_from", "valid_to", F.hex("hash_diff").alias("hash_diff"), F.to_json("attrs").alias("attrs"))
+    return rows.select("table_name", "row_key", "satellite", "lsn", "valid_from", "valid_to", "hash_diff", F.to_json("attrs").alias("attrs"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p3_found, p3_state, p4_found, p5_found, p5_history)}
