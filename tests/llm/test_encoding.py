@@ -95,3 +95,47 @@ def test_the_better_operation_of_a_line_is_kept():
     known = encoding.Company(dict.fromkeys(encoding.company_of(czech), 50))
     lines = [*(garble(f"{x} přenos čtení", "iso8859-2", "latin-1") for x in ("řádků", "dlouhý řetězec", "příliš")), garble(czech, "cp1250", "cp1252")]
     assert encoding.restore_text("\n".join(lines), known)[0].split("\n")[-1] == czech
+
+
+HEBREW, ARABIC, THAI = "בדיקת התור אחרי כשל השרת", "فحص الطابور بعد فشل الخادم", "ตรวจสอบคิวหลังจากเซิร์ฟเวอร์ล้มเหลว"
+
+
+@pytest.mark.parametrize("text,right", [(HEBREW, "cp1255"), (ARABIC, "cp1256"), (THAI, "cp874"), (TEXTS[3], "cp1251"), (TEXTS[4], "cp1253")])
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+def test_scripts_are_not_taken_for_each_other(text, right, wrong):
+    assert encoding.restore_line(garble(text, right, wrong))[0] == text
+    assert encoding.restore_text(text) == (text, 0, 0)
+
+
+@pytest.mark.parametrize("layers", [4, 8, 11])
+def test_garbled_many_times(layers):
+    for text in ("Größe für alle", "schön – über"):
+        bad = text
+        for i in range(layers):
+            bad = garble(bad, "utf-8", "cp1252" if i % 2 else "latin-1")
+        new, path = encoding.restore_line(bad)
+        assert new == text and len(path) >= layers
+
+
+def test_a_legacy_misreading_below_layers_of_utf8():
+    bad = garble(garble(garble("Проверка очереди после сбоя узла", "cp1251", "cp1252"), "utf-8", "cp1252"), "utf-8", "latin-1")
+    new, path = encoding.restore_line(bad)
+    assert new == "Проверка очереди после сбоя узла" and path[-1].endswith("cp1251") and len(path) == 3
+
+
+def test_a_garbled_passage_beside_wide_characters():
+    for good, right, wrong in (("Größe und Übung", "cp1252", "mac_roman"), ("Проверка очереди", "cp1251", "latin-1")):
+        assert encoding.restore_line(f"東京 の店 {garble(good, right, wrong)}")[0] == f"東京 の店 {good}"
+    assert encoding.restore_line("東京 の店 – é")[1] == ()
+
+
+def test_a_long_line_is_searched_whole():
+    good = "x = 1; // Größe für alle Läufe; " * 3000
+    assert encoding.restore_line(garble(good, "utf-8", "cp1252"))[0] == good
+
+
+def test_names_go_by_the_company_of_their_letters():
+    names = ["Кшажор Нэртор", "Линлинфом Нэрфом", "Фомцижор Щущу"]
+    known = encoding.Company(dict.fromkeys((x for n in names for x in encoding.company_of(n)), 9))
+    for name in names:
+        assert encoding.restore_text("Author: " + garble(name, "cp1251", "cp1252"), known)[0] == "Author: " + name

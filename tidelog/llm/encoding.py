@@ -9,7 +9,13 @@ than the line itself. Texts garbled several times are peeled layer by layer.
 
 UTF-8 shows itself, so for it only the byte sequences that are valid are decoded
 and the rest of the line stays: a garbled passage in a good line is found. Other
-encodings must explain the whole non-ASCII part of the line.
+encodings must explain the whole non-ASCII part of the line (of what isn't written
+in wide characters, where there are some).
+
+The search has no bound on states or on the length of a path. It ends because undoing
+UTF-8 or an entity shortens the text, because another encoding can only have been
+misread once, before all misreadings of UTF-8, and because no text costs less than
+nothing: a path that has already paid as much as the best text costs is given up.
 
 Wrong letters that are all letters of some language look fine one by one. What gives
 them away is their company: letter pairs and triples are counted over all documents,
@@ -32,6 +38,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -45,7 +52,7 @@ WRONG = ["latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "cp1253", "cp1254
 #: (wrong, right) for texts that weren't UTF-8 to begin with.
 PAIRS = [
     ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"),
-    *((w, r) for w in ("latin-1", "cp1252") for r in ("gb2312", "cp932", "euc_jp", "euc_kr", "cp1251", "koi8-r", "cp1250", "iso8859-2", "cp1254", "cp1253", "cp1252", "cp437", "cp850", "mac_roman") if w != r),
+    *((w, r) for w in ("latin-1", "cp1252") for r in ("gb2312", "cp932", "euc_jp", "euc_kr", "cp1251", "koi8-r", "cp1250", "iso8859-2", "cp1254", "cp1253", "cp1252", "cp437", "cp850", "mac_roman", "cp1255", "cp1256", "cp874") if w != r),
     ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "cp866"), ("iso8859-2", "cp1250"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp437", "cp866"),
 ]
 #: Multi-byte encodings by which UTF-8 gets wrongly decoded.
@@ -90,6 +97,11 @@ def _looks_utf8(encoding: str) -> re.Pattern:
     return re.compile(f"[{chars(0xC2, 0xF5)}][{chars(0x80, 0xC0)}]")
 
 
+@lru_cache(None)
+def _any_utf8() -> re.Pattern:
+    return re.compile("|".join(_looks_utf8(w).pattern for w in WRONG))
+
+
 def undo_utf8(line: str, wrong: str) -> str | None:
     """Decode the valid UTF-8 sequences among the bytes that ``wrong`` turned into characters."""
     if not _looks_utf8(wrong).search(line):
@@ -107,24 +119,68 @@ def undo_utf8(line: str, wrong: str) -> str | None:
 
 _DOUBLE = {"gb2312", "cp932", "euc_jp", "euc_kr"}
 _TWO_WIDE = re.compile("[\u3041-\u30ff\u4e00-\u9fff\uac00-\ud7a3]{2}")
-_SPAN = re.compile(r"[^\x00-\x7f](?:.*[^\x00-\x7f])?[@-~]?", re.S)
+#: From the first non-ASCII character to the last and one more, apart from runs of wide characters.
+_NARROW = "(?:(?![\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef])[^\x00-\x7f])"
+_PARTS = re.compile(f"{_NARROW}(?:[^\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]*{_NARROW})?[@-~]?")
+_RIGHTS: dict[str, list[str]] = {}
+for _wrong, _right in PAIRS:
+    _RIGHTS.setdefault(_wrong, []).append(_right)
 
 
-def undo_pair(line: str, wrong: str, right: str) -> str | None:
-    """Encode the non-ASCII part of the line with ``wrong`` and decode it with ``right``, all of it or nothing."""
-    m = _SPAN.search(line)
-    if not m:
-        return None
-    span = m[0]
-    for part in (span, span[:-1]) if span[-1] < "\x80" else (span,):
+_WIDE_CHAR = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]+")
+
+
+def _spans(line: str, wrong: str) -> list[tuple[int, int, list[bytes]]] | None:
+    """(start, end, bytes with and without an ASCII character at the end) of what must be undone; None where something was never bytes of ``wrong``."""
+    out = []
+    for m in _PARTS.finditer(line):
+        span = m[0]
+        raw = span.translate(_to_bytes(wrong))
         try:
-            new = part.translate(_to_bytes(wrong)).encode("latin-1").decode(right)
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-        if new == part or (right in _DOUBLE and not _TWO_WIDE.search(new)):
+            whole = raw.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        out.append((m.start(), m.end(), [whole, whole[:-1]] if span[-1] < "\x80" else [whole]))
+    return out
+
+
+def _decoded(line: str, spans: list[tuple[int, int, list[bytes]]], right: str) -> str | None:
+    parts, at = [], 0
+    for start, end, ways in spans:
+        for raw in ways:
+            try:
+                new = raw.decode(right)
+                break
+            except UnicodeDecodeError:
+                continue
+        else:
+            return None
+        if right in _DOUBLE and not _TWO_WIDE.search(new):
             return None
-        return line[: m.start()] + new + line[m.start() + len(part) :]
-    return None
+        parts += [line[at:start], new]
+        at = start + len(raw)
+    new = "".join((*parts, line[at:]))
+    return new if new != line else None
+
+
+def undo_pair(line: str, wrong: str, right: str) -> str | None:
+    """Encode the non-ASCII part of the line with ``wrong`` and decode it with ``right``, all of it or nothing.
+
+    Wide characters were never bytes of a single-byte encoding: what stands between them is undone, all of that or nothing.
+    """
+    spans = _spans(line, wrong)
+    return _decoded(line, spans, right) if spans else None
+
+
+def undo_pairs(line: str) -> Iterator[tuple[str, str, str]]:
+    """(wrong, right, text) of all pairs that explain the line. The bytes are made once for each wrong encoding."""
+    if not _PARTS.search(line):
+        return
+    for wrong, rights in _RIGHTS.items():
+        spans = _spans(line, wrong)
+        for right in rights if spans else ():
+            if (new := _decoded(line, spans, right)) is not None:
+                yield wrong, right, new
 
 
 _RUNS = re.compile(r"[^\x00-\x7f]+[!-~]?")
@@ -160,6 +216,7 @@ def unescape(line: str) -> str | None:
 _CYRILLIC = "оеаинтсрвлікмдпуяыьгзбчйхжшюїєцщэфґъё"
 _GREEK = "αοιετσνηυρπκμλςωδγχθφβξζψίόέάήύώϊϋΐΰ"
 _CYRILLIC_COST = {c: 0.55 + 0.025 * i for i, c in enumerate(_CYRILLIC)}
+_GREEK_COST = {c: 0.6 + 0.025 * i if i < 24 else 0.8 for i, c in enumerate(_GREEK)}
 # Accented letters of the languages that texts here are commonly written in, and signs used in running text.
 _LATIN = "áàâäãåçéèêëíìîïñóòôöõøúùûüýÿßæœąćęłńśźżčďěňřšťůžğışőűđðþ"
 _SIGNS = "’“”–—…•·°±µ©®™€£§«»¿¡×÷½¼¾²³→←↑↓⇒≤≥≠≈‘"
@@ -186,7 +243,13 @@ def _char(c: str) -> tuple[float, str]:
         return (_CYRILLIC_COST.get(low, 3.0), "cyr_u" if c != low else "cyr")
     if 0x370 <= o < 0x400:
         low = c.lower()
-        return (0.8 if low in _GREEK else 1.8), ("gre_u" if c != low else "gre")
+        return _GREEK_COST.get(low, 1.8), ("gre_u" if c != low else "gre")
+    if 0x5D0 <= o < 0x5EB:
+        return 0.8, "heb"
+    if 0x620 <= o < 0x6D3 and c.isalpha():
+        return 0.8, "ara"
+    if 0xE01 <= o < 0xE5C:
+        return 0.95, "tha"
     if 0x3041 <= o < 0x3100:
         return 0.9, "kana"
     if 0x4E00 <= o < 0xA000:
@@ -218,7 +281,7 @@ def _char(c: str) -> tuple[float, str]:
     return 2.4, "other"
 
 
-_SCRIPT = {"upper": "l", "lower": "l", "ascii_u": "l", "ascii_l": "l", "cyr": "c", "cyr_u": "c", "gre": "g", "gre_u": "g", "han": "h", "han_cn": "h", "kana": "h", "hangul": "k"}
+_SCRIPT = {"upper": "l", "lower": "l", "ascii_u": "l", "ascii_l": "l", "cyr": "c", "cyr_u": "c", "gre": "g", "gre_u": "g", "han": "h", "han_cn": "h", "kana": "h", "hangul": "k", "heb": "b", "ara": "a", "tha": "t"}
 _NON_ASCII = re.compile("[^\x00-\x7f]+")
 _KANA = re.compile("[\u3041-\u30fe]")
 _CLOSING, _OPENING = frozenset("’”…»"), frozenset("“‘«¿¡€£©±½•→")
@@ -228,15 +291,17 @@ def _ascii_kind(c: str) -> str:
     return ("ascii_u" if c.isupper() else "ascii_l") if c.isalpha() else "digit" if c.isdigit() else ""
 
 
-@lru_cache(100_000)
-def implausibility(line: str) -> tuple[float, bool]:
+def implausibility(line: str, limit: float = math.inf) -> tuple[float, bool]:
     """Cost of the line's non-ASCII characters, in themselves and beside their neighbours, and whether anything is odd.
 
-    ASCII costs nothing. A line in which nothing is odd needs no search.
+    ASCII costs nothing. A line in which nothing is odd needs no search. Characters
+    only add to the cost, so counting may stop when it is above the ``limit``.
     """
     total, odd = 0.0, 0.0
     japanese = bool(_KANA.search(line))
     for m in _NON_ASCII.finditer(line):
+        if total > limit:
+            return total, True
         a, b = m.span()
         last = _ascii_kind(line[a - 1]) if a else ""
         run = caps = 0
@@ -309,57 +374,52 @@ def implausibility(line: str) -> tuple[float, bool]:
 
 # --- search ------------------------------------------------------------------
 
-#: What a restored line must gain, what each operation and each that isn't about UTF-8 costs, and how many states a line may reach.
-_MIN_GAIN, _OP_COST, _PAIR_COST, _MAX_STATES = 0.3, 0.35, 0.85, 400
-
+#: What a restored line must gain, what each operation and each that isn't about UTF-8 costs.
+_MIN_GAIN, _OP_COST, _PAIR_COST = 0.3, 0.35, 0.85
+#: Lines up to this length are remembered with their result, so that memory is bounded by bytes, not by lines.
+_SHORT = 240
 
-_WIDE_CHAR = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
 
-
-def _neighbours(line: str, pairs: bool) -> Iterator[tuple[str, str, float]]:
-    if not _WIDE_CHAR.search(line):
-        for wrong in WRONG:
-            new = undo_utf8(line, wrong)
-            if new is not None:
-                yield f"{wrong}>utf-8", new, 0.0
-        for wrong, right in PAIRS if pairs else ():
-            new = undo_pair(line, wrong, right)
-            if new is not None:
-                yield f"{wrong}>{right}", new, _PAIR_COST
-    else:
+def _neighbours(line: str) -> Iterator[tuple[str, str, float]]:
+    for wrong in WRONG:
+        new = undo_utf8(line, wrong)
+        if new is not None:
+            yield f"{wrong}>utf-8", new, 0.0
+    if _WIDE_CHAR.search(line):
         for wrong in WIDE:
             new = undo_wide(line, wrong)
             if new is not None:
                 yield f"{wrong}>utf-8", new, 0.5
-        for wrong in WRONG:  # a good wide passage beside a garbled narrow one
-            new = undo_utf8(line, wrong)
-            if new is not None:
-                yield f"{wrong}>utf-8", new, 0.0
     new = unescape(line)
     if new is not None:
         yield "unescape", new, 0.5
 
 
-@lru_cache(200_000)
-def restore_line(line: str) -> tuple[str, tuple[str, ...]]:
-    """The cheapest text reachable from the line and the operations that lead there (none: it is fine as it is)."""
+def _open(line: str, odd: bool) -> bool:
+    """Whether the line may still hold something to undo."""
+    return odd or _any_utf8().search(line) is not None
+
+
+def _search(line: str) -> tuple[str, tuple[str, ...]]:
     if _ENTITY.search(line):
         plain = html.unescape(line)
         new, path = restore_line(plain) if plain != line else (line, ())
         if path:
             return new, ("unescape", *path)
     start, odd = implausibility(line)
-    if not odd and not any(_looks_utf8(w).search(line) for w in WRONG):
+    if not _open(line, odd):
         return line, ()
     best = (start - _MIN_GAIN, line, ())
     visited = {hash(line)}
-    heap = [(start, 0, line, (), 0.0)]
+    heap = [(start, 0, line, (), 0.0, True)]
     serial = 0
-    while heap and len(visited) < _MAX_STATES:
-        _, _, text, path, spent = heapq.heappop(heap)
-        if len(path) >= 6:
-            continue
-        for op, new, extra in _neighbours(text, not path):
+    while heap:
+        at, _, text, path, spent, more = heapq.heappop(heap)
+        if not more:
+            break  # nothing is left to undo in it, and all others look worse
+        if spent + _OP_COST >= best[0]:
+            continue  # whatever lies behind costs more than the best so far
+        for op, new, extra in _neighbours(text):
             h = hash(new)
             if h in visited:
                 continue
@@ -368,38 +428,57 @@ def restore_line(line: str) -> tuple[str, tuple[str, ...]]:
             way = (*path, op)
             if any(o != "unescape" for o in way) and cost + paid < best[0]:
                 best = (cost + paid, new, way)
-            # a state much worse than the line leads nowhere, one with nothing odd is an end, and only UTF-8 gets garbled twice
-            if cost < start + 4 and (odd or op == "unescape") and (op == "unescape" or op.endswith("utf-8")):
-                serial += 1
-                heapq.heappush(heap, (cost + paid, serial, new, way, paid))
+            serial += 1
+            heapq.heappush(heap, (cost + paid, serial, new, way, paid, op == "unescape" or _open(new, odd)))
+        paid = spent + _OP_COST + _PAIR_COST
+        for wrong, right, new in undo_pairs(text) if paid < best[0] else ():
+            cost, _ = implausibility(new, best[0] - paid)
+            if cost + paid < best[0]:
+                best = (cost + paid, new, (*path, f"{wrong}>{right}"))
     return best[1], best[2]
 
 
+_remembered = lru_cache(50_000)(_search)
+
+
+def restore_line(line: str) -> tuple[str, tuple[str, ...]]:
+    """The cheapest text reachable from the line and the operations that lead there (none: it is fine as it is)."""
+    return _remembered(line) if len(line) <= _SHORT else _search(line)
+
+
 # --- company of letters ------------------------------------------------------
 
 #: What the letters' company must gain (log of the documents that have it) in a line alone, and where other lines of the text say what happened.
 _MIN_COMPANY, _SOME_COMPANY = 3.0, 0.5
-#: Documents that must have a pair or triple for it to count as known, and how many of these are kept at most, the most frequent ones.
-_KNOWN, _MAX_COMPANY = 2, 100_000
+#: Documents that must have a pair or triple for it to count as known, and the number of buckets that they are counted in (by
+#: hash, so that the table is bounded whatever languages there are; two that share a bucket count together).
+_KNOWN, _BUCKETS = 2, 1 << 20
 
-_WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0370-\u03ff\u0400-\u052f\u1e00-\u1eff]+")
+_WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0370-\u03ff\u0400-\u052f\u0590-\u06ff\u0e00-\u0e7f\u1e00-\u1eff]+")
 
 
-@lru_cache(100_000)
-def _company(word: str) -> tuple[str, ...]:
-    """Pairs and triples of letters and word ends that hold a letter outside ASCII."""
+@lru_cache(50_000)
+def _company(word: str) -> tuple[int, ...]:
+    """Buckets of the pairs and triples of letters and word ends that hold a letter outside ASCII."""
     w = f" {word.lower()} "
-    return tuple(x for n in (2, 3) for i in range(len(w) - n + 1) if not (x := w[i : i + n]).isascii())
+    return tuple(bucket(x) for n in (2, 3) for i in range(len(w) - n + 1) if not (x := w[i : i + n]).isascii())
+
+
+def bucket(letters: str) -> int:
+    return crc32(letters.encode("utf-8", "surrogatepass")) % _BUCKETS
 
 
-def company_of(text: str) -> set[str]:
+def company_of(text: str) -> set[int]:
     return {x for word in set(_WORD.findall(text)) if not word.isascii() for x in _company(word)}
 
 
+_OTHER_SCRIPT = re.compile("[\u0370-\u05ff\u0600-\u06ff\u0e00-\u0e7f]")
+
+
 class Company:
-    """In how many documents each pair and triple stands, and what an operation gains by it."""
+    """In how many documents each pair and triple stands (by bucket), and what an operation gains by it."""
 
-    def __init__(self, documents: dict[str, int]):
+    def __init__(self, documents: dict[int, int]):
         self.documents = documents
 
     def score(self, line: str) -> tuple[float, int, int]:
@@ -408,29 +487,56 @@ class Company:
         return sum(math.log(x + 0.5) for x in n), len(n), min(n, default=0)
 
     def gain(self, line: str, new: str) -> float:
-        """0 where the two don't compare: signs became letters, or the new letters keep company that isn't known."""
+        """0 where the two don't compare: signs became letters, or the new letters keep company that isn't known.
+
+        Characters that make no words (Chinese, Japanese) keep no company of their own.
+        """
         (before, n, _), (after, m, rarest) = self.score(line), self.score(new)
-        return after - before if n == m and rarest >= _KNOWN else 0.0
+        return after - before if (n == m or (not n and _TWO_WIDE.search(line))) and rarest >= _KNOWN else 0.0
+
+    def _best(self, line: str, found: str, least: float, limit: float) -> tuple[str, tuple[str, ...]]:
+        """What a last step makes of ``line`` with the greatest gain over ``found``, if that is above ``least``."""
+        best = (least, found, ())
+        tried = {found}
+        for wrong, right, new in undo_pairs(line):
+            if new in tried:
+                continue
+            tried.add(new)
+            if (gain := self.gain(found, new)) > best[0] and implausibility(new, limit)[0] <= limit:
+                best = (gain, new, (f"{wrong}>{right}",))
+        return best[1], best[2]
 
     def restore(self, line: str) -> tuple[str, tuple[str, ...]]:
         """The line after the operation that gains most, if that is enough."""
-        best = (_MIN_COMPANY, line, ())
-        if self.score(line)[1]:
-            limit = implausibility(line)[0] + 0.5
-            tried = set()
-            for wrong, right in PAIRS:
-                new = undo_pair(line, wrong, right)
-                if new is None or new in tried:
-                    continue
-                tried.add(new)
-                if (gain := self.gain(line, new)) > best[0] and implausibility(new)[0] <= limit:
-                    best = (gain, new, (f"{wrong}>{right}",))
-        return best[1], best[2]
+        return self._best(line, line, _MIN_COMPANY, implausibility(line)[0] + 0.5) if self.score(line)[1] else (line, ())
 
+    def choose(self, line: str, found: str, path: tuple[str, ...]) -> tuple[str, tuple[str, ...]]:
+        """Of the encodings that explain the line about as well as the one found, that whose letters keep the best company."""
+        wrong, _, right = path[-1].partition(">")
+        if right in ("utf-8", "") or not (right in _DOUBLE or _OTHER_SCRIPT.search(found)):
+            return found, path
+        limit = implausibility(found)[0] * 1.3 + 1.0
+        for way in dict.fromkeys((path[:-1], ())):  # what looked like UTF-8 on the way may not have been
+            new, last = self._best(follow(line, way), found, _MIN_COMPANY, limit)
+            if last:
+                return new, (*way, *last)
+        return found, path
 
-@lru_cache(200_000)
-def _restored(company: Company, line: str) -> tuple[str, tuple[str, ...]]:
-    return company.restore(line)
+
+def follow(line: str, path: tuple[str, ...]) -> str:
+    """The line after a way of operations that was found for it."""
+    for op in path:
+        wrong, _, right = op.partition(">")
+        line = (html.unescape(line) if not right else undo_pair(line, wrong, right) if right != "utf-8" else undo_wide(line, wrong) if wrong in WIDE else undo_utf8(line, wrong)) or line
+    return line
+
+
+def _with_company(company: Company, line: str) -> tuple[str, tuple[str, ...]]:
+    new, path = restore_line(line)
+    return company.choose(line, new, path) if path else company.restore(line)
+
+
+_remembered_with = lru_cache(50_000)(_with_company)
 
 
 _LINE = re.compile(r"[^\r\n]+")
@@ -464,12 +570,10 @@ def restore_text(text: str, company: Company | None = None) -> tuple[str, int, i
         elif not s.isascii() or "&" in s:
             # indentation and diff marks aren't part of what is looked up again and again
             body = s.lstrip(" \t+-#/*")
-            found = restore_line(body)
-            if not found[1] and company:
-                found = _restored(company, body)
+            found = restore_line(body) if not company else (_remembered_with if len(body) <= _SHORT else _with_company)(company, body)
             if found[1]:
                 lines[s] = (s[: len(s) - len(body)] + found[0], found[1])
-            elif company or implausibility(body)[1]:
+            else:
                 open_lines[s] = None
     if not lines:
         return text, 0, lost
@@ -477,7 +581,7 @@ def restore_text(text: str, company: Company | None = None) -> tuple[str, int, i
     if single:
         common = min(single, key=lambda p: (-single[p], p))
         for s in open_lines:  # too little in the line alone, but the text's other lines say what happened
-            if (new := _again(s, common, company)) is not None:
+            if (company or implausibility(s)[1]) and (new := _again(s, common, company)) is not None:
                 lines[s] = (new, common)
         for s, (_, p) in list(lines.items()):
             if p in single and p != common and (new := _again(s, common)) is not None and not (company and company.gain(new, lines[s][0]) > _SOME_COMPANY):
@@ -497,17 +601,17 @@ _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("restored", pa.string()), ("li
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter[str] = Counter()
+    n: Counter[int] = Counter()
     for batch in batches:
         for text in batch.column(1).to_pylist():
             n.update(company_of(restore_text(text)[0]))
-    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["company", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["company", "n"])
 
 
 def company(suspects: DataFrame) -> Company:
-    """Counted over all documents, as they read after the search line by line. The driver gets a bounded table."""
-    counted = suspects.mapInArrow(_count, "company string, n bigint").groupBy("company").agg(F.sum("n").alias("n")).filter(F.col("n") >= _KNOWN)
-    return Company({r[0]: r[1] for r in counted.orderBy(F.desc("n"), "company").limit(_MAX_COMPANY).collect()})
+    """Counted over all documents, as they read after the search line by line. The driver gets a row a bucket at most."""
+    counted = suspects.mapInArrow(_count, "company bigint, n bigint").groupBy("company").agg(F.sum("n").alias("n")).filter(F.col("n") >= _KNOWN)
+    return Company({r[0]: r[1] for r in counted.collect()})
 
 
 def _walk(batches: Iterator[pa.RecordBatch], known: Company) -> Iterator[pa.RecordBatch]:
