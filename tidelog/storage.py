@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,12 +30,13 @@ _made: list[str] = []
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
+    """A new scratch folder in the shared one; ``cleanup`` deletes it. State that must last belongs under a path of its own."""
     _made.append(f"{shared_root(spark)}/tidelog/{purpose}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
 def cleanup(spark: SparkSession) -> int:
-    """Delete everything this process put into the shared folder; DataFrames made from it are void then."""
+    """Delete all scratch that this process put into the shared folder; DataFrames made from it are void then."""
     for path in _made:
         delete(spark, path)
     n = len(_made)
@@ -50,6 +52,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nobody reads any more."""
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            delete(df.sparkSession, path.rsplit("/", 1)[0])
+
+
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
@@ -86,6 +95,35 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file whole and only if there is none yet: of several that try, one gets True.
+
+    On file systems by a link or rename that fails where the name exists; object stores
+    without a conditional put can't give this promise, so keep state elsewhere there.
+    """
+    jvm = spark._jvm
+    fs, p = _fs(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            local = lambda x: jvm.java.io.File(x.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(p), local(tmp))
+        else:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(tmp, p, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(tmp, False)
+    return True
+
+
 def swap_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small file in one atomic step: readers see the old text or the new one."""
     jvm = spark._jvm
