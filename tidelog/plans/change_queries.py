@@ -33,6 +33,13 @@ def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unify(files, drift.union_schema(drift.record_file_steps(files))).select("table_name", "file_no", "record_no", "readable", F.to_json("cols").alias("cols"), F.to_json("rescued").alias("rescued"))
 
 
+def p2_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each feed's table, its records, the readable ones, and the files they came from."""
+    files = table(spark, sf, "insert_files")
+    rows = drift.unify(files, drift.union_schema(drift.record_file_steps(files)))
+    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("records"), F.count_if("readable").alias("readable"), F.count_distinct("file_no").alias("files"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return replay.current_state(table(spark, sf, "change_log"), table(spark, sf, "wal_commits"), KEY_COLUMNS).drop("cols")
 
@@ -40,8 +47,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_state(spark: SparkSession, sf: str) -> DataFrame:
     """The current rows with their columns, as sorted ``name=value`` text."""
     state = replay.current_state(table(spark, sf, "change_log"), table(spark, sf, "wal_commits"), KEY_COLUMNS)
-    entries = F.transform(F.sort_array(F.map_entries("cols")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("<null>"))))
-    return state.select("table_name", "row_key", "lsn", F.concat_ws(";", entries).alias("row_values"))
+    return state.select("table_name", "row_key", "lsn", _text("cols").alias("row_values"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,13 +68,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.opened_versions(_satellites(spark, sf))
 
 
+def _text(columns: str):
+    """A map as sorted ``name=value`` text."""
+    entries = F.transform(F.sort_array(F.map_entries(columns)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("<null>"))))
+    return F.concat_ws(";", entries)
+
+
 def p5_history(spark: SparkSession, sf: str) -> DataFrame:
     """Satellite rows with the time each was valid."""
     rows = history.with_end_times(_satellites(spark, sf))
-    return rows.select("table_name", "row_key", "satellite", "lsn", "valid_from", "valid_to", "hash_diff", F.to_json("attrs").alias("attrs"))
+    return rows.select("table_name", "row_key", "satellite", "lsn", "valid_from", "valid_to", "hash_diff", _text("attrs").alias("row_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p3_found, p3_state, p4_found, p5_found, p5_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_feeds, p3_found, p3_state, p4_found, p5_found, p5_history)}
 
 _COMMITTED = """
 committed AS (
@@ -127,6 +139,10 @@ SELECT slot_name, lsn, table_name, row_key FROM (
   FROM change_log c JOIN w USING (slot_name, xid) LEFT JOIN pos USING (slot_name) WHERE w.commit_lsn > coalesce(p, 0))
 """,
     "p2_found": _P2,
+    "p2_feeds": """
+SELECT table_name, count(*) AS records, count(*) FILTER (WHERE json_valid(record_json) AND json_type(record_json) = 'OBJECT') AS readable, count(DISTINCT file_no) AS files
+FROM insert_files GROUP BY 1
+""",
     "p3_found": f"""
 WITH {_COMMITTED}, top AS (SELECT table_name, row_key, max(lsn) AS lsn, arg_max(kind, lsn) AS kind FROM keyed GROUP BY ALL)
 SELECT table_name, row_key, lsn::BIGINT AS lsn FROM top WHERE kind <> 0
@@ -148,5 +164,26 @@ WITH {_COMMITTED}, life AS (SELECT *, sum((kind = 1)::INT) OVER (PARTITION BY ta
 cell AS (SELECT table_name, row_key, life, lsn, kind, unnest(map_keys(new_decoded)) AS c, unnest(map_values(new_decoded)) AS v FROM life WHERE kind <> 0),
 seen AS (SELECT *, lag(v) OVER w AS was, row_number() OVER w AS nth FROM cell WINDOW w AS (PARTITION BY table_name, row_key, life, c ORDER BY lsn))
 SELECT DISTINCT table_name, row_key, lsn::BIGINT AS lsn FROM seen WHERE kind = 1 OR (nth > 1 AND v IS DISTINCT FROM was)
+""",
+    "p5_history": f"""
+WITH {_COMMITTED}, life AS (SELECT *, sum((kind = 1)::INT) OVER (PARTITION BY table_name, row_key ORDER BY lsn, kind) AS life FROM keyed),
+rate AS (SELECT table_name, c, count(DISTINCT (row_key, v IS NULL, v)) / greatest(count(DISTINCT row_key), 1) AS r
+  FROM (SELECT table_name, row_key, unnest(map_keys(new_decoded)) AS c, unnest(map_values(new_decoded)) AS v FROM change_log) GROUP BY ALL),
+part AS (SELECT table_name, c, CASE WHEN r >= 1.5 THEN 'fast' ELSE 'slow' END AS satellite FROM rate
+  WHERE CASE table_name WHEN 'region_orders' THEN c NOT IN ('id', 'region') WHEN 'indexed_users' THEN c <> 'email' ELSE c <> 'id' END),
+sats AS (SELECT DISTINCT table_name, satellite FROM part),
+cell AS (SELECT table_name, row_key, life, lsn, kind, unnest(map_keys(new_decoded)) AS c, unnest(map_values(new_decoded)) AS v FROM life WHERE kind <> 0),
+mine AS (SELECT cell.*, satellite, lag(v) OVER w AS was, row_number() OVER w AS nth FROM cell JOIN part USING (table_name, c) WINDOW w AS (PARTITION BY table_name, row_key, life, c ORDER BY lsn)),
+changed AS (SELECT table_name, row_key, life, satellite, lsn FROM mine WHERE kind = 2 AND (nth = 1 OR v IS DISTINCT FROM was)
+  UNION SELECT table_name, row_key, life, satellite, lsn FROM life JOIN sats USING (table_name) WHERE kind = 1),
+val AS (SELECT table_name, row_key, life, satellite, h.lsn AS lsn, c, arg_max({{'v': v}}, m.lsn) AS x FROM changed h JOIN mine m USING (table_name, row_key, life, satellite) WHERE m.lsn <= h.lsn GROUP BY ALL),
+txt AS (SELECT table_name, row_key, life, satellite, lsn, string_agg(c || '=' || coalesce(x.v, '<null>'), ';' ORDER BY c) AS row_values,
+  md5(string_agg(length(c) || ':' || c || '=' || coalesce(length(x.v) || ':' || x.v, '-'), ';' ORDER BY c)) AS hash_diff FROM val GROUP BY ALL),
+ev AS (SELECT table_name, row_key, life, satellite, lsn, false AS closed FROM changed
+  UNION ALL SELECT table_name, row_key, life, satellite, lsn, true FROM life JOIN sats USING (table_name) WHERE kind = 0),
+at_time AS (SELECT DISTINCT table_name, row_key, lsn, (kind = 0) AS closed, message_time FROM life),
+ended AS (SELECT ev.*, message_time, lead(message_time) OVER (PARTITION BY table_name, row_key, satellite ORDER BY lsn, closed DESC) AS valid_to FROM ev JOIN at_time USING (table_name, row_key, lsn, closed))
+SELECT table_name, row_key, satellite, lsn::BIGINT AS lsn, message_time AS valid_from, valid_to, coalesce(hash_diff, md5('')) AS hash_diff, coalesce(row_values, '') AS row_values
+FROM ended LEFT JOIN txt USING (table_name, row_key, life, satellite, lsn) WHERE NOT closed
 """,
 }
