@@ -37,7 +37,11 @@ class Connector:
         if p.operations:
             stream = stream.filter(F.col("op").isin([pub.OPERATIONS[o.upper()] for o in p.operations]))
         if p.tables and not p.allTables:
-            stream = stream.filter(F.concat_ws(".", "table_schema", "table_name").isin([t.full_name for t in p.tables]))
+            names = [t.full_name for t in p.tables]
+            cut = F.arrays_overlap(F.from_json("truncated", "array<string>"), F.array(*map(F.lit, names)))  # a truncate names several tables
+            stream = stream.filter(F.coalesce(F.concat_ws(".", "table_schema", "table_name").isin(names) | cut, F.lit(False)))
+            listed = {t.full_name: list(t.columns) for t in p.tables if t.columns}
+            stream = stream.withColumns({image: pub.keep_columns_of(F.col(image), F.concat_ws(".", "table_schema", "table_name"), listed) for image in ("before", "after")})
         if beat := self.config.heartbeat.table:
             stream = pub.without_heartbeats(stream, (F.col("table_schema") == beat.schema) & (F.col("table_name") == beat.name))
         return stream

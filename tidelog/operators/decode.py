@@ -103,8 +103,10 @@ def change_events(frames: DataFrame, *, abort_scope: str = "transaction", block:
     """
     rows = storage.materialize(in_context(frames, block=block), "frames")
     delivered = assemble(rows, abort_scope=abort_scope)
-    named = with_relation(delivered, relations(rows)).withColumns({"table_schema": F.col("relation.table_schema"), "table_name": F.col("relation.table_name")})
-    events = bodies(named).withColumnRenamed("tag", "op")
+    known = relations(rows)
+    named = with_relation(delivered, known).withColumns({"table_schema": F.col("relation.table_schema"), "table_name": F.col("relation.table_name")})
+    names = truncated_tables(delivered, known).groupBy("slot", "frame_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("truncated"))
+    events = bodies(named).withColumnRenamed("tag", "op").join(names, ["slot", "frame_seq"], "left")
     # truncates and relations carry no position of their own
     return events.withColumn("lsn", F.when(F.col("op").isin("I", "U", "D"), F.col("wal_start"))).drop("wal_end")
 
@@ -116,9 +118,18 @@ def dead_letters(frames: DataFrame) -> DataFrame:
     return headers(frames).filter("header_error is not null").select("slot", "frame_seq", F.col("header_error").alias("reason"))
 
 
-def truncated_tables(events: DataFrame) -> DataFrame:
-    """One row for each table that a truncate names."""
-    return events.filter("op = 'T'").select("slot", "frame_seq", F.explode("oids").alias("oid"), "cascade", "restart_identity")
+def truncated_tables(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(slot, frame_seq, place, oid, name): each table that a truncate names, as it was called then; ``oid:<n>`` where that isn't known."""
+    start = F.when(F.col("in_stream"), 6).otherwise(2)  # after the tag, and the xid of streamed ones
+    value = lambda at: F.conv(F.hex(F.substr("payload", at, F.lit(4))), 16, 10).cast("bigint")
+    n = value(start)
+    whole = F.length("payload") >= start + 4 + 4 * n
+    oids = F.when(whole & (n > 0), F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: value(start + 5 + 4 * i)))
+    cut = rows.filter("tag = 'T'").select("slot", "frame_seq", F.posexplode(oids).alias("place", "oid"))
+    # few truncates, each beside the few definitions of its tables
+    defined = known.filter("error is null").select("slot", "oid", F.col("frame_seq").alias("since"), F.concat_ws(".", "table_schema", "table_name").alias("name"))
+    last = F.max(F.when(F.col("since") < F.col("frame_seq"), F.struct("since", "name")))["name"]
+    return cut.join(defined, ["slot", "oid"], "left").groupBy("slot", "frame_seq", "place", "oid").agg(F.coalesce(last, F.concat(F.lit("oid:"), F.col("oid"))).alias("name"))
 
 
 def typed_rows(changes: DataFrame, columns: list[tuple[str, int, int]], *, image: str = "after", strict: bool = False) -> DataFrame:

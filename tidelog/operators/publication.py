@@ -58,6 +58,14 @@ def keep_columns(image: Column, columns: list[str] | None) -> Column:
     return F.map_filter(image, lambda k, _: k.isin(list(columns))) if columns else image
 
 
+def keep_columns_of(image: Column, table: Column, lists: dict[str, list[str]]) -> Column:
+    """The same on images as JSON text, with a list for some tables."""
+    out = image
+    for name, columns in sorted(lists.items()):
+        out = F.when(table == name, F.to_json(keep_columns(F.from_json(image, "map<string,string>"), columns), {"ignoreNullFields": "false"})).otherwise(out)
+    return out
+
+
 def keep_operations(changes: DataFrame, operations: list[str], op: str = "op") -> DataFrame:
     """Changes of the listed operations (full names or letters)."""
     return changes.filter(F.col(op).isin([OPERATIONS.get(o.upper(), o) for o in operations]))

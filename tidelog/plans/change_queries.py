@@ -140,7 +140,7 @@ SELECT slot_name, lsn, table_name, row_key FROM (
 """,
     "p2_found": _P2,
     "p2_feeds": """
-SELECT table_name, count(*) AS records, count(*) FILTER (WHERE json_valid(record_json) AND json_type(record_json) = 'OBJECT') AS readable, count(DISTINCT file_no) AS files
+SELECT table_name, count(*) AS records, count(*) FILTER (WHERE CASE WHEN json_valid(record_json) THEN json_type(record_json) = 'OBJECT' ELSE false END) AS readable, count(DISTINCT file_no) AS files
 FROM insert_files GROUP BY 1
 """,
     "p3_found": f"""

@@ -10,7 +10,7 @@ from tidelog.functions.naming import latency_micros, qualified, replica_identity
 from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
 from tidelog.plans.source_tables import table
 from tidelog.sources.frames import FRAMES, split_packets
-from tidelog.sources.synthetic import LSN_STEP, ROOM, frames_of, log_of
+from tidelog.sources.synthetic import LSN_STEP, ROOM, SCENE, frames_of, log_of, scenario_frames
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -385,16 +385,20 @@ def wire_roundtrip_images(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Captured frames of the whole table in order, followed as a stream in micro-batches of some files."""
+    """Captured frames of the whole table, followed as a stream."""
+    return _as_stream(spark, frames_of(table(spark, sf, "events")))
+
+
+def _as_stream(spark: SparkSession, frames: DataFrame) -> DataFrame:
+    """Frames laid out in order, followed as a stream in micro-batches of some files, with transactions assembled."""
     from tidelog.sources.replication import ReplicationSource
     from tidelog.streaming.assembly import ROCKSDB, assemble_stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.dataSource.register(ReplicationSource)
     folder = storage.fresh_dir(spark, "frames")
-    events = table(spark, sf, "events")
-    files = -(-events.count() // 50_000)
-    frames_of(events).repartitionByRange(max(1, files), "frame_seq").sortWithinPartitions("frame_seq").write.parquet(folder)
+    files = -(-frames.count() // 60_000)
+    frames.repartitionByRange(max(1, files), "frame_seq").sortWithinPartitions("frame_seq").write.parquet(folder)
     return assemble_stream(spark.readStream.format(ReplicationSource.name()).option("path", folder).option("maxFiles", "4").load())
 
 
@@ -426,3 +430,48 @@ def stream_into_table(spark, sf):
     keyed = changes.select(F.get_json_object(image, "$.id").cast("bigint").alias("pk"), F.get_json_object(image, "$.value").cast("double").alias("value"), "op", seq.alias("seq"))
     _until_read(keyed.writeStream.foreachBatch(current.apply).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
     return current.rows().select("pk", "value")
+
+
+# --- scenes: what a log holds besides well-behaved transactions, as a batch and as a stream ----
+
+_SCENES = """
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS note FROM orders),
+e(kind, step, op, own, streamed, last, old_kind, before, after, failed) AS (VALUES
+  (0, 2, 'I', 1, false, false, NULL, NULL, 'i,s,n', false), (0, 3, 'U', 1, false, true, NULL, NULL, 'i,X', false),
+  (1, 2, 'I', 1, false, false, NULL, NULL, 'i,s,n', false), (2, 5, 'I', 2, true, true, NULL, NULL, 'i,s,n', false),
+  (3, 2, 'T', 1, false, true, NULL, NULL, NULL, false), (4, 2, 'U', 1, false, true, 'O', 'i,s,n', 'i,X,n', false),
+  (5, 2, 'U', 1, false, true, 'K', 'i,0', 'i,X,0', false), (6, 3, 'I', 1, false, false, NULL, NULL, 'i,z,n', false),
+  (7, 2, 'I', 1, false, false, NULL, NULL, NULL, true), (7, 3, 'D', 1, false, true, 'K', 'i,0', NULL, false)),
+f AS (SELECT *, 'id=' || k AS i FROM o JOIN e ON k % 8 = kind)
+SELECT k AS o_orderkey, step, op, 4*k + own AS xid, streamed, last AS is_txn_last, old_kind,
+  CASE WHEN last THEN k*64 + CASE WHEN streamed THEN 41 ELSE 40 END ELSE k*64 + step END AS ack_lsn,
+  CASE WHEN op <> 'T' THEN k*64 + step END AS lsn, k*64 + CASE WHEN streamed THEN 10 ELSE step END AS emit_seq,
+  CASE before WHEN 'i,s,n' THEN i || ';note=' || note || ';status=' || st WHEN 'i,0' THEN i || ';note=<null>;status=<null>' END AS before,
+  CASE after WHEN 'i,s,n' THEN i || ';note=' || note || ';status=' || st WHEN 'i,X' THEN i || ';status=X' WHEN 'i,X,n' THEN i || ';note=' || note || ';status=X'
+    WHEN 'i,X,0' THEN i || ';note=<null>;status=X' WHEN 'i,z,n' THEN i || ';note=' || note || ';state=' || st END AS after,
+  CASE WHEN op = 'T' THEN 'public.orders,oid:999' END AS truncated, CASE WHEN op = 'T' THEN true END AS cascade, CASE WHEN op = 'T' THEN k % 16 = 3 END AS restart_identity, failed
+FROM f"""
+
+
+def _scenes(events: DataFrame) -> DataFrame:
+    """Delivered rows of the scenes, with images (maps) as sorted text."""
+    entries = lambda c: F.concat_ws(";", F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("<null>")))))
+    text = lambda c: F.when(F.col(c).isNotNull(), entries(c)).alias(c)
+    k = F.floor(F.col("frame_seq") / SCENE).cast("bigint")
+    names = F.when(F.col("truncated").isNotNull(), F.concat_ws(",", "truncated")).alias("truncated")
+    return events.filter("op <> 'R'").select(k.alias("o_orderkey"), (F.col("frame_seq") - k * SCENE).cast("int").alias("step"), "op", "xid", "streamed", "is_txn_last", "old_kind", F.col("ack_lsn").cast("bigint").alias("ack_lsn"), F.col("lsn").cast("bigint").alias("lsn"), "emit_seq", text("before"), text("after"), names, "cascade", "restart_identity", F.col("error").isNotNull().alias("failed"))
+
+
+@_query(_SCENES)
+def scenes_delivered(spark, sf):
+    """Uncommitted and interleaved transactions, truncates, unchanged columns, tables defined anew or not at all."""
+    return _scenes(decode.change_events(scenario_frames(table(spark, sf, "orders"))))
+
+
+@_query(_SCENES)
+def scenes_streamed(spark, sf):
+    out = storage.fresh_dir(spark, "delivered")
+    frames = scenario_frames(table(spark, sf, "orders"))
+    _until_read(_as_stream(spark, frames).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
+    image = lambda c: F.from_json(c, "map<string,string>").alias(c)
+    return _scenes(spark.read.parquet(out).withColumns({"before": image("before"), "after": image("after"), "truncated": F.from_json("truncated", "array<string>")}))

@@ -3,6 +3,9 @@
 Offline there is no server to capture from. Each event becomes one change: ten
 consecutive events form a transaction, every third transaction is streamed, some
 streamed ones are aborted. ``frames_of`` encodes it all in the wire format.
+
+``scenario_frames`` makes one short scene of each row of ``orders``, of eight kinds:
+what the log of a busy server holds besides well-behaved transactions.
 """
 
 from __future__ import annotations
@@ -72,3 +75,53 @@ def frames_of(events: DataFrame, slot: str = "events_slot") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=_FRAME)
 
     return rows.mapInArrow(encode, FRAMES)
+
+
+#: Frame positions of one scene, and the positions that its plain and its streamed commit end at.
+SCENE, PLAIN_END, STREAM_END = 64, 40, 41
+SCENE_OID, UNKNOWN_OID = 500, 999
+
+
+def _scene(key: int, status: str, note: str, first: bool) -> Iterator[tuple[int, object]]:
+    """(place in the scene, message)."""
+    text = lambda x: ("t", str(x).encode()) if x is not None else ("n", None)
+    relation = lambda second: wire.Relation(SCENE_OID, "public", "orders", "d", [wire.Column("id", 20, -1, 1), wire.Column(second, 25), wire.Column("note", 25)])
+    row, null, same = [text(key), text(status), text(note)], ("n", None), ("u", None)
+    change = lambda op, new=None, old=None, kind=None, xid=None, oid=SCENE_OID: wire.Change(op, oid, xid, kind, old, new)
+    begin, end = wire.Boundary("B", lsn=key, time_micros=wire.EPOCH_MICROS, xid=4 * key + 1), wire.Boundary("C", flags=0, lsn=key, end_lsn=key * SCENE + PLAIN_END, time_micros=wire.EPOCH_MICROS)
+    start = lambda x, first=True: wire.Boundary("S", xid=4 * key + x, first=first)
+    stop = wire.Boundary("E")
+    if first:
+        yield 0, relation("status")
+    kind = key % 8
+    if kind == 2:  # two streamed transactions, one between the chunks of the other; one commits, one aborts
+        yield from enumerate([start(1), change("I", row, xid=4 * key + 1), stop, start(2), change("I", row, xid=4 * key + 2), stop, start(1, False), change("U", row, xid=4 * key + 1), stop, wire.Boundary("c", xid=4 * key + 2, flags=0, lsn=key, end_lsn=key * SCENE + STREAM_END, time_micros=wire.EPOCH_MICROS), wire.Boundary("A", xid=4 * key + 1)], 1)
+        return
+    content = {
+        0: [change("I", row), change("U", [text(key), text("X"), same])],  # a column unchanged, nothing said of the old row
+        1: [change("I", row), change("I", row)],  # never committed
+        3: [wire.Truncate([SCENE_OID, UNKNOWN_OID], True, key % 16 == 3)],
+        4: [change("U", [text(key), text("X"), same], row, "O")],
+        5: [change("U", [text(key), text("X"), same], [text(key), null, null], "K")],
+        6: [relation("state"), change("I", row), relation("status")],  # the table is defined anew, and back
+        7: [change("I", row, oid=UNKNOWN_OID), change("D", None, [text(key), null, null], "K")],
+    }[kind]
+    yield from enumerate([begin, *content, *([] if kind == 1 else [end])], 1)
+
+
+def scenario_frames(orders: DataFrame, slot: str = "orders_slot") -> DataFrame:
+    """One scene a row of ``orders``, as captured frames."""
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    rows = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_orderkey") == F.lit(least))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, payloads = [], []
+            for key, status, note, first in zip(*(c.to_pylist() for c in batch.columns)):
+                for place, message in _scene(key, status, note, first):
+                    at.append(key * SCENE + place)
+                    payloads.append(wire.encode(message))
+            place = pa.array(at, pa.int64()).cast(pa.decimal128(20, 0))
+            yield pa.RecordBatch.from_arrays([pa.array([slot] * len(at)), pa.array(at, pa.int64()), place, place, pa.array([0] * len(at), pa.int64()).cast(pa.timestamp("us")), pa.array(payloads, pa.binary())], schema=_FRAME)
+
+    return rows.mapInArrow(encode, FRAMES)

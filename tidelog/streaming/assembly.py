@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from tidelog.sources import wire
 
 OUTPUT = (
     "slot string, frame_seq bigint, op string, xid bigint, streamed boolean, table_schema string, table_name string, wal_start bigint, lsn bigint, ack_lsn bigint, "
-    "emit_seq bigint, is_txn_last boolean, old_kind string, before string, after string, error string"
+    "emit_seq bigint, is_txn_last boolean, old_kind string, before string, after string, truncated string, cascade boolean, restart_identity boolean, error string"
 )
 _FIELDS = [c.split()[0] for c in OUTPUT.split(", ")]
 
@@ -46,15 +47,18 @@ class SlotAssembler:
         op = chr(payload[0])
         schema = table = columns = None
         if op in "IUD" and len(payload) >= 5 + 4 * inside:
-            oid = int.from_bytes(payload[1 + 4 * inside : 5 + 4 * inside], "big")
-            # the last relation before the frame
-            for at, s, t, names in reversed(self.state["relations"].get(str(oid), [])):
-                if at < seq:
-                    schema, table, columns = s, t, names
-                    break
-        kind, before, after, _, _, _, error = decode_body(payload, inside, columns)
+            schema, table, columns = self._defined(int.from_bytes(payload[1 + 4 * inside : 5 + 4 * inside], "big"), seq) or (None, None, None)
+        kind, before, after, oids, cascade, restart, error = decode_body(payload, inside, columns)
         text = lambda pairs: json.dumps(dict(pairs), ensure_ascii=False) if pairs is not None else None
-        return slot, seq, op, xid, streamed, schema, table, start, start if op in "IUD" else None, ack, emit, last, kind, text(before), text(after), error
+        names = None if oids is None else json.dumps([".".join(d[:2]) if (d := self._defined(o, seq)) else f"oid:{o}" for o in oids])
+        return slot, seq, op, xid, streamed, schema, table, start, start if op in "IUD" else None, ack, emit, last, kind, text(before), text(after), names, cascade, restart, error
+
+    def _defined(self, oid: int, seq: int) -> tuple | None:
+        """(schema, table, columns) by the last relation before the frame."""
+        for at, s, t, names in reversed(self.state["relations"].get(str(oid), [])):
+            if at < seq:
+                return s, t, names
+        return None
 
     def _release(self, slot: str, end: int | None) -> Iterator[tuple]:
         ahead = self.state["ahead"]
@@ -72,7 +76,9 @@ class SlotAssembler:
             if tag == "R":
                 try:
                     r = wire.decode(payload, inside)
-                    s["relations"].setdefault(str(r.oid), []).append([seq, r.namespace, r.name, [c.name for c in r.columns]])
+                    versions, new = s["relations"].setdefault(str(r.oid), []), [r.namespace, r.name, [c.name for c in r.columns]]
+                    if not versions or versions[-1][1:] != new:  # mostly it is sent again as it was
+                        versions.append([seq, *new])
                 except wire.WireError:
                     pass
             if inside:
@@ -95,12 +101,16 @@ class SlotAssembler:
             s["active"] = -1
         else:
             s["active"] = -1
-            frames = (*self.load(m.xid), *self.pending.pop(m.xid, []))
+            rest = self.pending.pop(m.xid, [])
+            if tag == "c":  # piece by piece; the last frame of all is the one that nothing follows
+                held = None
+                for f in chain(self.load(m.xid), rest):
+                    if held is not None:
+                        yield self._row(slot, held, True, m.xid, seq, held[1], False)
+                    held = f
+                if held is not None:
+                    yield self._row(slot, held, True, m.xid, seq, m.end_lsn, True)
             self.drop(m.xid)
-            if tag == "c":
-                for i, f in enumerate(frames):
-                    last = i == len(frames) - 1
-                    yield self._row(slot, f, True, m.xid, seq, m.end_lsn if last else f[1], last)
 
 
 class Assembly(StatefulProcessor):
@@ -113,8 +123,8 @@ class Assembly(StatefulProcessor):
         kept = json.loads(self.control.get()[0]) if self.control.exists() else {"state": None, "pieces": {}, "seen": -1}
         counts: dict[str, int] = kept["pieces"]
 
-        def load(xid: int) -> list:
-            return [f for p in range(counts.get(str(xid), 0)) for f in pickle.loads(self.pieces.getValue((xid, p))[0])]
+        def load(xid: int) -> Iterator[tuple]:
+            return (f for p in range(counts.get(str(xid), 0)) for f in pickle.loads(self.pieces.getValue((xid, p))[0]))
 
         def drop(xid: int) -> None:
             for p in range(counts.pop(str(xid), 0)):
@@ -125,7 +135,11 @@ class Assembly(StatefulProcessor):
         out = []
         for seq, start, payload in zip(frames["frame_seq"], frames["wal_start"], frames["payload"]):
             if seq > kept["seen"]:  # a frame that was read before is skipped
-                out.extend(slot_rules.frame(slot, int(seq), int(start), bytes(payload)))
+                for row in slot_rules.frame(slot, int(seq), int(start), bytes(payload)):
+                    out.append(row)
+                    if len(out) >= 10_000:  # a long transaction leaves in parts
+                        yield pd.DataFrame(out, columns=_FIELDS)
+                        out = []
                 kept["seen"] = int(seq)
         for xid, part in slot_rules.pending.items():
             n = counts.get(str(xid), 0)
