@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidelog import storage
+
 BLOCK = 1 << 20
 
 
@@ -65,3 +67,13 @@ def row_numbers(df: DataFrame, part: list[str], order: str, ties: list[str], out
     same = [own[c].eqNullSafe(carry[c]) for c in _by(part)]
     joined = own.join(carry, same, "left").select(*(own[c] for c in own.columns), carry["__carry"])
     return joined.withColumn(out, F.col("__own") + F.coalesce("__carry", F.lit(0))).drop("__own", "__carry", "__block")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds 0, 1, 2, ... in any order of columns: rows are sorted in ranges, and each range begins where those before it end."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__own": inside})
+    rows = storage.materialize(rows, "numbered")  # ranges are cut by samples, so they are cut once
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a range
+    return rows.join(before, "__part").withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidelog.functions.naming import ceil_div
+from tidelog.operators import scan
 from tidelog.operators.publication import filter_rows, select_columns
 
 RANGE, BLOCK, OFFSET = "integer_range", "ctid_block", "offset"
@@ -144,7 +145,8 @@ def read_chunk(df: DataFrame, spec: TableSpec, chunk: dict, rows_per_block: int
 
     Blocks are positions in the table before its condition; ``rows_per_block`` is the one they were planned with.
     """
-    kind = chunk.get("partition_strategy", OFFSET)
+    kind = chunk.get("partition_strategy")
+    kind = kind if kind in (RANGE, BLOCK) else OFFSET  # what isn't known is read by offset
     if kind == BLOCK and chunk.get("block_start") is not None:
         per = max(1, rows_per_block)
         last = chunk.get("block_end") is None or chunk.get("is_last_chunk")
@@ -153,7 +155,7 @@ def read_chunk(df: DataFrame, spec: TableSpec, chunk: dict, rows_per_block: int
     if kind == RANGE:
         kept = kept.filter(range_predicate(spec.key[0], chunk))
     elif kind == OFFSET:
-        kept = kept.orderBy(*spec.key).offset(chunk["chunk_start"]).limit(chunk["chunk_size"])
+        kept = kept.orderBy(*_in_order(kept, spec.key)).offset(chunk["chunk_start"]).limit(chunk["chunk_size"])
     return select_columns(kept, list(spec.columns))
 
 
@@ -170,17 +172,18 @@ def mark_last(df: DataFrame, chunk: str, key: str, size: int) -> DataFrame:
 
 def data_events(rows: DataFrame, spec: TableSpec, slot: str, lsn: int) -> DataFrame:
     """Snapshot rows as change events of kind ``r``, with text values by column name."""
-    columns = [c for c in rows.columns if c not in ("chunk_index", "is_last")]
+    columns = [c for c in rows.columns if c not in ("__chunk", "__last")]
     image = F.map_from_arrays(F.array(*(F.lit(c) for c in columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in columns)))
     key = F.concat_ws("|", *(F.col(f"`{c}`").cast("string") for c in spec.key)) if spec.key else F.lit(None).cast("string")
-    extra = [F.col("is_last")] if "is_last" in rows.columns else [F.lit(False).alias("is_last")]
+    marked = "__chunk" in rows.columns
+    extra = [F.col("__last").alias("is_last") if marked else F.lit(False).alias("is_last"), F.col("__chunk").cast("int").alias("chunk_index") if marked else F.lit(None).cast("int").alias("chunk_index")]
     return rows.select(F.lit(slot).alias("slot_name"), F.lit("DATA").alias("event_type"), F.lit("r").alias("op"), F.lit(spec.schema).alias("table_schema"), F.lit(spec.name).alias("table_name"), F.lit(lsn).cast("decimal(20,0)").alias("lsn"), key.alias("row_key"), image.alias("row_data"), *extra)
 
 
 def markers(spark: SparkSession, slot: str, lsn: int) -> tuple[DataFrame, DataFrame]:
     """BEGIN and END events around a snapshot's rows."""
-    kind = "slot_name string, event_type string, op string, table_schema string, table_name string, lsn decimal(20,0), row_key string, row_data map<string,string>, is_last boolean"
-    one = lambda e: spark.createDataFrame([(slot, e, e, None, None, Decimal(lsn), None, None, False)], kind)
+    kind = "slot_name string, event_type string, op string, table_schema string, table_name string, lsn decimal(20,0), row_key string, row_data map<string,string>, is_last boolean, chunk_index int"
+    one = lambda e: spark.createDataFrame([(slot, e, e, None, None, Decimal(lsn), None, None, False, None)], kind)
     return one("BEGIN"), one("END")
 
 
@@ -194,24 +197,45 @@ def _positions(df: DataFrame, out: str) -> DataFrame:
     return df.select("*", path.alias("__path"), at.alias("__row")).join(files.select("__path", start.alias("__start")), "__path").withColumn(out, F.col("__start") + F.col("__row")).drop("__path", "__row", "__start")
 
 
-def _marked(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int) -> DataFrame:
-    """The table's rows and columns for the snapshot with ``is_last`` by the chunks that would be planned."""
+def _stretches(numbers: list[int]) -> list[tuple[int, int]]:
+    """Consecutive numbers as (first, last)."""
+    out: list[list[int]] = []
+    for n in sorted({*numbers}):
+        if out and out[-1][1] == n - 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return [(a, b) for a, b in out]
+
+
+def chunk_rows(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, only: list[int] | None = None) -> DataFrame:
+    """The table's rows and columns for the snapshot, with ``__chunk`` and ``__last``, by the chunks that would be planned.
+
+    All chunks, or those with the numbers in ``only``, are read in one pass; ranges of the key reach the scan as filters.
+    """
     strategy = choose_strategy(df.schema, list(spec.key), spec.strategy)
     wanted = [*dict.fromkeys([*spec.columns, *spec.key])] if spec.columns else df.columns
     if strategy == RANGE:
-        lo = key_bounds(df, spec.key[0]).first()["lo"]
-        rows = filter_rows(df, spec.condition).withColumn("__at", F.col(spec.key[0]).cast("bigint"))
-        width, first = size, lo or 0
+        first, width = key_bounds(df, spec.key[0]).first()["lo"] or 0, size
+        rows = filter_rows(df, spec.condition)
+        at = F.col(f"`{spec.key[0]}`").cast("bigint")
     elif strategy == BLOCK:
         per = max(1, rows_per_block)
-        rows = filter_rows(_positions(df, "__at"), spec.condition)
-        width, first = max(1, size // per) * per, 0
+        first, width = 0, max(1, size // per) * per
+        rows, at = filter_rows(_positions(df, "__at"), spec.condition), F.col("__at")
     else:  # offsets count the rows of one order
         kept = filter_rows(df, spec.condition)
-        rows = kept.withColumn("__at", F.row_number().over(Window.orderBy(*_in_order(kept, spec.key))) - 1)
-        width, first = size, 0
-    rows = with_chunk(select_columns(rows, [*wanted, "__at"]), "__at", F.lit(first), width)
-    return mark_last(rows, "chunk_index", "__at", size).drop("__at")
+        first, width = 0, size
+        rows, at = scan.numbered(kept, _in_order(kept, spec.key), "__at"), F.col("__at")
+    if only is not None:
+        inside = F.lit(False)
+        place = F.col(f"`{spec.key[0]}`") if strategy == RANGE else at  # without a cast, so that the scan can filter
+        for a, b in _stretches(only):
+            inside = inside | place.between(first + a * width, first + (b + 1) * width - 1)
+        rows = rows.filter(inside)
+    rows = select_columns(rows.withColumn("__at", at), [*wanted, "__at"])
+    rows = rows.withColumn("__chunk", F.floor((F.col("__at") - F.lit(first)) / F.lit(width)).cast("bigint"))
+    return mark_last(rows, "__chunk", "__at", size).withColumnRenamed("is_last", "__last").drop("__at")
 
 
 def take_snapshot(tables: dict[str, DataFrame], specs: list[TableSpec], slot: str, lsn: int, *, general_condition: str | None = None, size: int = 8000, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
@@ -220,16 +244,21 @@ def take_snapshot(tables: dict[str, DataFrame], specs: list[TableSpec], slot: st
     Parquet files never change, so all tasks see one state. Each table is scanned
     once with its filter and columns pushed down (and once for its bounds), and its
     rows meet by chunks of ``size`` to mark the last one of each that isn't full.
+    ``tables`` goes by full name, or by the bare one where that is unique.
     """
     spark = next(iter(tables.values())).sparkSession
     begin, end = markers(spark, slot, lsn)
     out = begin
     for spec in specs:
         spec = spec if spec.condition else replace(spec, condition=general_condition)
-        out = out.unionByName(data_events(_marked(tables[spec.name], spec, size, rows_per_block), spec, slot, lsn))
+        out = out.unionByName(data_events(chunk_rows(table_of(tables, spec), spec, size, rows_per_block), spec, slot, lsn))
     return out.unionByName(end)
 
 
+def table_of(tables: dict[str, DataFrame], spec: TableSpec) -> DataFrame:
+    return tables[full] if (full := f"{spec.schema}.{spec.name}") in tables else tables[spec.name]
+
+
 # --- job state ---------------------------------------------------------------
 
 
@@ -272,6 +301,13 @@ def migrate_chunks(old: DataFrame) -> DataFrame:
     return old.select(*((F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in CHUNK_COLUMNS.items()))
 
 
+def primary_keys(relations: DataFrame) -> DataFrame:
+    """(table_schema, table_name, key_columns): the key of each table by its newest Relation message, in column order; empty without one."""
+    schema = F.coalesce(F.nullif(F.col("table_schema"), F.lit("")), F.lit("public"))
+    newest = relations.filter("table_name is not null and column_list is not null").groupBy(schema.alias("table_schema"), "table_name").agg(F.max_by("column_list", F.struct("lsn", "relation_id")).alias("columns"))
+    return newest.select("table_schema", "table_name", F.transform(F.filter("columns", lambda c: c["flags"] == 1), lambda c: c["name"]).alias("key_columns"))
+
+
 def should_snapshot(mode: str, enabled: bool, job_completed: bool | None, resnapshot: bool = False) -> bool:
     """``never`` takes none; ``initial`` and ``snapshot_only`` take one unless a completed job is on record."""
     if not enabled or mode == "never":

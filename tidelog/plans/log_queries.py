@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog import storage
+from tidelog.connector import Connector
 from tidelog.functions.lsn import lsn_format
 from tidelog.functions.naming import latency_micros, qualified, replica_identity
 from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
+from tidelog.operators.jobs import SnapshotJob
 from tidelog.plans.source_tables import table
+from tidelog.sources.config import from_dict
 from tidelog.sources.frames import FRAMES, split_packets
 from tidelog.sources.synthetic import LSN_STEP, ROOM, SCENE, frames_of, log_of, scenario_frames
 
@@ -123,6 +129,68 @@ def snapshot_events_whole(spark, sf):
     return events.filter("op = 'r'").groupBy("table_name").agg(F.count(F.lit(1)).alias("rows_read"), F.count_if("is_last").alias("last_rows"))
 
 
+_PLAN = """
+WITH c AS (SELECT min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer), l AS (SELECT ((count(*) + 99)//100 + 79)//80 AS n FROM lineitem),
+ o AS (SELECT greatest((count(*) + 7999)//8000, 1) AS n FROM orders WHERE o_orderstatus <> 'F')
+SELECT 'customer' AS table_name, 'integer_range' AS partition_strategy, i AS chunk_index, i*8000 AS chunk_start, lo + i*8000 AS range_start, least(lo + i*8000 + 7999, hi) AS range_end, NULL::BIGINT AS block_start, NULL::BIGINT AS block_end, i = (hi - lo + 8000)//8000 - 1 AS is_last_chunk FROM c, range(0, (hi - lo + 8000)//8000) r(i)
+UNION ALL SELECT 'lineitem', 'ctid_block', i, i*8000, NULL, NULL, i*80, CASE WHEN i < n - 1 THEN (i + 1)*80 END, i = n - 1 FROM l, range(0, n) r(i)
+UNION ALL SELECT 'orders', 'offset', i, i*8000, NULL, NULL, NULL, NULL, NULL FROM o, range(0, n) r(i)"""
+
+
+def _planned(spark: SparkSession, sf: str) -> tuple[dict, list]:
+    specs = [snapshot.TableSpec("customer", key=("c_custkey",)), snapshot.TableSpec("lineitem", key=("l_orderkey", "l_linenumber")), snapshot.TableSpec("orders", key=("o_orderkey",), condition="o_orderstatus <> 'F'", strategy="offset")]
+    return {s.name: table(spark, sf, s.name) for s in specs}, specs
+
+
+@_query(_PLAN)
+def snapshot_plan(spark, sf):
+    """Strategies chosen by the key, or asked for, and the chunks of each table, written to the job's record and read back."""
+    tables, specs = _planned(spark, sf)
+    chunks = reduce(DataFrame.unionByName, (snapshot.plan_chunks(tables[s.name], s, 8000, "job", 1 << 40) for s in specs))
+    job = SnapshotJob(spark, storage.fresh_dir(spark, "job"))
+    job.create(chunks, "job", 1 << 40, datetime(2025, 1, 1))
+    return job.chunks().select("table_name", "partition_strategy", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_start", "range_start", "range_end", "block_start", "block_end", "is_last_chunk")
+
+
+@_query("""
+SELECT 'customer' AS table_name, (c_custkey - (SELECT min(c_custkey) FROM customer))//8000 AS chunk_index, 'completed' AS status, count(*) AS rows_processed FROM customer GROUP BY 2
+UNION ALL SELECT 'lineitem', i, 'completed', least(8000, n - i*8000) FROM (SELECT count(*) AS n FROM lineitem) t, range(0, (n + 7999)//8000) r(i)
+UNION ALL SELECT 'orders', i, 'completed', least(8000, n - i*8000) FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F') t, range(0, (n + 7999)//8000) r(i)""")
+def snapshot_job_run(spark, sf):
+    """A job of three tables claimed in waves, read by every strategy, and completed chunk by chunk."""
+    tables, specs = _planned(spark, sf)
+    config = from_dict({"host": "h", "username": "u", "password": "p", "database": "d", "snapshot": {"enabled": True, "mode": "snapshot_only", "tables": [{"name": s.name, "queryCondition": s.condition, "snapshotPartitionStrategy": s.strategy} for s in specs]}})
+    job = SnapshotJob(spark, storage.fresh_dir(spark, "job"))
+    delivered = []
+    Connector(spark, config, tables=tables, keys={s.name: list(s.key) for s in specs}).run_snapshot(1 << 40, lambda df, n: delivered.append(df.filter("op = 'r'").count()), job, wave=30)
+    assert sum(delivered) == job.chunks().agg(F.sum("rows_processed")).first()[0]
+    return job.chunks().select("table_name", F.col("chunk_index").cast("bigint").alias("chunk_index"), "status", "rows_processed")
+
+
+@_query("""
+SELECT 'orders' AS table_name, o_orderkey::VARCHAR AS row_key, (row_number() OVER (ORDER BY o_orderkey) - 1)//8000 AS chunk_index, row_number() OVER (ORDER BY o_orderkey) = count(*) OVER () AND count(*) OVER () % 8000 > 0 AS is_last FROM orders
+UNION ALL SELECT 'customer', c_custkey::VARCHAR, (c_custkey - min(c_custkey) OVER ())//8000, c_custkey = max(c_custkey) OVER (PARTITION BY (c_custkey - (SELECT min(c_custkey) FROM customer))//8000) AND count(*) OVER (PARTITION BY (c_custkey - (SELECT min(c_custkey) FROM customer))//8000) < 8000 FROM customer""")
+def snapshot_rows(spark, sf):
+    """Keys, chunks and last rows of snapshot events, by offset and by range."""
+    specs = [snapshot.TableSpec("orders", key=("o_orderkey",), strategy="offset"), snapshot.TableSpec("customer", key=("c_custkey",))]
+    events = snapshot.take_snapshot({s.name: table(spark, sf, s.name) for s in specs}, specs, "job", 1 << 40)
+    return events.filter("op = 'r'").select("table_name", "row_key", F.col("chunk_index").cast("bigint").alias("chunk_index"), "is_last")
+
+
+@_query("SELECT n_nationkey::VARCHAR AS row_key, n_name AS name, n_regionkey::VARCHAR AS region, NULL::VARCHAR AS missing FROM nation")
+def snapshot_images(spark, sf):
+    """Snapshot rows as maps of text."""
+    spec = snapshot.TableSpec("nation", key=("n_nationkey",))
+    rows = snapshot.take_snapshot({"nation": table(spark, sf, "nation")}, [spec], "job", 1).filter("op = 'r'")
+    return rows.select("row_key", F.col("row_data")["n_name"].alias("name"), F.col("row_data")["n_regionkey"].alias("region"), F.try_element_at("row_data", F.lit("x")).alias("missing"))
+
+
+@_query("""WITH r AS (SELECT coalesce(nullif(table_schema, ''), 'public') AS table_schema, table_name, arg_max(column_list, (lsn, relation_id)) AS c FROM relation_log WHERE column_list IS NOT NULL GROUP BY 1, 2)
+SELECT table_schema, table_name, coalesce(list_aggregate(list_transform(list_filter(c, lambda x: x.flags = 1), lambda x: x.name), 'string_agg', ','), '') AS key_columns FROM r""")
+def primary_keys(spark, sf):
+    return snapshot.primary_keys(table(spark, sf, "relation_log")).select("table_schema", "table_name", F.concat_ws(",", "key_columns").alias("key_columns"))
+
+
 @_query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) > 0 AND count(*) = count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders")
 def chunk_completion(spark, sf):
     return snapshot.completion(table(spark, sf, "orders"), [], F.col("o_orderstatus") == "F")
