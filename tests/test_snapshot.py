@@ -101,9 +101,9 @@ def test_filters_of_changes(spark):
     assert sorted(str(r["table_name"]) for r in publication.to_root(rows, roots, "table_name").collect()) == ["None", "hb", "hb", "p"]
     a = spark.createDataFrame([("s", "t", None, ["x"]), ("s", "u", "FULL", None)], "table_schema string, table_name string, replica_identity string, column_list array<string>")
     assert publication.identity_differences(a, a).count() == 0 and publication.identity_differences(a, a.filter("table_name = 't'")).first()["table_name"] == "u"
-    t = "array<struct<kind:string,value:string>>"
-    merged = spark.createDataFrame([([("u", None), ("t", "2")], [("t", "1"), ("t", "0")]), ([("u", None)], None)], f"new {t}, old {t}").select(publication.merge_unchanged(F.col("new"), F.col("old")).alias("m")).collect()
-    assert [tuple(x) for x in merged[0]["m"]] == [("t", "1"), ("t", "2")] and merged[1]["m"][0]["kind"] == "u"
+    quoted = spark.createDataFrame([("s", 'a"b', "USING INDEX", "i", "p", ["x"], True), ("s", "c", "FULL", None, "p", None, None)], "table_schema string, table_name string, replica_identity string, replica_identity_index string, pub_name string, column_list array<string>, is_partitioned boolean")
+    assert sorted(r["statement"] for r in publication.alter_statements(quoted).collect()) == ['ALTER TABLE "s"."a""b" REPLICA IDENTITY USING INDEX "i"', 'ALTER TABLE "s"."c" REPLICA IDENTITY FULL']
+    assert publication.create_statements(quoted, ["INSERT"]).first()["statement"] == """CREATE PUBLICATION "p" FOR TABLE "s"."a""b" ("x"), "s"."c" WITH (publish = 'insert', publish_via_partition_root = true)"""
 
 
 def test_running_values_in_blocks(spark):
@@ -149,6 +149,31 @@ def test_metrics(spark):
     assert got["lag"] == 0 and got["retained_wal_size"] == 0x10 and got["is_active"] == 0
 
 
+def test_endpoint(spark):
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from tidelog.streaming.endpoint import Endpoint
+
+    e = Endpoint(lambda: spark.createDataFrame([("m", "s", "h", 1.0)], "name string, slot_name string, host string, value double"), lambda: spark.createDataFrame([("s", 5)], "slot_name string, lag int"), port=0)
+    get = lambda path: urlopen(f"http://127.0.0.1:{e.port}{path}").read().decode()
+    assert get("/status") == "OK" and get("/metrics") == 'm{slot_name="s",host="h"} 1.0\n' and json.loads(get("/slot")) == [{"slot_name": "s", "lag": 5}]
+    with pytest.raises(HTTPError):
+        get("/other")
+    e.close()
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    t = apply.CurrentTable(spark, f"file://{tmp_path}/t", ["id"], "seq", buckets=8)
+    t.apply(spark.range(200).selectExpr("id", "1L AS seq", "'I' AS op"), 0)
+    before = t._current()["folders"]
+    t.apply(spark.createDataFrame([(5, 2, "D")], "id bigint, seq bigint, op string"), 1)
+    after = t._current()["folders"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1 and t.rows().count() == 199
+    t.apply(spark.createDataFrame([(5, 3, "I", "n")], "id bigint, seq bigint, op string, extra string"), 2)
+    assert t.rows().count() == 200 and t.rows().filter("id = 5").first()["extra"] == "n"
+
+
 def test_configuration(tmp_path):
     data = {"host": "h", "username": "u", "password": "p", "database": "d", "publication": {"name": "pub", "createIfNotExists": True, "operations": ["INSERT"], "tables": [{"name": "orders", "replicaIdentity": "FULL"}, {"name": "items", "replicaIdentity": "DEFAULT", "columns": ["id"]}]}, "slot": {"name": "s"}, "snapshot": {"enabled": True, "mode": "initial", "claimTimeout": "30s", "tables": [{"name": "items", "queryCondition": "id > 1"}]}, "heartbeat": {"table": {"name": "beat"}}}
     path = tmp_path / "c.json"

@@ -106,7 +106,10 @@ def test_scalars(spark):
     assert one.select(pgtypes.typed(F.lit("x"), 23), pgtypes.typed(F.lit("12"), 23), pgtypes.typed(F.lit("t"), 16)).first()[:] == (None, 12, True)
     assert naming.ceil_div(101, 25) == 5 and naming.next_delay(40, 2, 60) == 60
     assert naming.dsn("h", 1, "u@x", "p/w", "d") == "postgres://u%40x:p%2Fw@h:1/d"
-    assert one.select(*naming.truncate_flags(F.lit(2))).first()[:] == (False, True)
+    from tidelog.sources.frames import status_report
+
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    assert bytes(one.select(status_report(F.lit(str((1 << 63) + 5)).cast("decimal(20,0)"), F.lit(3), now)).first()[0]) == wire.status_update((1 << 63) + 5, 3, 1735689600000000)
 
 
 def test_packets_identity_and_typed_rows(spark):

@@ -17,12 +17,6 @@ def qualified(schema: Column, table: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(schema, F.lit("")), F.lit("public")), F.lit("."), table)
 
 
-def split_qualified(name: Column) -> tuple[Column, Column]:
-    """(schema, table). Only the first dot outside quotes would count; names without one belong to public."""
-    parts = F.split(name, "\\.", 2)
-    return F.when(F.size(parts) > 1, parts[0]).otherwise("public"), F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(2))).otherwise(name)
-
-
 def replica_identity(code: Column) -> Column:
     """Name of a replica identity code; an unknown code stays itself."""
     pairs = [F.lit(x) for kv in REPLICA_IDENTITY.items() for x in kv]
@@ -33,11 +27,6 @@ def quote_identifier(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def truncate_flags(options: Column) -> tuple[Column, Column]:
-    """(cascade, restart identity) of a truncate's option bits."""
-    return options.bitwiseAND(F.lit(1)) != 0, options.bitwiseAND(F.lit(2)) != 0
-
-
 def latency_micros(now: Column, then: Column) -> Column:
     return F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidelog import storage
 
@@ -29,40 +29,47 @@ def snapshot_then_changes(snapshot: DataFrame, changes: DataFrame, keys: list[st
 
 
 class CurrentTable:
-    """A keyed table in the shared folder, replaced version by version.
+    """A keyed table in the shared folder, in ``buckets`` of keys; a batch only rewrites those it touches.
 
     Batches may come twice: a row only changes if the change's sequence is greater.
-    Deleted keys stay as tombstones for that reason, and don't show.
+    Deleted keys stay as tombstones for that reason, and don't show. One atomic swap
+    of a small file, which names the folder of each bucket, makes a batch visible.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], seq: str):
-        self.spark, self.path, self.keys, self.seq = spark, path.rstrip("/"), keys, seq
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], seq: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.seq, self.buckets = spark, path.rstrip("/"), keys, seq, buckets
 
     def _current(self) -> dict:
         text = storage.read_text(self.spark, f"{self.path}/CURRENT")
-        return json.loads(text) if text else {}
+        return json.loads(text) if text else {"version": 0, "batch": None, "folders": {}, "unused": []}
 
-    def _all(self) -> DataFrame | None:
-        now = self._current()
-        return self.spark.read.parquet(now["data"]) if now else None
+    def _read(self, folders: list[str], schema: str | None) -> DataFrame | None:
+        return self.spark.read.schema(T.StructType.fromJson(schema)).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
 
     def rows(self) -> DataFrame | None:
-        known = self._all()
+        now = self._current()
+        known = self._read(list(now["folders"].values()), now.get("schema"))
         return None if known is None else known.filter("op <> 'D'").drop("op")
 
     def apply(self, changes: DataFrame, batch_id: int | None = None) -> None:
         """Merge a batch. With a batch id that was applied before, nothing happens."""
         now = self._current()
-        if batch_id is not None and now and now.get("batch") is not None and batch_id <= now["batch"]:
+        if batch_id is not None and now["batch"] is not None and batch_id <= now["batch"]:
             return
-        new = latest(changes, self.keys, self.seq)
-        known = self._all()
+        bucket = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in self.keys)), F.lit(self.buckets)).cast("int")
+        new = storage.materialize(latest(changes, self.keys, self.seq), "changes")
+        touched = [str(r[0]) for r in new.select(bucket.alias("b")).distinct().collect()]  # as many as there are buckets
+        known = self._read([now["folders"][b] for b in touched if b in now["folders"]], now.get("schema"))
         merged = new if known is None else latest(known.unionByName(new, allowMissingColumns=True), self.keys, self.seq)
-        data = f"{self.path}/v-{(now.get('version') or 0) + 1}-{batch_id if batch_id is not None else 'x'}"
-        merged.write.mode("overwrite").parquet(data)
-        storage.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps({"version": (now.get("version") or 0) + 1, "data": data, "batch": batch_id if batch_id is not None else now.get("batch"), "previous": now.get("data")}))
-        if now.get("previous"):  # readers of the last version may still be at work
-            storage.delete(self.spark, now["previous"])
+        data = f"v-{now['version'] + 1}-{batch_id if batch_id is not None else 'x'}"
+        merged.withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{data}")
+        folders = {**now["folders"], **{b: f"{data}/__bucket={b}" for b in touched}}
+        unused = [now["folders"][b] for b in touched if b in now["folders"]]
+        schema = merged.schema.jsonValue() if known is not None or not now["folders"] else now["schema"]
+        storage.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps({"version": now["version"] + 1, "batch": batch_id if batch_id is not None else now["batch"], "folders": folders, "unused": unused, "schema": schema}))
+        for folder in now["unused"]:  # readers of the last version may still be at work, those of the one before aren't
+            storage.delete(self.spark, f"{self.path}/{folder}")
+        storage.delete(self.spark, storage.place_of(new))
 
 
 def keyed_messages(changes: DataFrame, keys: list[str], operation: str = "op") -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions.lsn import lsn_lag, lsn_parse
+from tidelog.functions.naming import latency_micros
 
 #: Before every metric's name.
 PREFIX = "cdc"
 # Names of the metrics, which dashboards rely on.
 COUNTERS = {"I": "insert_total", "U": "update_total", "D": "delete_total"}
+LATENCY_GAUGES = {"cdc": "cdc_latency_current", "process": "process_latency_current"}
 SLOT_GAUGES = ["slot_is_active", "slot_confirmed_flush_lsn", "slot_current_lsn", "slot_retained_wal_size", "slot_lag"]
 SNAPSHOT_GAUGES = ["in_progress", "total_tables", "completed_tables", "total_rows", "duration_seconds", "total_chunks", "completed_chunks", "active_workers"]
 
@@ -47,6 +49,14 @@ def change_metrics(changes: DataFrame, host: str) -> DataFrame:
     return counted.select(F.concat(F.lit(f"{PREFIX}_"), names[F.col("op")]).alias("name"), "slot_name", F.lit(host).alias("host"), "value")
 
 
+def latency_metrics(changes: DataFrame, host: str, kind: str, begin: str, end: str) -> DataFrame:
+    """(name, slot_name, host, value): of each slot's last message, the milliseconds from ``begin`` to ``end``; ``kind`` is cdc or process."""
+    last = F.max(F.struct(end, "delivery_id", begin))
+    rows = changes.filter(F.col("slot_name").isNotNull() & F.col(begin).isNotNull() & F.col(end).isNotNull()).groupBy("slot_name").agg(last.alias("m"))
+    value = latency_micros(F.col(f"m.{end}"), F.col(f"m.{begin}")) / 1000
+    return rows.select(F.lit(f"{PREFIX}_{LATENCY_GAUGES[kind]}").alias("name"), "slot_name", F.lit(host).alias("host"), value.alias("value"))
+
+
 def snapshot_metrics(chunks: DataFrame, host: str) -> DataFrame:
     """(name, slot_name, host, value) of the snapshot gauges, from chunk rows."""
     done = F.col("status") == "completed"

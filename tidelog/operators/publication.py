@@ -104,6 +104,45 @@ def table_lists(tables: DataFrame, by: list[str], name: Column, out: str = "tabl
     return tables.groupBy(*by).agg(F.concat_ws(",", F.sort_array(F.collect_list(name))).alias(out))
 
 
-def merge_unchanged(new: Column, old: Column) -> Column:
-    """Positional merge of tuples (arrays of (kind, value)): unchanged values come from the old tuple's place."""
-    return F.when(old.isNull() | (F.size(old) == 0), new).otherwise(F.transform(new, lambda v, i: F.when((v["kind"] == "u") & (i < F.size(old)), F.get(old, i)).otherwise(v)))
+def newest_tables(tables: DataFrame) -> DataFrame:
+    """The newest configured entry of each table, with ``public`` for a missing schema."""
+    schema = F.coalesce(F.nullif(F.col("table_schema"), F.lit("")), F.lit("public"))
+    rest = [c for c in tables.columns if c not in ("table_schema", "table_name")]
+    newest = tables.filter("table_name is not null").groupBy(schema.alias("table_schema"), "table_name").agg(F.max_by(F.struct(*rest), F.struct("config_rev", "pub_row_id")).alias("row"))
+    return newest.select("table_schema", "table_name", "row.*")
+
+
+def catalog_identities(relations: DataFrame) -> DataFrame:
+    """(table_schema, table_name, replica_identity) of each table by its newest Relation message."""
+    from tidelog.functions.naming import replica_identity
+
+    schema = F.coalesce(F.nullif(F.col("table_schema"), F.lit("")), F.lit("public"))
+    newest = relations.filter("table_name is not null").groupBy(schema.alias("table_schema"), "table_name").agg(F.max_by("replica_id", F.struct("lsn", "relation_id")).alias("code"))
+    return newest.select("table_schema", "table_name", replica_identity(F.col("code")).alias("replica_identity"))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def alter_statements(tables: DataFrame) -> DataFrame:
+    """(table_schema, table_name, statement): what gives each table the identity that is configured for it."""
+    identity = F.when(F.col("replica_identity") == "USING INDEX", F.concat(F.lit("USING INDEX "), _quoted(F.col("replica_identity_index")))).otherwise(F.col("replica_identity"))
+    return tables.select("table_schema", "table_name", F.concat(F.lit("ALTER TABLE "), _quoted(F.col("table_schema")), F.lit("."), _quoted(F.col("table_name")), F.lit(" REPLICA IDENTITY "), identity).alias("statement"))
+
+
+def create_statements(tables: DataFrame, operations: list[str]) -> DataFrame:
+    """(pub_name, statement): what creates each publication with its tables, their column lists and the operations."""
+    columns = F.when(F.size("column_list") > 0, F.concat(F.lit(" ("), F.concat_ws(", ", F.transform("column_list", _quoted)), F.lit(")"))).otherwise(F.lit(""))
+    entry = F.concat(_quoted(F.col("table_schema")), F.lit("."), _quoted(F.col("table_name")), columns)
+    options = [F.lit(f" WITH (publish = '{', '.join(o.lower() for o in operations)}'"), F.when(F.bool_or("is_partitioned"), F.lit(", publish_via_partition_root = true")).otherwise(F.lit("")), F.lit(")")]
+    listed = F.array_join(F.array_sort(F.collect_list(entry)), ", ")
+    return tables.groupBy("pub_name").agg(F.concat(F.lit("CREATE PUBLICATION "), _quoted(F.col("pub_name")), F.lit(" FOR TABLE "), listed, *options).alias("statement"))
+
+
+def hypertable_roots(hypertables: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(child, root): qualified names of chunks and of the hypertables (id, schema_name, table_name) that they (hypertable_id, ...) belong to."""
+    from tidelog.functions.naming import qualified
+
+    roots = hypertables.select(F.col("id").alias("hypertable_id"), qualified(F.col("schema_name"), F.col("table_name")).alias("root"))
+    return chunks.filter(~F.coalesce("dropped", F.lit(False))).select("hypertable_id", qualified(F.col("schema_name"), F.col("table_name")).alias("child")).join(roots, "hypertable_id").select("child", "root")

@@ -8,9 +8,9 @@ from decimal import Decimal
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tidelog.functions.naming import ceil_div
+from tidelog.functions.naming import ceil_div, quote_identifier
 from tidelog.operators import scan
-from tidelog.operators.publication import filter_rows, select_columns
+from tidelog.operators.publication import both_conditions, filter_rows, select_columns
 
 RANGE, BLOCK, OFFSET = "integer_range", "ctid_block", "offset"
 DEFAULT_ROWS_PER_BLOCK = 100
@@ -102,8 +102,11 @@ def plan_chunks(df: DataFrame, spec: TableSpec, size: int, slot: str, lsn: int,
 # --- reading -----------------------------------------------------------------
 
 
-def range_predicate(key: str, chunk: dict) -> Column:
-    return F.lit(True) if chunk.get("range_start") is None else F.col(key).between(chunk["range_start"], chunk["range_end"])
+def chunk_condition(spec: TableSpec, chunk: dict) -> str | None:
+    """The rows of a range chunk as the text of a condition: the table's own one and the range. Also for readers that take SQL."""
+    if chunk.get("range_start") is None:
+        return spec.condition
+    return both_conditions(spec.condition, f"{quote_identifier(spec.key[0])} BETWEEN {chunk['range_start']:d} AND {chunk['range_end']:d}")
 
 
 def _in_order(df: DataFrame, key: tuple[str, ...]) -> list[Column]:
@@ -151,10 +154,8 @@ def read_chunk(df: DataFrame, spec: TableSpec, chunk: dict, rows_per_block: int
         per = max(1, rows_per_block)
         last = chunk.get("block_end") is None or chunk.get("is_last_chunk")
         df = block_rows(df, spec.key, chunk["block_start"] * per, None if last else chunk["block_end"] * per)
-    kept = filter_rows(df, spec.condition)
-    if kind == RANGE:
-        kept = kept.filter(range_predicate(spec.key[0], chunk))
-    elif kind == OFFSET:
+    kept = filter_rows(df, chunk_condition(spec, chunk) if kind == RANGE else spec.condition)
+    if kind == OFFSET:
         kept = kept.orderBy(*_in_order(kept, spec.key)).offset(chunk["chunk_start"]).limit(chunk["chunk_size"])
     return select_columns(kept, list(spec.columns))
 

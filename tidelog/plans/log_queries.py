@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog import storage
 from tidelog.connector import Connector
-from tidelog.functions.lsn import lsn_format
-from tidelog.functions.naming import latency_micros, qualified, replica_identity
+from tidelog.functions.lsn import lsn_format, lsn_parse
+from tidelog.functions.naming import dsn, latency_micros, lock_key, qualified, quote_identifier, replica_identity, snapshot_slot_name
+from tidelog.functions.pgtypes import parse_nullable_bigint, parse_timestamp
 from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
 from tidelog.operators.jobs import SnapshotJob
 from tidelog.plans.source_tables import table
 from tidelog.sources.config import from_dict
-from tidelog.sources.frames import FRAMES, split_packets
+from tidelog.sources.frames import FRAMES, split_packets, status_report
 from tidelog.sources.synthetic import LSN_STEP, ROOM, SCENE, frames_of, log_of, scenario_frames
 
 QUERIES: dict = {}
@@ -61,16 +62,18 @@ def snapshot_block_chunks(spark, sf):
     return snapshot.block_chunks(snapshot.blocks_of(table(spark, sf, "lineitem")), 8000)
 
 
-@_query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
+@_query("SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1)//100 AS chunk_index FROM orders")
 def snapshot_offset_chunk(spark, sf):
-    spec = snapshot.TableSpec("orders", key=("o_orderkey",))
-    return snapshot.read_chunk(table(spark, sf, "orders"), spec, {"partition_strategy": snapshot.OFFSET, "chunk_start": 200, "chunk_size": 100})
+    """All offset chunks of the table, in one pass."""
+    spec = snapshot.TableSpec("orders", key=("o_orderkey",), strategy=snapshot.OFFSET)
+    return snapshot.chunk_rows(table(spark, sf, "orders"), spec, 100).withColumnRenamed("__chunk", "chunk_index").drop("__last")
 
 
-@_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 0 AND 999 AND (o_orderstatus = 'O' OR o_orderstatus = 'F')")
+@_query("SELECT (o_orderkey - (SELECT min(o_orderkey) FROM orders))//8000 AS chunk_index, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'F'")
 def snapshot_query_condition(spark, sf):
+    """All range chunks of the table with the condition, in one pass."""
     spec = snapshot.TableSpec("orders", key=("o_orderkey",), columns=("o_orderkey", "o_orderstatus"), condition="o_orderstatus = 'O' OR o_orderstatus = 'F'")
-    return snapshot.read_chunk(table(spark, sf, "orders"), spec, {"partition_strategy": snapshot.RANGE, "range_start": 0, "range_end": 999})
+    return snapshot.chunk_rows(table(spark, sf, "orders"), spec, 8000).withColumnRenamed("__chunk", "chunk_index").drop("__last")
 
 
 @_query("SELECT 'orders' AS t, count(*) AS n FROM orders WHERE (o_orderstatus <> 'F') UNION ALL SELECT 'customer', count(*) FROM customer WHERE (c_acctbal >= 0)")
@@ -91,29 +94,6 @@ def snapshot_is_last(spark, sf):
     return snapshot.mark_last(rows, "chunk_index", "o_orderkey", 128).select("o_orderkey", "is_last")
 
 
-@_query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE op = 'r') AS rows_read FROM (SELECT 'DATA' AS event_type, 'r' AS op FROM nation UNION ALL SELECT 'DATA', 'r' FROM region UNION ALL SELECT 'BEGIN', 'BEGIN' UNION ALL SELECT 'END', 'END') GROUP BY 1")
-def snapshot_events_of_job(spark, sf):
-    specs = [snapshot.TableSpec("nation", key=("n_nationkey",)), snapshot.TableSpec("region", key=("r_regionkey",))]
-    events = snapshot.take_snapshot({s.name: table(spark, sf, s.name) for s in specs}, specs, "job", 1 << 40)
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("op") == "r").alias("rows_read"))
-
-
-@_query("SELECT (o_orderkey - (SELECT min(o_orderkey) FROM orders))//8000 AS chunk_index, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'F'")
-def snapshot_query_condition_whole(spark, sf):
-    """All range chunks of the table with the condition, in one pass."""
-    orders = table(spark, sf, "orders")
-    lo = snapshot.key_bounds(orders, "o_orderkey").first()["lo"]
-    kept = publication.filter_rows(orders, "o_orderstatus = 'O' OR o_orderstatus = 'F'")
-    return snapshot.with_chunk(kept.select("o_orderkey", "o_orderstatus"), "o_orderkey", F.lit(lo), 8000)
-
-
-@_query("SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1)//100 AS chunk_index FROM orders")
-def snapshot_offset_chunks_whole(spark, sf):
-    """All offset chunks of the table, in one pass."""
-    rows = scan.row_numbers(table(spark, sf, "orders"), [], "o_orderkey", [], "__n")
-    return rows.withColumn("chunk_index", F.floor((F.col("__n") - 1) / 100).cast("bigint")).drop("__n")
-
-
 _EVENTS = " UNION ALL ".join(
     [f"SELECT '{t}' AS table_name, sum(n)::BIGINT AS rows_read, count(*) FILTER (WHERE n < 8000) AS last_rows FROM (SELECT count(*) AS n FROM {t} GROUP BY ({k} - (SELECT min({k}) FROM {t}))//8000)" for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey"))]
     + ["SELECT 'lineitem', count(*), (count(*) % 8000 > 0)::INT FROM lineitem"]
@@ -121,7 +101,7 @@ _EVENTS = " UNION ALL ".join(
 
 
 @_query(_EVENTS)
-def snapshot_events_whole(spark, sf):
+def snapshot_events_of_job(spark, sf):
     """The snapshot of all star tables: rows, and last rows of chunks that aren't full."""
     keys = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
     specs = [*(snapshot.TableSpec(t, key=(k,)) for t, k in keys.items()), snapshot.TableSpec("lineitem", key=("l_orderkey", "l_linenumber"))]
@@ -191,21 +171,29 @@ def primary_keys(spark, sf):
     return snapshot.primary_keys(table(spark, sf, "relation_log")).select("table_schema", "table_name", F.concat_ws(",", "key_columns").alias("key_columns"))
 
 
-@_query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) > 0 AND count(*) = count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders")
+@_query("SELECT slot_name, table_name, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) = count(*) FILTER (WHERE status = 'completed') AS done FROM snapshot_chunks GROUP BY 1, 2")
 def chunk_completion(spark, sf):
-    return snapshot.completion(table(spark, sf, "orders"), [], F.col("o_orderstatus") == "F")
+    return snapshot.completion(table(spark, sf, "snapshot_chunks"), ["slot_name", "table_name"], F.col("status") == "completed")
 
 
-@_query("SELECT o_orderpriority AS table_name, count(*) AS chunks, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / nullif(count(*), 0), 2)::DOUBLE AS pct FROM orders GROUP BY 1")
+@_query("SELECT table_name, count(*) AS chunks, round(100.0 * count(*) FILTER (WHERE status = 'completed') / nullif(count(*), 0), 2)::DOUBLE AS pct FROM snapshot_chunks GROUP BY 1")
 def chunk_progress(spark, sf):
-    return snapshot.progress(table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "table_name"), ["table_name"], F.col("o_orderstatus") == "F")
+    return snapshot.progress(table(spark, sf, "snapshot_chunks"), ["table_name"], F.col("status") == "completed")
 
 
-@_query("SELECT slot, chunk_index FROM (SELECT o_custkey AS slot, o_orderkey AS chunk_index, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders WHERE o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01')) WHERE rn = 1")
+@_query("""WITH t AS (SELECT max(heartbeat_at) AS now FROM snapshot_chunks) SELECT slot_name AS slot, min(chunk_index)::INT AS chunk_index FROM snapshot_chunks, t
+WHERE status = 'pending' OR (status = 'in_progress' AND (heartbeat_at IS NULL OR heartbeat_at < now - INTERVAL 30 SECOND)) GROUP BY 1""")
 def chunk_claim_next(spark, sf):
-    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "in_progress")
-    free = snapshot.claimable(status, F.col("o_orderdate"), F.lit("1996-01-01 00:00:30").cast("timestamp"), 30)
-    return snapshot.next_claims(table(spark, sf, "orders"), free, "o_custkey", "o_orderkey")
+    chunks = table(spark, sf, "snapshot_chunks")
+    now = chunks.agg(F.max("heartbeat_at")).first()[0]
+    return snapshot.next_claims(chunks, snapshot.claimable(F.col("status"), F.col("heartbeat_at"), F.lit(now).cast("timestamp_ntz"), 30), "slot_name", "chunk_index")
+
+
+@_query("SELECT id, slot_name, chunk_index, NULL::BIGINT AS block_end, NULL::VARCHAR AS partition_strategy, status FROM snapshot_chunks WHERE slot_name <> 'snapshot_only_db000001'")
+def chunk_metadata_migrated(spark, sf):
+    """Chunk rows of an older layout under today's columns, after a slot was cleaned up."""
+    old = table(spark, sf, "snapshot_chunks").drop("range_start", "range_end", "block_start", "block_end", "is_last_chunk", "partition_strategy")
+    return snapshot.without_slot(snapshot.migrate_chunks(old), "snapshot_only_db000001").select("id", "slot_name", "chunk_index", "block_end", "partition_strategy", "status")
 
 
 @_query("SELECT slot_name, snapshot_lsn::BIGINT AS snapshot_lsn, count(*) = count(*) FILTER (WHERE status = 'completed') AS completed, count(*)::INT AS total_chunks, (count(*) FILTER (WHERE status = 'completed'))::INT AS completed_chunks FROM snapshot_chunks GROUP BY 1, 2")
@@ -248,21 +236,55 @@ def partition_root_map(spark, sf):
     return publication.to_root(rows, roots, "table_name")
 
 
-@_query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+_NEWEST = "n AS (SELECT coalesce(nullif(table_schema, ''), 'public') AS table_schema, table_name, arg_max({'pub': pub_name, 'id': replica_identity, 'ix': replica_identity_index, 'part': is_partitioned, 'cols': column_list}, (config_rev, pub_row_id)) AS x FROM publication_tables GROUP BY 1, 2)"
+_CATALOG = """c AS (SELECT coalesce(nullif(table_schema, ''), 'public') AS table_schema, table_name, arg_max(replica_id, (lsn, relation_id)) AS code FROM relation_log GROUP BY 1, 2),
+k AS (SELECT table_schema, table_name, CASE code WHEN 'd' THEN 'DEFAULT' WHEN 'f' THEN 'FULL' WHEN 'n' THEN 'NOTHING' WHEN 'i' THEN 'USING INDEX' ELSE code END AS identity FROM c),
+d AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.table_schema = n.table_schema AND k.table_name = n.table_name AND k.identity IS NOT DISTINCT FROM n.x.id))"""
+
+
+@_query(f"WITH {_NEWEST} SELECT file_no, record_no FROM insert_files WHERE table_name IN (SELECT table_name FROM n WHERE x.pub = 'pub_shop')")
 def publication_members(spark, sf):
-    members = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return publication.keep_members(table(spark, sf, "orders"), members, ["o_custkey"]).select("o_orderkey")
+    """Records of the tables that a publication names now."""
+    members = publication.newest_tables(table(spark, sf, "publication_tables")).filter("pub_name = 'pub_shop'")
+    return publication.keep_members(table(spark, sf, "insert_files"), members, ["table_name"]).select("file_no", "record_no")
+
 
+def _to_alter(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = publication.newest_tables(table(spark, sf, "publication_tables"))
+    return publication.identity_differences(wanted, publication.catalog_identities(table(spark, sf, "relation_log")))
 
-@_query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' AND o.o_orderpriority LIKE '1%')")
+
+@_query(f"WITH {_NEWEST}, {_CATALOG} SELECT table_schema, table_name, x.id AS replica_identity FROM d")
 def replica_identity_diff(spark, sf):
-    actual = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("c_custkey"))
-    return publication.identity_differences(table(spark, sf, "customer").select("c_custkey"), actual, ["c_custkey"])
+    return _to_alter(spark, sf).select("table_schema", "table_name", "replica_identity")
+
 
+@_query(f"""WITH {_NEWEST}, {_CATALOG}
+SELECT table_schema, table_name, 'ALTER TABLE "' || table_schema || '"."' || table_name || '" REPLICA IDENTITY ' || CASE WHEN x.id = 'USING INDEX' THEN 'USING INDEX "' || x.ix || '"' ELSE x.id END AS statement FROM d""")
+def replica_identity_statements(spark, sf):
+    return publication.alter_statements(_to_alter(spark, sf))
 
-@_query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS tables FROM nation GROUP BY 1")
+
+@_query(f"""WITH {_NEWEST}, e AS (SELECT x, '"' || table_schema || '"."' || table_name || '"' || CASE WHEN len(x.cols) > 0 THEN ' ("' || array_to_string(x.cols, '", "') || '")' ELSE '' END AS entry FROM n)
+SELECT x.pub AS pub_name, 'CREATE PUBLICATION "' || x.pub || '" FOR TABLE ' || string_agg(entry, ', ' ORDER BY entry) || ' WITH (publish = ' || chr(39) || 'insert, update, delete' || chr(39) ||
+ CASE WHEN bool_or(x.part) THEN ', publish_via_partition_root = true' ELSE '' END || ')' AS statement FROM e GROUP BY 1""")
+def publication_statements(spark, sf):
+    return publication.create_statements(publication.newest_tables(table(spark, sf, "publication_tables")), ["INSERT", "UPDATE", "DELETE"])
+
+
+@_query(f"WITH {_NEWEST} SELECT x.pub AS pub_name, string_agg(table_schema || '.' || table_name, ',' ORDER BY table_schema || '.' || table_name) AS tables FROM n GROUP BY 1")
 def table_list_agg(spark, sf):
-    return publication.table_lists(table(spark, sf, "nation"), ["n_regionkey"], F.col("n_name"))
+    newest = publication.newest_tables(table(spark, sf, "publication_tables"))
+    return publication.table_lists(newest, ["pub_name"], qualified(F.col("table_schema"), F.col("table_name")))
+
+
+@_query("SELECT '_internal._hyper_' || p_size || '_' || p_partkey || '_chunk' AS child, 'public.size_' || p_size AS root FROM part WHERE p_partkey % 7 <> 0")
+def hypertable_roots(spark, sf):
+    """A catalog of hypertables, one a size of parts, with a chunk for each part; some chunks are dropped."""
+    part = table(spark, sf, "part")
+    hyper = part.select(F.col("p_size").alias("id")).distinct().select("id", F.lit("public").alias("schema_name"), F.concat(F.lit("size_"), "id").alias("table_name"))
+    chunks = part.select(F.col("p_size").alias("hypertable_id"), F.lit("_internal").alias("schema_name"), F.concat(F.lit("_hyper_"), "p_size", F.lit("_"), "p_partkey", F.lit("_chunk")).alias("table_name"), (F.col("p_partkey") % 7 == 0).alias("dropped"))
+    return publication.hypertable_roots(hyper, chunks)
 
 
 @_query("WITH $LOG SELECT frame_seq, max(lsn) OVER (ORDER BY frame_seq ROWS UNBOUNDED PRECEDING) AS received FROM log")
@@ -289,11 +311,77 @@ def change_metrics(spark, sf):
     return monitor.change_metrics(table(spark, sf, "change_log"), "h")
 
 
-@_query("""SELECT 'cdc_snapshot_' || k AS name, slot_name, 'h' AS host, v AS value FROM (
- SELECT slot_name, unnest(['total_chunks','completed_chunks','total_rows']) AS k, unnest([count(*)::DOUBLE, (count(*) FILTER (WHERE status='completed'))::DOUBLE, coalesce(sum(rows_processed),0)::DOUBLE]) AS v FROM snapshot_chunks GROUP BY slot_name)""")
+@_query("""WITH t AS (SELECT slot_name, table_schema, table_name, count(*) AS n, count(*) FILTER (WHERE status = 'completed') AS c, sum(rows_processed) AS r, min(claimed_at) AS b, max(completed_at) AS e FROM snapshot_chunks GROUP BY 1, 2, 3),
+s AS (SELECT slot_name, count(*) AS tables, count(*) FILTER (WHERE n = c) AS done_tables, sum(n) AS n, sum(c) AS c, coalesce(sum(r), 0) AS r, (epoch_us(max(e)) - epoch_us(min(b))) / 1e6 AS d FROM t GROUP BY 1),
+w AS (SELECT slot_name, count(DISTINCT claimed_by) AS w FROM snapshot_chunks WHERE status = 'in_progress' GROUP BY 1)
+SELECT 'cdc_snapshot_' || k AS name, slot_name, 'h' AS host, v AS value FROM (
+ SELECT slot_name, unnest(['in_progress','total_tables','completed_tables','total_rows','duration_seconds','total_chunks','completed_chunks','active_workers']) AS k,
+  unnest([(c < n)::INT::DOUBLE, tables::DOUBLE, done_tables::DOUBLE, r::DOUBLE, d::DOUBLE, n::DOUBLE, c::DOUBLE, coalesce(w, 0)::DOUBLE]) AS v FROM s LEFT JOIN w USING (slot_name))""")
 def snapshot_metrics(spark, sf):
-    names = [f"cdc_snapshot_{k}" for k in ("total_chunks", "completed_chunks", "total_rows")]
-    return monitor.snapshot_metrics(table(spark, sf, "snapshot_chunks"), "h").filter(F.col("name").isin(names))
+    return monitor.snapshot_metrics(table(spark, sf, "snapshot_chunks"), "h")
+
+
+_LSN_TEXT = "'\\s*[0-9A-Fa-f]+/[0-9A-Fa-f]+\\s*'"
+
+
+@_query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY slot_name ORDER BY polled_at DESC, poll_id DESC) rn FROM slot_info),
+p AS (SELECT slot_name, active, list_transform([restart_lsn, confirmed_flush_lsn, current_lsn], lambda x: CASE WHEN regexp_full_match(x, {_LSN_TEXT}) THEN ('0x'||split_part(trim(x),'/',1))::BIGINT*4294967296 + ('0x'||split_part(trim(x),'/',2))::BIGINT END) AS x FROM s WHERE rn = 1)
+SELECT 'cdc_replication_slot_slot_' || k AS name, slot_name, 'h' AS host, value FROM (SELECT slot_name, unnest(['is_active', 'confirmed_flush_lsn', 'current_lsn', 'retained_wal_size', 'lag']) AS k,
+ unnest([active::INT::DOUBLE, x[2]::DOUBLE, x[3]::DOUBLE, CASE WHEN x[1] IS NOT NULL THEN greatest(x[3] - x[1], 0) END::DOUBLE, CASE WHEN x[2] IS NOT NULL THEN greatest(x[3] - x[2], 0) END::DOUBLE]) AS value FROM p)""")
+def slot_metrics(spark, sf):
+    return monitor.slot_metrics(table(spark, sf, "slot_info"), "h")
+
+
+@_query("""SELECT 'cdc_cdc_latency_current' AS name, slot_name, 'h' AS host, arg_max(epoch_us(received_at) - epoch_us(message_time), (received_at, delivery_id)) / 1000 AS value
+FROM change_log WHERE message_time IS NOT NULL AND received_at IS NOT NULL GROUP BY slot_name""")
+def latency_metrics(spark, sf):
+    return monitor.latency_metrics(table(spark, sf, "change_log"), "h", "cdc", "message_time", "received_at")
+
+
+@_query("""SELECT 'cdc_' || CASE op WHEN 'I' THEN 'insert' WHEN 'U' THEN 'update' ELSE 'delete' END || '_total{slot_name="' || slot_name || '",host="h"} ' || count(*) || '.0' AS line FROM change_log GROUP BY op, slot_name""")
+def metrics_text(spark, sf):
+    """The counters as scrapers read them."""
+    return monitor.exposition(monitor.change_metrics(table(spark, sf, "change_log"), "h"))
+
+
+@_query(f"""WITH p AS (SELECT poll_id, ('0x'||split_part(trim(confirmed_flush_lsn),'/',1))::BIGINT*4294967296 + ('0x'||split_part(trim(confirmed_flush_lsn),'/',2))::BIGINT AS flushed,
+ ('0x'||split_part(trim(current_lsn),'/',1))::BIGINT*4294967296 + ('0x'||split_part(trim(current_lsn),'/',2))::BIGINT AS cur, epoch_us(polled_at) - 946684800000000 AS t FROM slot_info
+ WHERE regexp_full_match(confirmed_flush_lsn, {_LSN_TEXT}) AND regexp_full_match(current_lsn, {_LSN_TEXT}) AND polled_at IS NOT NULL)
+SELECT DISTINCT poll_id, '72' || printf('%016X', cur) || printf('%016X', flushed) || printf('%016X', flushed) || printf('%016X', t) || '00' AS report FROM p""")
+def status_reports(spark, sf):
+    """The report that would go to the server at each poll: received, written and flushed positions and the time."""
+    rows = table(spark, sf, "slot_info").select("poll_id", lsn_parse("current_lsn").alias("cur"), lsn_parse("confirmed_flush_lsn").alias("flushed"), "polled_at").dropna().distinct()
+    return rows.select("poll_id", F.hex(status_report(F.col("cur"), F.col("flushed"), F.col("polled_at"))).alias("report"))
+
+
+@_query("SELECT event_id, ts AS with_zone, ts AS without_zone, NULL::TIMESTAMP AS unreadable FROM events")
+def timestamps_parsed(spark, sf):
+    """Both layouts of time, from text made of each event's time."""
+    micros, day = F.date_format("ts", "HH:mm:ss.SSSSSS"), F.date_format("ts", "yyyy-MM-dd")
+    read = lambda c: parse_timestamp(c).cast("timestamp_ntz")
+    return table(spark, sf, "events").select("event_id", read(F.concat(day, F.lit("T"), micros, F.lit("Z"))).alias("with_zone"), read(F.concat_ws(" ", day, micros)).alias("without_zone"), read(F.concat(F.lit("x"), day)).alias("unreadable"))
+
+
+@_query("SELECT delivery_id, try_cast(nullif(trim(new_decoded['id']), '') AS BIGINT) AS id, try_cast(nullif(trim(new_decoded['status']), '') AS BIGINT) AS status FROM change_log")
+def nullable_numbers(spark, sf):
+    value = lambda k: parse_nullable_bigint(F.try_element_at("new_decoded", F.lit(k)))
+    return table(spark, sf, "change_log").select("delivery_id", value("id").alias("id"), value("status").alias("status"))
+
+
+@_query("""WITH h AS (SELECT slot_name, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(slot_name, ''), lambda c: ord(c)::HUGEINT)), lambda h, b: (h * 31 + b) % 18446744073709551616::HUGEINT) AS h FROM (SELECT DISTINCT slot_name FROM slot_info WHERE slot_name IS NOT NULL))
+SELECT slot_name, '`' || slot_name || '`' AS quoted, 'snapshot_only_' || slot_name AS snapshot_name, 'postgres://u:p%40w@h:5432/' || slot_name || '?replication=database' AS dsn,
+ (CASE WHEN h >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT - h ELSE h END)::BIGINT AS lock_key FROM h""")
+def slot_names(spark, sf):
+    """What is made of a slot's or database's name."""
+    names = [r[0] for r in table(spark, sf, "slot_info").filter("slot_name is not null").select("slot_name").distinct().collect()]  # a few slots a server
+    rows = [(n, quote_identifier(n), snapshot_slot_name(n), dsn("h", 5432, "u", "p@w", n, {"replication": "database"}), lock_key(n)) for n in names]
+    return spark.createDataFrame(rows, "slot_name string, quoted string, snapshot_name string, dsn string, lock_key bigint")
+
+
+@_query("WITH $LOG SELECT frame_seq, lsn, commit_time FROM log JOIN (SELECT xid, arg_max(ts, frame_seq) AS commit_time FROM log GROUP BY xid) USING (xid) WHERE NOT (streamed AND aborted)")
+def wire_roundtrip_times(spark, sf):
+    """Positions of the rows and times of their commits, through encoding and decoding."""
+    return _delivered(spark, sf).select(F.col("event_seq").alias("frame_seq"), F.col("lsn").cast("bigint").alias("lsn"), F.col("commit_time").cast("timestamp_ntz").alias("commit_time"))
 
 
 @_query("SELECT delivery_id, try_cast(new_decoded['id'] AS INTEGER) AS id, try_cast(new_decoded['user_id'] AS INTEGER) AS user_id, try_cast(new_decoded['amount'] AS DECIMAL(10,2)) AS amount, new_decoded['status'] AS status, len(map_keys(new_decoded))::INT AS n_present FROM change_log WHERE table_name = 'shop_orders' AND new_decoded IS NOT NULL")
@@ -309,12 +397,6 @@ def change_column_list(spark, sf):
     return log.select("delivery_id", F.sort_array(F.map_keys(publication.keep_columns(F.col("new_decoded"), ["id", "name", "status"]))).alias("kept"))
 
 
-@_query("SELECT table_name, op, coalesce(old_kind, '-') AS old_kind, count(*) AS n, count(*) FILTER (WHERE old_decoded IS NOT NULL) AS with_old FROM change_log GROUP BY 1, 2, 3")
-def replica_identity_images(spark, sf):
-    log = table(spark, sf, "change_log")
-    return log.groupBy("table_name", "op", F.coalesce("old_kind", F.lit("-")).alias("old_kind")).agg(F.count(F.lit(1)).alias("n"), F.count("old_decoded").alias("with_old"))
-
-
 @_query("SELECT coalesce(table_schema, 'public') || '.' || table_name AS full_name, count(*) AS n FROM relation_log GROUP BY 1")
 def qualified_names(spark, sf):
     return table(spark, sf, "relation_log").groupBy(qualified(F.col("table_schema"), F.col("table_name")).alias("full_name")).agg(F.count(F.lit(1)).alias("n"))
@@ -330,15 +412,6 @@ def replica_identity_names(spark, sf):
 _ACK = "WITH $LOG, t AS (SELECT *, max(lsn) OVER (PARTITION BY xid) + 1 AS end_lsn, row_number() OVER (PARTITION BY xid ORDER BY frame_seq DESC) = 1 AS is_txn_last FROM log WHERE NOT streamed) SELECT frame_seq, xid, is_txn_last, CASE WHEN is_txn_last THEN end_lsn ELSE lsn END AS ack_lsn FROM t"
 
 
-@_query(_ACK)
-def txn_ack_lsn(spark, sf):
-    # a transaction is bounded by what one client wrote; its last row by an aggregate, not a window
-    log = _log(spark, sf).filter(~F.col("streamed"))
-    ends = log.groupBy("xid").agg((F.max("lsn") + 1).alias("end_lsn"), F.max("frame_seq").alias("last_seq"))
-    t = log.join(ends, "xid").withColumn("is_txn_last", F.col("frame_seq") == F.col("last_seq"))
-    return t.select("frame_seq", "xid", "is_txn_last", F.when(F.col("is_txn_last"), F.col("end_lsn")).otherwise(F.col("lsn")).alias("ack_lsn"))
-
-
 @_query("SELECT slot_name, xid, count(*) AS n, max(lsn)::BIGINT AS last_lsn FROM change_log WHERE (slot_name, xid) IN (SELECT (slot_name, xid) FROM wal_commits) GROUP BY 1, 2")
 def committed_transactions(spark, sf):
     rows = replay.committed(table(spark, sf, "change_log"), table(spark, sf, "wal_commits"))
@@ -348,44 +421,9 @@ def committed_transactions(spark, sf):
 _COMMITTED = "WITH $LOG SELECT frame_seq, xid, op FROM log WHERE NOT (streamed AND aborted)"
 
 
-@_query(_COMMITTED)
-def stream_commit_only(spark, sf):
-    log = _log(spark, sf)
-    aborts = log.filter("streamed AND aborted").select("xid").distinct()
-    return log.join(aborts, "xid", "left_anti").select("frame_seq", "xid", "op")
-
-
 _ORDER = "WITH $LOG, e AS (SELECT *, CASE WHEN streamed THEN max(frame_seq) OVER (PARTITION BY xid) ELSE frame_seq END AS emit_seq FROM log WHERE NOT (streamed AND aborted)) SELECT frame_seq, row_number() OVER (ORDER BY emit_seq, frame_seq) AS deliver_pos FROM e"
 
 
-@_query(_ORDER)
-def commit_order(spark, sf):
-    log = _log(spark, sf).filter("NOT (streamed AND aborted)")
-    ends = log.groupBy("xid").agg(F.max("frame_seq").alias("last_seq"))
-    e = log.join(ends, "xid").withColumn("emit_seq", F.when(F.col("streamed"), F.col("last_seq")).otherwise(F.col("frame_seq")))
-    return scan.row_numbers(e, [], "emit_seq", ["frame_seq"], "deliver_pos").select("frame_seq", "deliver_pos")
-
-
-@_query("WITH $LOG SELECT frame_seq, pk, last_value(CASE WHEN op='I' THEN frame_seq END IGNORE NULLS) OVER (PARTITION BY pk ORDER BY frame_seq ROWS UNBOUNDED PRECEDING) AS relation_seq FROM log")
-def relation_asof(spark, sf):
-    rows = scan.last_known(_log(spark, sf), ["pk"], "frame_seq", {"relation_seq": F.when(F.col("op") == "I", F.col("frame_seq"))}, strictly_before=False)
-    return rows.select("frame_seq", "pk", "relation_seq")
-
-
-@_query("WITH $LOG SELECT frame_seq, pk, last_value(CASE WHEN frame_seq % 3 = 0 THEN props END IGNORE NULLS) OVER (PARTITION BY pk ORDER BY frame_seq ROWS UNBOUNDED PRECEDING) AS props FROM log")
-def toast_merge(spark, sf):
-    log = _log(spark, sf)
-    rows = scan.last_known(log, ["pk"], "frame_seq", {"known": F.when(F.col("frame_seq") % 3 == 0, F.col("props"))}, strictly_before=False)
-    return rows.select("frame_seq", "pk", F.col("known").alias("props"))
-
-
-@_query("WITH $LOG SELECT frame_seq, pk, lag(value) OVER (PARTITION BY pk ORDER BY frame_seq) AS old_value, value AS new_value FROM log WHERE op <> 'D'")
-def old_image(spark, sf):
-    log = _log(spark, sf).filter("op <> 'D'")
-    rows = scan.last_known(log, ["pk"], "frame_seq", {"old_value": F.col("value")})
-    return rows.select("frame_seq", "pk", "old_value", F.col("value").alias("new_value"))
-
-
 @_query("WITH $LOG, r AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY frame_seq DESC) rn FROM log) SELECT pk, value, ts FROM r WHERE rn = 1 AND op <> 'D'")
 def apply_upsert(spark, sf):
     return apply.upsert(_log(spark, sf).select("pk", "value", "ts", "op", "frame_seq"), ["pk"], "frame_seq").select("pk", "value", "ts")
@@ -543,3 +581,31 @@ def scenes_streamed(spark, sf):
     _until_read(_as_stream(spark, frames).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
     image = lambda c: F.from_json(c, "map<string,string>").alias(c)
     return _scenes(spark.read.parquet(out).withColumns({"before": image("before"), "after": image("after"), "truncated": F.from_json("truncated", "array<string>")}))
+
+
+@_query("""WITH e(kind, step, cols) AS (VALUES (0, 2, 'id,status,note'), (0, 3, 'id,status,note'), (1, 2, 'id,status,note'), (1, 3, 'id,status,note'), (2, 2, 'id,status,note'), (2, 5, 'id,status,note'), (2, 8, 'id,status,note'),
+ (4, 2, 'id,status,note'), (5, 2, 'id,status,note'), (6, 3, 'id,state,note'), (7, 2, NULL), (7, 3, 'id,status,note')) SELECT o_orderkey, step, cols FROM orders JOIN e ON o_orderkey % 8 = kind""")
+def relation_asof(spark, sf):
+    """The columns of the last Relation message before each row, where tables are defined anew."""
+    rows = storage.materialize(assemble.in_context(scenario_frames(table(spark, sf, "orders"))), "frames")
+    named = decode.with_relation(rows.filter("tag IN ('I', 'U', 'D')"), decode.relations(rows))
+    k = F.floor(F.col("frame_seq") / SCENE).cast("bigint")
+    columns = F.when(F.col("relation").isNotNull(), F.concat_ws(",", "relation.columns"))
+    return named.select(k.alias("o_orderkey"), (F.col("frame_seq") - k * SCENE).cast("int").alias("step"), columns.alias("cols"))
+
+
+@_query(f"SELECT o_orderkey, step, after FROM ({_SCENES}) WHERE op = 'U'")
+def toast_merge(spark, sf):
+    """Unchanged columns under a full old row, under a key, and without any."""
+    return _scenes(decode.change_events(scenario_frames(table(spark, sf, "orders")))).filter("op = 'U'").select("o_orderkey", "step", "after")
+
+
+@_query(f"SELECT o_orderkey, step, old_kind, before FROM ({_SCENES}) WHERE old_kind IS NOT NULL")
+def old_image(spark, sf):
+    return _scenes(decode.change_events(scenario_frames(table(spark, sf, "orders")))).filter("old_kind IS NOT NULL").select("o_orderkey", "step", "old_kind", "before")
+
+
+@_query(f"SELECT op, coalesce(old_kind, '-') AS old_kind, count(*) AS n, count(before) AS with_old FROM ({_SCENES}) GROUP BY 1, 2")
+def replica_identity_images(spark, sf):
+    rows = _scenes(decode.change_events(scenario_frames(table(spark, sf, "orders"))))
+    return rows.groupBy("op", F.coalesce("old_kind", F.lit("-")).alias("old_kind")).agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("with_old"))

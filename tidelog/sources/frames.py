@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidelog.functions.pgtypes import source_time
+from tidelog.functions.pgtypes import source_time, to_source_time
 
 FRAMES = "slot string, frame_seq bigint, wal_start decimal(20,0), wal_end decimal(20,0), server_time timestamp_ntz, payload binary"
 
@@ -76,3 +76,10 @@ def split_packets(packets: DataFrame) -> DataFrame:
         F.when(alive, F.substring(d, 18, 1) == F.unhex(F.lit("01"))).alias("reply_wanted"),
         F.when(log, F.substring(d, 26, 2147483647)).alias("payload"),
     )
+
+
+def status_report(received: Column, flushed: Column, now: Column) -> Column:
+    """A consumer's report of its positions, as it goes to the server (34 bytes)."""
+    wide = lambda c: F.lpad(F.conv(c.cast("string"), 10, 16), 16, "0")
+    time = F.lpad(F.hex(to_source_time(now)), 16, "0")
+    return F.unhex(F.concat(F.lit("72"), wide(received), wide(flushed), wide(flushed), time, F.lit("00")))

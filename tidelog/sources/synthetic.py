@@ -109,6 +109,10 @@ def _scene(key: int, status: str, note: str, first: bool) -> Iterator[tuple[int,
     yield from enumerate([begin, *content, *([] if kind == 1 else [end])], 1)
 
 
+def _encoded_scene(*row) -> list[tuple[int, bytes]]:
+    return [(place, wire.encode(message)) for place, message in _scene(*row)]
+
+
 def scenario_frames(orders: DataFrame, slot: str = "orders_slot") -> DataFrame:
     """One scene a row of ``orders``, as captured frames."""
     least = orders.agg(F.min("o_orderkey")).first()[0]
@@ -118,9 +122,9 @@ def scenario_frames(orders: DataFrame, slot: str = "orders_slot") -> DataFrame:
         for batch in batches:
             at, payloads = [], []
             for key, status, note, first in zip(*(c.to_pylist() for c in batch.columns)):
-                for place, message in _scene(key, status, note, first):
+                for place, payload in _encoded_scene(key, status, note, first):
                     at.append(key * SCENE + place)
-                    payloads.append(wire.encode(message))
+                    payloads.append(payload)
             place = pa.array(at, pa.int64()).cast(pa.decimal128(20, 0))
             yield pa.RecordBatch.from_arrays([pa.array([slot] * len(at)), pa.array(at, pa.int64()), place, place, pa.array([0] * len(at), pa.int64()).cast(pa.timestamp("us")), pa.array(payloads, pa.binary())], schema=_FRAME)
 

@@ -49,14 +49,20 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tidelog_place = path
+    return table
+
+
+def place_of(table: DataFrame) -> str:
+    """Where ``materialize`` put a table."""
+    return table._tidelog_place
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nobody reads any more."""
     for df in tables:
-        for path in df.inputFiles()[:1]:
-            delete(df.sparkSession, path.rsplit("/", 1)[0])
+        delete(df.sparkSession, place_of(df))
 
 
 def _fs(spark: SparkSession, path: str):
