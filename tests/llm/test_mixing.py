@@ -67,6 +67,31 @@ def test_systematic_sampling_is_unbiased():
     assert all(abs(n / 400 - 0.37) < 0.09 for n in uses.values())
 
 
+def test_shares_first(spark):
+    df, _ = documents(spark)
+    targets = spark.createDataFrame([("m", "a", 3.0, None, 0.5), ("m", "b", 2.0, 3, 0.5), ("m", "c", 5.0, 20, 0.5), ("m", "gone", 1.0, 1, 0.5)], TARGET)
+    size = {(r["mix_name"], r["source"]): r for r in mixing.Mixture(df, targets).shares().collect()}
+    shares = {(r["mix_name"], r["source"]): r for r in mixing.Mixture(df, targets, prefer="shares").shares().collect()}
+    assert size["m", "c"]["capped"] and not any(r["capped"] for r in shares.values())
+    for s, want in (("a", 0.3), ("b", 0.2), ("c", 0.5)):
+        assert abs(shares["m", s]["actual_share"] - want) < 0.02
+    assert shares["m", "c"]["most_uses"] == 20 and shares["m", "c"]["drawn_tokens"] == size["m", "c"]["drawn_tokens"]
+    with pytest.raises(ValueError):
+        mixing.plan([], {}, 0, 1, "neither")
+
+
+def test_a_text_in_several_sources(spark):
+    rows = [(i, s, f"text number {i % 40}") for i, s in enumerate("abc" * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = lambda *caps: spark.createDataFrame([("m", s, 1.0, c, 9.0) for s, c in zip("abc", caps)], TARGET)
+    text_of = dict((d, t) for d, _, t in rows)
+    for caps, most in (((2, 3, 1), 3), ((2, None, 1), None)):
+        uses = {}
+        for r in mixing.Mixture(df, targets(*caps)).uses().collect():
+            uses[text_of[r["doc_id"]]] = uses.get(text_of[r["doc_id"]], 0) + r["copies"]
+        assert set(uses.values()) == {3} if most else min(uses.values()) > 3
+
+
 def test_empty_tables(spark):
     df, _ = documents(spark)
     targets = spark.createDataFrame([("m", "a", 1.0, None, 1.0)], TARGET)

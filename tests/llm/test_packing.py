@@ -11,20 +11,21 @@ pytestmark = pytest.mark.skipif(not __import__("os").path.exists(tokens.DEFAULT_
 def plain_pack(items, capacity):
     """Best fit, largest first, with a list of containers searched from the tightest."""
     order = []
-    for i, (size, source, cluster, ident) in enumerate(items):
+    for i, (size, source, cluster, ident, *also) in enumerate(items):
         whole, left = divmod(size, capacity) if size > capacity else (0, size)
         if left:
             order.append((-left, cluster, ident, i, whole))
     bins = []
     for neg, cluster, _, i, _ in sorted(order):
         size = -neg
-        fits = [b for b in bins if b["room"] >= size and cluster not in b["clusters"]]
+        mine = {(0, cluster), *((1, c) for c in items[i][4:] if c is not None)}
+        fits = [b for b in bins if b["room"] >= size and not mine & b["clusters"]]
         b = min(fits, key=lambda b: b["room"], default=None)
         if b is None:
             b = {"room": capacity, "clusters": set()}
             bins.append(b)
         b["room"] -= size
-        b["clusters"].add(cluster)
+        b["clusters"] |= mine
     return sorted(b["room"] for b in bins)
 
 
@@ -82,6 +83,17 @@ def test_a_huge_cluster_packs_fast():
     assert len(bins) == 20_000 and time.process_time() - t < 5
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_other_clusters_conflict_too(seed):
+    r = random.Random(seed)
+    items = [(r.randint(1, 30), r.choice("abc"), i, i, r.choice((None, r.randint(0, 40)))) for i in range(400)] + [(r.randint(1, 30), "a", 1000 + i, 1000 + i, 7) for i in range(150)]
+    bins = checked(items, 60, packing.pack(items, 60))
+    for content in bins.values():
+        also = [items[i][4] for i, *_ in content if items[i][4] is not None]
+        assert len(also) == len(set(also))
+    assert abs(len(bins) - len(plain_pack(items, 60))) <= 0.03 * len(bins)
+
+
 def documents(spark, rows):
     return spark.createDataFrame([(d, s, t, "clash") for d, s, t in rows], "doc_id bigint, source string, text string, pack_name string")
 
@@ -113,6 +125,16 @@ def test_documents_are_packed_whole(spark):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
 
 
+def test_texts_of_one_commit_keep_apart(spark):
+    r = random.Random(5)
+    rows = [(i, "ab"[i % 2], f"commit {i // 3} " + "word " * r.randint(1, 30), None if i % 11 == 0 else f"h{i // 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, commit_hash string")
+    out = packing.packed(df, limits(spark, small=100), max_sources=1, clusters=("commit_hash", "not_there"))
+    both = out.join(df, "doc_id")
+    assert both.groupBy("container_id", "commit_hash").count().filter("count > 1 and commit_hash is not null").count() == 0
+    assert both.groupBy("container_id").agg(F.count_distinct("source").alias("n")).filter("n > 1").count() == 0 and both.count() == 300
+
+
 def test_edges(spark):
     df = documents(spark, [(1, "a", "x")])
     assert packing.packed(df.limit(0), limits(spark, a=5)).count() == 0
