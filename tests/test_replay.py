@@ -176,3 +176,35 @@ def test_more_hot_rows_than_fit_a_list(spark, commit_rows, change_rows):
     assert rows(2) == rows(10**6)
     versions = lambda hot: sorted(tuple(r) for r in history.opened_versions(history.satellite_rows(log, commits, {}, hot_rows=hot)).collect())
     assert versions(2) == versions(10**6)
+
+
+@pytest.mark.parametrize("seed,hot_rows", [(11, 50_000), (12, 6)])
+def test_satellites_are_appended_to(spark, change_rows, commit_rows, tmp_path, seed, hot_rows):
+    rows, committed, live, true = random_log(seed, 300)
+    commits = commit_rows(committed)
+    cuts = sorted(r[5] for r in rows)
+    ends = [cuts[len(cuts) // 4], cuts[len(cuts) // 2], cuts[-1]]
+    sat = history.Satellites(spark, f"file://{tmp_path}/sat", KEYS, hot_rows=hot_rows)
+    low = 0
+    for end in ends:
+        part = [r for r in rows if low < r[5] <= end]
+        low = end
+        # some of what came before comes again
+        again = [r for r in rows if r[5] <= end and r[0] % 13 == 0 and r not in part]
+        late = sat.append(change_rows(part + again), commits)
+        assert {(r["table_name"], r["row_key"], r["lsn"]) for r in late.collect()} <= {(r[3], r[6], r[5]) for r in again}
+    assert {(r["table_name"], r["row_key"], r["lsn"]) for r in history.opened_versions(sat.rows()).collect()} == versions_of(true)
+    split = sat._head()["split"]
+    whole = history.satellite_rows(change_rows(rows), commits, KEYS, split=split)
+    view = lambda df: sorted(((r["table_name"], r["row_key"], r["satellite"], r["lsn"], r["valid_from"], r["valid_to"], r["hash_diff"], sorted(r["attrs"].items())) for r in history.with_end_times(df).collect()), key=str)
+    assert view(sat.rows()) == view(whole)
+
+
+def test_a_late_change_comes_back(spark, change_rows, commit_rows, tmp_path):
+    commits = commit_rows([("s", x) for x in range(1, 9)])
+    sat = history.Satellites(spark, f"file://{tmp_path}/sat", {})
+    row = lambda d, lsn, v: (d, "s", "I" if d == 1 else "U", "t", d, lsn, "a", {"id": "a", "v": v}, None, None)
+    assert sat.append(change_rows([row(1, 10, "1"), row(3, 30, "3")]), commits).count() == 0
+    late = sat.append(change_rows([row(2, 20, "2"), row(3, 30, "3"), row(4, 40, "4")]), commits)
+    assert [r["lsn"] for r in late.collect()] == [20]
+    assert [r["lsn"] for r in sat.rows().orderBy("lsn").collect()] == [10, 30, 40]

@@ -24,11 +24,14 @@ repeated deliveries count once, with the time of the first.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidelog import storage
 from tidelog.operators import replay
 from tidelog.operators.replay import CARRY, DROP, PUT
 
@@ -131,26 +134,96 @@ def _walker(split: dict[str, dict[str, str]]):
     return walk
 
 
-def satellite_rows(change_log: DataFrame, commits: DataFrame, key_columns: dict[str, list[str]], *, split: dict[str, dict[str, str]] | None = None, fast_from: float = 1.5, hot_rows: int = 50_000) -> DataFrame:
-    """All satellite rows; see the module's text. ``opens_version`` marks one row a version."""
-    split = split if split is not None else split_by_rate(change_rates(change_log), key_columns, fast_from)
+def _ready_events(change_log: DataFrame, commits: DataFrame, key_columns: dict[str, list[str]], hot_rows: int, known: DataFrame | None = None) -> DataFrame:
+    """Events in order for the walker. ``known`` (table_name, row_key, seq, gone, cols) is what earlier runs left of the rows concerned."""
     counts = replay.profile(change_log, key_columns).persist()
     try:
-        hot, widths = replay.hot_rows_of(change_log, counts, hot_rows), replay.widths_of(counts)
+        hot, widths = replay.hot_rows_of(change_log, counts, hot_rows), replay.widths_of(counts, whole=known is None)
     finally:
         counts.unpersist()
-    empty = F.create_map().cast("map<string,string>")
+    empty, none, zero = F.create_map().cast("map<string,string>"), F.lit(None).cast("string"), F.lit(0).cast("bigint")
     full = (F.col("old_kind") == "O") & F.col("old_decoded").isNotNull()
     # the old image only matters where it is whole
     log = change_log.withColumns({"full_old": F.coalesce(full, F.lit(False)), "old_image": F.when(full, F.col("old_decoded")).otherwise(empty)})
-    events = replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"])
-    events = replay.complete_moves(replay.committed(replay.sliced(events, hot), commits), widths, hot)
-    events = events.select(*replay.EVENT_COLUMNS, "message_time", "full_old", F.col("old_image").alias("old_decoded"))
+    events = replay.committed(replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"]), commits).drop("slot_name", "xid")
+    if known is not None:
+        # to moves and slices a known row is a row put earlier; the walker is told that it isn't news
+        before = known.select("table_name", "row_key", F.lit(0).alias("slice"), "seq", F.when(F.col("gone"), DROP).otherwise(PUT).alias("kind"), "cols", none.alias("moved_from"), F.lit(-1).cast("bigint").alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), F.lit(False).alias("full_old"), empty.alias("old_image"))
+        events = events.unionByName(before)
+    events = replay.complete_moves(replay.sliced(events, hot), widths, hot).withColumnRenamed("old_image", "old_decoded")
     if hot is not None:
-        carry = replay.carried(events).select("table_name", "row_key", "slice", "seq", F.lit(CARRY).alias("kind"), "cols", F.lit(None).cast("string").alias("moved_from"), F.lit(0).cast("bigint").alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), (F.col("last_kind") == DROP).alias("full_old"), empty.alias("old_decoded"))
+        carry = replay.carried(events).select("table_name", "row_key", "slice", "seq", F.lit(CARRY).alias("kind"), "cols", none.alias("moved_from"), zero.alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), (F.col("last_kind") == DROP).alias("full_old"), empty.alias("old_decoded"))
         events = events.unionByName(carry)
-    ready = replay.in_order(events).select("table_name", "row_key", "slice", "seq", "kind", "cols", "message_time", "full_old", "old_decoded")
-    return ready.mapInArrow(_walker(split), _WALKED).withColumn("hash_diff", hash_diff(F.col("attrs")))
+    if known is not None:
+        told = F.col("tie") == -1
+        events = events.withColumns({"full_old": F.when(told, F.col("kind") == DROP).otherwise(F.col("full_old")), "kind": F.when(told, CARRY).otherwise(F.col("kind"))})
+    return replay.in_order(events).select("table_name", "row_key", "slice", "seq", "kind", "cols", "message_time", "full_old", "old_decoded")
+
+
+def satellite_rows(change_log: DataFrame, commits: DataFrame, key_columns: dict[str, list[str]], *, split: dict[str, dict[str, str]] | None = None, fast_from: float = 1.5, hot_rows: int = 50_000) -> DataFrame:
+    """All satellite rows; see the module's text. ``opens_version`` marks one row a version."""
+    split = split if split is not None else split_by_rate(change_rates(change_log), key_columns, fast_from)
+    return _ready_events(change_log, commits, key_columns, hot_rows).mapInArrow(_walker(split), _WALKED).withColumn("hash_diff", hash_diff(F.col("attrs")))
+
+
+# --- kept and appended to ------------------------------------------------------
+
+
+class Satellites:
+    """Satellite rows on record under a path of their own; each batch of changes appends to them.
+
+    A column's satellite is chosen by the first batch that holds it and stays: one
+    that changes its pace later keeps its place. Of the rows on record a batch only
+    uses the newest of each satellite of the rows that it touches.
+
+    Changes that lie before what is on record of their row can't be appended: they
+    come back from ``append``, and ``satellite_rows`` over the log rebuilds their rows.
+    Repeats of changes on record are left out of that; those of changes that altered
+    nothing, and so left no row, can't be told from late ones and come back too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key_columns: dict[str, list[str]], *, fast_from: float = 1.5, hot_rows: int = 50_000):
+        self.spark, self.path, self.key_columns, self.fast_from, self.hot_rows = spark, path.rstrip("/"), key_columns, fast_from, hot_rows
+
+    def _head(self) -> dict:
+        v = max((int(n[1:]) for n in storage.children(self.spark, self.path) if n[0] == "V" and n[1:].isdigit()), default=0)
+        return json.loads(storage.read_text(self.spark, f"{self.path}/V{v}")) if v else {"version": 0, "parts": [], "split": None}
+
+    def rows(self) -> DataFrame:
+        parts = self._head()["parts"]
+        kind = f"{_WALKED}, hash_diff string".replace("slice int", "slice bigint")
+        return self.spark.read.schema(kind).parquet(*(f"{self.path}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], kind)
+
+    def append(self, changes: DataFrame, commits: DataFrame) -> DataFrame:
+        """Add the rows that a batch of committed changes makes; the changes that came too late, if any."""
+        head = self._head()
+        split = split_by_rate(change_rates(changes), self.key_columns, self.fast_from)
+        for table, columns in (head["split"] or {}).items():
+            split[table] = {**split.get(table, {}), **columns}
+        old_key = replay.key_from(F.col("old_decoded"), F.col("table_name"), self.key_columns)
+        batch = storage.materialize(changes.withColumn("__old_key", F.when(F.col("op") == "U", old_key)), "batch")
+        keys = batch.select("table_name", F.explode(F.array_distinct(F.array("row_key", F.coalesce("__old_key", "row_key")))).alias("row_key")).distinct()
+        newest = self.rows().join(keys, ["table_name", "row_key"], "left_semi").groupBy("table_name", "row_key", "satellite").agg(F.max("lsn").alias("lsn"), F.max_by(F.struct("closed", "attrs"), F.struct("lsn", ~F.col("closed"))).alias("r"))
+        merged = F.aggregate(F.collect_list(F.coalesce("r.attrs", F.create_map().cast("map<string,string>"))), F.create_map().cast("map<string,string>"), lambda a, b: F.map_concat(a, b))
+        known = storage.materialize(newest.groupBy("table_name", "row_key").agg(F.max("lsn").alias("seq"), F.bool_or("r.closed").alias("gone"), merged.alias("cols")), "known")
+        at = F.col("lsn").cast("bigint")
+        here = known.select("table_name", "row_key", F.col("seq").alias("__here"))
+        there = known.select("table_name", F.col("row_key").alias("__old_key"), F.col("seq").alias("__there"))
+        placed = batch.join(here, ["table_name", "row_key"], "left").join(there, ["table_name", "__old_key"], "left")
+        ahead = (at > F.coalesce("__here", at - 1)) & (at > F.coalesce("__there", at - 1))
+        fresh = placed.filter(F.coalesce(ahead, F.lit(True))).drop("__old_key", "__here", "__there")
+        number = head["version"] + 1
+        part = f"part-{number}-{uuid.uuid4().hex}"
+        events = _ready_events(fresh, commits, self.key_columns, self.hot_rows, known)
+        # slices of later batches follow those of earlier ones
+        place = F.shiftleft(F.lit(number).cast("bigint"), 32) + F.col("slice")
+        events.mapInArrow(_walker(split), _WALKED).withColumns({"slice": place, "hash_diff": hash_diff(F.col("attrs"))}).write.parquet(f"{self.path}/{part}")
+        if not storage.put_text(self.spark, f"{self.path}/V{number}", json.dumps({"version": number, "parts": [*head["parts"], part], "split": split})):
+            storage.delete(self.spark, f"{self.path}/{part}")
+            raise RuntimeError(f"{self.path}: another batch was appended since this one began")
+        on_record = self.rows().select("table_name", "row_key", "lsn").distinct()
+        late = replay.committed(placed.filter(~ahead), commits).drop("__old_key", "__here", "__there")
+        return late.join(on_record, [late["table_name"] == on_record["table_name"], late["row_key"] == on_record["row_key"], late["lsn"].cast("bigint") == on_record["lsn"]], "left_anti")
 
 
 def opened_versions(satellites: DataFrame) -> DataFrame:

@@ -246,10 +246,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_ANSWER_ARROW.types)], schema=_ANSWER_ARROW)
 
 
-def widths_of(counts: DataFrame) -> dict[str, int]:
-    """Tables in which a moving update leaves columns out, with the number of columns of their inserts. One row a table."""
-    rows = counts.groupBy("table_name").agg(F.max("width").alias("width"), F.min("narrow").alias("narrow")).filter("narrow < width").collect()
-    return {r["table_name"]: r["width"] for r in rows}
+def widths_of(counts: DataFrame, whole: bool = True) -> dict[str, int]:
+    """Tables in which a moving update leaves columns out, with the number of columns of their inserts. One row a table.
+
+    Where the changes aren't the ``whole`` log, any moving update may leave out columns of earlier inserts.
+    """
+    rows = counts.groupBy("table_name").agg(F.max("width").alias("width"), F.min("narrow").alias("narrow")).filter("narrow < width" if whole else "narrow is not null").collect()
+    return {r["table_name"]: r["width"] if whole else 1 << 30 for r in rows}
 
 
 def complete_moves(events: DataFrame, widths: dict[str, int], hot: DataFrame | None) -> DataFrame:

@@ -14,7 +14,6 @@ must be, and here are, safe to repeat.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -128,10 +127,10 @@ class ReplicationReader(DataSourceStreamReader):
             import time
 
             report = wire.status_update(self.confirmed, self.confirmed, int(time.time() * 1e6))
-            tmp = f"{self.ack}.tmp"
-            with open(tmp, "w") as f:
-                json.dump({"confirmed": self.confirmed, "report": report.hex()}, f)
-            os.replace(tmp, self.ack)
+            fs, path = _filesystem(self.ack)  # where the frames are, so that a driver that starts elsewhere finds it
+            with fs.open_output_stream(f"{path}.tmp") as f:
+                f.write(json.dumps({"confirmed": self.confirmed, "report": report.hex()}).encode())
+            fs.move(f"{path}.tmp", path)
 
     def stop(self) -> None:
         if self.confirmed:  # a last report, if anything was confirmed
