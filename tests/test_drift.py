@@ -107,6 +107,25 @@ def test_every_record_comes_out_under_the_union(spark):
     assert wide.count() == sum(drift.read_record(x) is not None for no, t, _, records in files if t == "ta" for x in records)
 
 
+def test_a_feed_of_many_files_is_cut_into_ranges(spark, request):
+    """3,000 files of one feed (and a few of others) with a change every 100 files."""
+    text = lambda k: json.dumps({"id": k, f"c{k // 100 % 2}": k, **({"late": "x"} if k >= 1500 else {})})
+    files = [(k, "hot", k, [text(k)]) for k in range(3000)] + [(5000 + k, "cold", k, ['{"id":1}']) for k in range(3)]
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would come together in one range
+    steps = drift.record_file_steps(files_df(spark, files).repartition(4))
+    ranges = drift.in_order(steps)
+    assert ranges.filter("subject = 'hot'").select("__part").distinct().count() > 1
+    got = {tuple(r) for r in drift.differences(steps).select("step_no", "drift_kind", "field_name").collect()}
+    assert got == {(k, "renamed", f"c{(k // 100 - 1) % 2}") for k in range(100, 3000, 100)} | {(1500, "added", "late")}
+    schema = drift.union_schema(steps)
+    where = {(r["step_no"], r["field"]): r["column"] for r in schema.filter("table_name = 'hot'").collect()}
+    assert len(where) == 3000 * 2 + 1500 and {c for (_, f), c in where.items() if f in ("c0", "c1")} == {"c1"}
+    rows = drift.unify(files_df(spark, files), schema).collect()
+    assert {tuple(sorted(r["cols"])) for r in rows if r["table_name"] == "hot"} == {("c1", "id", "late")}
+    assert all(r["cols"]["c1"] == str(r["file_no"]) for r in rows if r["table_name"] == "hot")
+
+
 def test_renames_chain_and_types_promote(spark):
     files = [(1, "t", 0, ['{"id":1,"old":1,"x":1}']), (2, "t", 1, ['{"id":1,"mid":2.5,"x":"s"}']), (3, "t", 2, ['{"id":1,"new":3,"x":true,"old":"again"}'])]
     df = files_df(spark, files)

@@ -4,8 +4,10 @@ A *step* is one schema of a table at one moment: (origin, table_name, subject,
 rank, step_no, columns), with ``columns`` in place order. Steps are read in
 parallel where the data lies (record files are summarised per partition, so a
 file of any size shuffles a few rows), put in order per subject, and compared with
-their predecessor. The types of all steps fold through a promotion lattice into
-one type per column, and every record is cast to that union schema.
+their predecessor. The order is cut into ranges (tidelog.operators.scan), so a feed
+may have any number of files. Only steps that differ from their predecessor are
+folded: their types go through a promotion lattice into one type per column, and
+every record is cast to that union schema.
 
 Defined cases: a step without columns (null) is no step; a field whose values are
 all null has no type, which equals any type; equal counts of two types resolve to
@@ -23,9 +25,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog import storage
+from tidelog.operators import scan
 
 STEP = ["origin", "table_name", "subject", "rank", "step_no", "columns"]
 _COLUMNS = "array<struct<name:string,type:string>>"
@@ -157,15 +160,18 @@ def _family(steps: DataFrame) -> DataFrame:
     return steps.withColumn("columns", F.transform("columns", lambda c: F.struct(c["name"].alias("name"), F.when(c["type"] == "integer", "number").otherwise(c["type"]).alias("type"))))
 
 
+def in_order(steps: DataFrame) -> DataFrame:
+    """Steps with ``before``, the columns of the same subject's step before (null for its first)."""
+    return scan.previous(scan.ranged(steps, ["origin", "subject"], ["rank", "step_no"]), ["origin", "subject"], ["rank", "step_no"], "columns", "before")
+
+
 def differences(steps: DataFrame) -> DataFrame:
     """(origin, table_name, step_no, drift_kind, field_name, new_name, old_type, new_type): each change between consecutive steps.
 
     ``renamed``: the name is gone and at the same place stands a new name of the
     same type. Then ``removed``, ``added`` and ``type_changed``.
     """
-    # array elements are single rows of metadata; a subject's steps are one sorted, streamed window
-    w = Window.partitionBy("origin", "subject").orderBy("rank", "step_no")
-    pairs = _family(steps).withColumn("before", F.lag("columns").over(w)).filter("before is not null")
+    pairs = in_order(_family(steps)).filter("before is not null")
     names = lambda c: F.transform(c, lambda x: x["name"])
     pairs = pairs.withColumns({"old_names": names("before"), "new_names": names("columns")})
     alike = lambda a, b: a.isNull() | b.isNull() | (a == b)
@@ -207,9 +213,15 @@ SPARK_TYPES = {None: "string", "integer": "bigint", "number": "double", "boolean
 def union_schema(steps: DataFrame) -> DataFrame:
     """(table_name, step_no, field, column, place, type): where each field of each step goes.
 
-    A field that was renamed goes to the column with its latest name. Steps of one
-    table are walked in order; they are metadata, one row a file.
+    A field that was renamed goes to the column with its latest name. The walk
+    through a table's steps in order only takes those that differ from the one
+    before; the others share the outcome of the last that did.
     """
+    key, order = ["origin", "subject"], ["rank", "step_no"]
+    rows = in_order(steps)
+    new = F.col("before").isNull() | (F.col("before") != F.col("columns"))
+    rows = storage.materialize(scan.latest(rows, key, order, new, "point"), "steps")
+    points = rows.filter(F.col("point.step_no") == F.col("step_no")).select(*STEP)
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rank", "step_no"])
@@ -241,7 +253,8 @@ def union_schema(steps: DataFrame) -> DataFrame:
         table = frame["table_name"].iloc[0]
         return pd.DataFrame([(table, s, f, final[i], i, types[i]) for s, f, i in out], columns=["table_name", "step_no", "field", "column", "place", "type"])
 
-    return steps.groupBy("table_name").applyInPandas(walk, "table_name string, step_no bigint, field string, column string, place int, type string")
+    walked = points.groupBy("table_name").applyInPandas(walk, "table_name string, step_no bigint, field string, column string, place int, type string")
+    return rows.select("table_name", "step_no", F.col("point.step_no").alias("point")).join(walked.withColumnRenamed("step_no", "point"), ["table_name", "point"]).select("table_name", "step_no", "field", "column", "place", "type")
 
 
 def _cast(value, kind: str | None) -> tuple[bool, str | None]:
@@ -259,8 +272,10 @@ def _cast(value, kind: str | None) -> tuple[bool, str | None]:
 def unify(files: DataFrame, schema: DataFrame) -> DataFrame:
     """Every record under the union schema: (table_name, file_no, record_no, readable, cols, rescued).
 
-    ``cols`` holds all columns of the record's file as text that casts to the union type.
+    ``cols`` holds all columns of the feed's table, as text that casts to the union
+    type; null where the record, or its whole file, says nothing of a column.
     """
+    every = schema.select("table_name", "column", "place").distinct().groupBy("table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "column"))), lambda x: x["column"]).alias("every"))
     where = schema.groupBy("table_name", F.col("step_no").alias("file_no")).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("column", "type")))).alias("where"))
     out = "table_name string, file_no bigint, record_no int, readable boolean, cols map<string,string>, rescued map<string,string>"
     arrow = pa.schema([("table_name", pa.string()), ("file_no", pa.int64()), ("record_no", pa.int32()), ("readable", pa.bool_()), ("cols", pa.map_(pa.string(), pa.string())), ("rescued", pa.map_(pa.string(), pa.string()))])
@@ -268,12 +283,12 @@ def unify(files: DataFrame, schema: DataFrame) -> DataFrame:
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for table, file, no, text, to in zip(*(batch.column(i).to_pylist(maps_as_pydicts="strict") for i in range(5))):
+            for table, file, no, text, to, every in zip(*(batch.column(i).to_pylist(maps_as_pydicts="strict") for i in range(6))):
                 record = read_record(text)
                 if record is None:
                     rows.append((table, file, no, False, [], [("_record", text)]))
                     continue
-                cols, rescued = {}, []
+                cols, rescued = dict.fromkeys(every or ()), []
                 for field, target in (to or {}).items():
                     fits, value = _cast(record.get(field), target["type"])
                     cols[target["column"]] = value if fits else None
@@ -282,7 +297,7 @@ def unify(files: DataFrame, schema: DataFrame) -> DataFrame:
                 rows.append((table, file, no, True, list(cols.items()), rescued))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow.types)], schema=arrow)
 
-    joined = files.select("table_name", "file_no", "record_no", "record_json").join(where, ["table_name", "file_no"], "left")
+    joined = files.select("table_name", "file_no", "record_no", "record_json").join(where, ["table_name", "file_no"], "left").join(every, "table_name", "left")
     return joined.mapInArrow(cast, out)
 
 

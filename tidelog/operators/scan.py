@@ -77,3 +77,38 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a range
     return rows.join(before, "__part").withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
+# --- sequences of any order columns, cut into ranges ---------------------------
+
+
+def ranged(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """The rows cut into ranges of (``part``, ``order``), as a table with the number of each row's range (``__part``).
+
+    However many rows a sequence has, no range holds more than its share of all rows.
+    """
+    rows = df.repartitionByRange(*part, *order).withColumn("__part", F.spark_partition_id())
+    return storage.materialize(rows, "ranged")  # ranges are cut by samples, so they are cut once
+
+
+def _with_carry(own: DataFrame, carry: DataFrame, part: list[str]) -> DataFrame:
+    same = [own[c].eqNullSafe(carry[c]) for c in ("__part", *part)]
+    return own.join(carry, same, "left").select(*(own[c] for c in own.columns), carry["__carry"])
+
+
+def previous(rows: DataFrame, part: list[str], order: list[str], column: str, out: str) -> DataFrame:
+    """Adds to ``ranged`` rows the column's value in the row before, null for a sequence's first."""
+    w = Window.partitionBy("__part", *part).orderBy(*order)
+    own = rows.withColumns({"__own": F.lag(column).over(w), "__first": F.row_number().over(w) == 1})
+    ends = rows.groupBy("__part", *part).agg(F.max_by(F.struct(column), F.struct(*order))[column].alias("__end"))  # one row a range and sequence
+    carry = ends.select("__part", *part, F.lag("__end").over(Window.partitionBy(*part).orderBy("__part")).alias("__carry"))
+    return _with_carry(own, carry, part).withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__own"))).drop("__own", "__first", "__carry")
+
+
+def latest(rows: DataFrame, part: list[str], order: list[str], when: Column, out: str) -> DataFrame:
+    """Adds to ``ranged`` rows the ``order`` columns (a struct) of the last row up to and with this one for which ``when`` holds."""
+    marked = rows.withColumn("__at", F.when(when, F.struct(*order)))
+    own = marked.withColumn("__own", F.max("__at").over(Window.partitionBy("__part", *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy("__part", *part).agg(F.max("__at").alias("__end"))
+    carry = ends.select("__part", *part, F.max("__end").over(Window.partitionBy(*part).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    return _with_carry(own, carry, part).withColumn(out, F.coalesce("__own", "__carry")).drop("__own", "__at", "__carry")
