@@ -3,8 +3,7 @@
 Fixed parts are read as Columns; only relations and row images, whose length
 varies, are walked in Python, in Arrow batches, and only for frames that are still
 wanted. A row image says nothing of its columns: those come from the last Relation
-message of the same slot and oid before it. Relations are metadata, so they travel
-as one short sorted list per (slot, oid). What can't be decoded comes out with an
+message of the same slot and oid before it (``as_of``). What can't be decoded comes out with an
 ``error`` and is never lost silently.
 """
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog import storage
+from tidelog.operators import scan
 from tidelog.operators.assemble import assemble, in_context
 from tidelog.sources import wire
 from tidelog.sources.frames import number
@@ -46,15 +46,30 @@ def relations(rows: DataFrame) -> DataFrame:
     return rows.filter("tag = 'R'").select("slot", "frame_seq", "payload", "in_stream").mapInArrow(walk, _REL_SQL)
 
 
-def with_relation(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds ``oid`` and ``relation``, the last one of the same slot and oid before the row."""
-    versions = known.filter("error is null").groupBy("slot", "oid").agg(F.sort_array(F.collect_list(F.struct("frame_seq", "table_schema", "table_name", F.transform("column_list", lambda c: c["name"]).alias("columns")))).alias("versions"))
+def as_of(rows: DataFrame, known: DataFrame, *, block: int = scan.BLOCK) -> DataFrame:
+    """Adds ``relation`` to rows with an ``oid``: the last definition of the same slot and oid before the row.
+
+    Mostly a table is defined once and the same message comes again and again: then
+    its first place is all that matters, and one short list serves all rows. Where
+    tables are defined anew, rows and definitions are put in order together, in
+    blocks, so that neither the rows nor the definitions of one table meet in one task.
+    """
+    named = known.filter("error is null").select("slot", "oid", "frame_seq", F.struct("table_schema", "table_name", F.transform("column_list", lambda c: c["name"]).alias("columns")).alias("relation"))
+    first = storage.materialize(named.groupBy("slot", "oid", "relation").agg(F.min("frame_seq").alias("__since")), "relations")
+    if first.groupBy("slot", "oid").count().filter("count > 1").isEmpty():
+        joined = rows.join(first, ["slot", "oid"], "left")
+        return joined.withColumn("relation", F.when(F.col("__since") < F.col("frame_seq"), F.col("relation"))).drop("__since")
+    both = rows.withColumn("__since", F.lit(None).cast("bigint")).unionByName(named.select("slot", "oid", "frame_seq", F.col("frame_seq").alias("__since")), allowMissingColumns=True)
+    seen = scan.last_known(both, ["slot", "oid"], "frame_seq", {"__at": F.col("__since")}, block=block).filter("__since is null").drop("__since")
+    return seen.join(named.withColumnRenamed("frame_seq", "__at"), ["slot", "oid", "__at"], "left").drop("__at")
+
+
+def with_relation(rows: DataFrame, known: DataFrame, *, block: int = scan.BLOCK) -> DataFrame:
+    """Adds ``oid`` and ``relation``, the last one of the same slot and oid before the row, to inserts, updates and deletes."""
     oid = number(F.col("payload"), 2, 4)
     inside = number(F.col("payload"), 6, 4)
     keyed = rows.withColumn("oid", F.when(F.col("tag").isin("I", "U", "D"), F.when(F.col("in_stream"), inside).otherwise(oid)).cast("bigint"))
-    joined = keyed.join(versions, ["slot", "oid"], "left")
-    earlier = F.filter("versions", lambda v: v["frame_seq"] < F.col("frame_seq"))
-    return joined.withColumn("relation", F.try_element_at(earlier, F.lit(-1))).drop("versions")
+    return as_of(keyed, known, block=block)
 
 
 _BODY_SQL = "old_kind string, before map<string,string>, after map<string,string>, oids array<bigint>, cascade boolean, restart_identity boolean, error string"
@@ -103,8 +118,8 @@ def change_events(frames: DataFrame, *, abort_scope: str = "transaction", block:
     """
     rows = storage.materialize(in_context(frames, block=block), "frames")
     delivered = assemble(rows, abort_scope=abort_scope)
-    known = relations(rows)
-    named = with_relation(delivered, known).withColumns({"table_schema": F.col("relation.table_schema"), "table_name": F.col("relation.table_name")})
+    known = storage.materialize(relations(rows), "relations")
+    named = with_relation(delivered, known, block=block).withColumns({"table_schema": F.col("relation.table_schema"), "table_name": F.col("relation.table_name")})
     names = truncated_tables(delivered, known).groupBy("slot", "frame_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("truncated"))
     events = bodies(named).withColumnRenamed("tag", "op").join(names, ["slot", "frame_seq"], "left")
     # truncates and relations carry no position of their own
@@ -126,10 +141,8 @@ def truncated_tables(rows: DataFrame, known: DataFrame) -> DataFrame:
     whole = F.length("payload") >= start + 4 + 4 * n
     oids = F.when(whole & (n > 0), F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: value(start + 5 + 4 * i)))
     cut = rows.filter("tag = 'T'").select("slot", "frame_seq", F.posexplode(oids).alias("place", "oid"))
-    # few truncates, each beside the few definitions of its tables
-    defined = known.filter("error is null").select("slot", "oid", F.col("frame_seq").alias("since"), F.concat_ws(".", "table_schema", "table_name").alias("name"))
-    last = F.max(F.when(F.col("since") < F.col("frame_seq"), F.struct("since", "name")))["name"]
-    return cut.join(defined, ["slot", "oid"], "left").groupBy("slot", "frame_seq", "place", "oid").agg(F.coalesce(last, F.concat(F.lit("oid:"), F.col("oid"))).alias("name"))
+    name = F.concat_ws(".", "relation.table_schema", "relation.table_name")
+    return as_of(cut, known).select("slot", "frame_seq", "place", "oid", F.when(F.col("relation").isNull(), F.concat(F.lit("oid:"), F.col("oid"))).otherwise(name).alias("name"))
 
 
 def typed_rows(changes: DataFrame, columns: list[tuple[str, int, int]], *, image: str = "after", strict: bool = False) -> DataFrame:

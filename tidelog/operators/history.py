@@ -145,12 +145,14 @@ def _ready_events(change_log: DataFrame, commits: DataFrame, key_columns: dict[s
     full = (F.col("old_kind") == "O") & F.col("old_decoded").isNotNull()
     # the old image only matters where it is whole
     log = change_log.withColumns({"full_old": F.coalesce(full, F.lit(False)), "old_image": F.when(full, F.col("old_decoded")).otherwise(empty)})
-    events = replay.committed(replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"]), commits).drop("slot_name", "xid")
+    # slices are told before the shuffles, so that what only concerns hot rows shuffles only those
+    events = replay.sliced(replay.row_events(log, key_columns, ["slot_name", "xid", "message_time", "full_old", "old_image"]), hot)
+    events = replay.committed(events, commits).drop("slot_name", "xid")
     if known is not None:
         # to moves and slices a known row is a row put earlier; the walker is told that it isn't news
         before = known.select("table_name", "row_key", F.lit(0).alias("slice"), "seq", F.when(F.col("gone"), DROP).otherwise(PUT).alias("kind"), "cols", none.alias("moved_from"), F.lit(-1).cast("bigint").alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), F.lit(False).alias("full_old"), empty.alias("old_image"))
-        events = events.unionByName(before)
-    events = replay.complete_moves(replay.sliced(events, hot), widths, hot).withColumnRenamed("old_image", "old_decoded")
+        events = events.unionByName(replay.sliced(before, hot))
+    events = replay.complete_moves(events, widths, hot).withColumnRenamed("old_image", "old_decoded")
     if hot is not None:
         carry = replay.carried(events).select("table_name", "row_key", "slice", "seq", F.lit(CARRY).alias("kind"), "cols", none.alias("moved_from"), zero.alias("tie"), F.lit(None).cast("timestamp_ntz").alias("message_time"), (F.col("last_kind") == DROP).alias("full_old"), empty.alias("old_decoded"))
         events = events.unionByName(carry)

@@ -2,8 +2,8 @@
 
 A slot's frames must be seen in order, so a slot is one key of the state. What is
 kept: the open streamed chunk, one message of look-ahead (its acknowledgement
-depends on whether the commit follows), the relations, and the frames of streamed
-transactions that are still open. Those lie in a map state in pieces of one
+depends on whether the commit follows), the relations that frames still held back
+may need, and the frames of streamed transactions that are still open. Those lie in a map state in pieces of one
 micro-batch each, so a transaction of any length adds to the store but is never
 rewritten; they are read once, when it commits.
 """
@@ -38,7 +38,7 @@ class SlotAssembler:
     """
 
     def __init__(self, state: dict, load, drop):
-        self.state = state or {"active": -1, "ahead": None, "begin": None, "relations": {}}
+        self.state = state or {"active": -1, "ahead": None, "begin": None, "relations": {}, "open": {}}
         self.load, self.drop = load, drop
         self.pending: dict[int, list] = {}
 
@@ -83,6 +83,7 @@ class SlotAssembler:
                     pass
             if inside:
                 self.pending.setdefault(s["active"], []).append((seq, start, payload, True))
+                s["open"].setdefault(str(s["active"]), seq)
             else:
                 yield from self._release(slot, None)
                 s["ahead"] = [seq, start, payload.hex(), s["begin"]]
@@ -111,6 +112,14 @@ class SlotAssembler:
                 if held is not None:
                     yield self._row(slot, held, True, m.xid, seq, m.end_lsn, True)
             self.drop(m.xid)
+            s["open"].pop(str(m.xid), None)
+
+    def prune(self) -> None:
+        """Forget definitions that no frame still held back can ask for: all before the last one that the oldest of them may need."""
+        held = [*self.state["open"].values(), *([self.state["ahead"][0]] if self.state["ahead"] else [])]
+        for versions in self.state["relations"].values():
+            earlier = [i for i, v in enumerate(versions) if not held or v[0] < min(held)]
+            del versions[: earlier[-1] if earlier else 0]
 
 
 class Assembly(StatefulProcessor):
@@ -145,6 +154,7 @@ class Assembly(StatefulProcessor):
             n = counts.get(str(xid), 0)
             self.pieces.updateValue((xid, n), (pickle.dumps(part),))
             counts[str(xid)] = n + 1
+        slot_rules.prune()
         kept["state"] = slot_rules.state
         self.control.update((json.dumps(kept),))
         if out:
