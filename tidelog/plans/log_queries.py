@@ -15,7 +15,7 @@ from tidelog.functions.pgtypes import parse_nullable_bigint, parse_timestamp
 from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
 from tidelog.operators.jobs import SnapshotJob
 from tidelog.plans.source_tables import table
-from tidelog.sources.config import from_dict
+from tidelog.sources.config import MODES, from_dict
 from tidelog.sources.frames import FRAMES, split_packets, status_report
 from tidelog.sources.synthetic import LSN_STEP, ROOM, SCENE, frames_of, log_of, scenario_frames
 
@@ -444,7 +444,7 @@ def keyed_topic(spark, sf):
 # --- the same over encoded frames: encode, decode, assemble -------------------
 
 
-@_query("SELECT kind, count(*) AS n, max(wal_end) AS top FROM (SELECT 'log' AS kind, event_id + 1 AS wal_end FROM events UNION ALL SELECT 'keepalive', event_id + 5 FROM events WHERE event_id % 100 = 0) GROUP BY 1")
+@_query("SELECT kind, count(*) AS n, max(wal_end) AS top FROM (SELECT 'log' AS kind, event_id + 1 AS wal_end FROM events UNION ALL SELECT 'keepalive', event_id + 5 FROM events WHERE event_id % 100 = 0 UNION ALL SELECT 'error', NULL FROM events WHERE event_id % 50 = 1 UNION ALL SELECT 'error', NULL FROM events WHERE event_id % 50 = 2) GROUP BY 1")
 def packets_split(spark, sf):
     e, hex16 = F.col("event_id"), lambda c: F.lpad(F.hex(c), 16, "0")
     log = F.concat(F.lit("77"), hex16(e), hex16(e + 1), hex16(F.lit(0)), F.hex(F.lit("E")))
@@ -452,6 +452,8 @@ def packets_split(spark, sf):
     events = table(spark, sf, "events")
     packet = lambda df, text: df.select(F.lit("s").alias("slot"), e.alias("packet_seq"), F.unhex(text).alias("data"))
     packets = packet(events, log).unionByName(packet(events.filter(e % 100 == 0), alive))
+    # an unknown tag, and log data cut off in its header
+    packets = packets.unionByName(packet(events.filter(e % 50 == 1), F.concat(F.lit("78"), hex16(e)))).unionByName(packet(events.filter(e % 50 == 2), F.concat(F.lit("77"), hex16(e))))
     return split_packets(packets).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("wal_end").cast("bigint").alias("top"))
 
 
@@ -609,3 +611,59 @@ def old_image(spark, sf):
 def replica_identity_images(spark, sf):
     rows = _scenes(decode.change_events(scenario_frames(table(spark, sf, "orders"))))
     return rows.groupBy("op", F.coalesce("old_kind", F.lit("-")).alias("old_kind")).agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("with_old"))
+
+
+# --- entry points -------------------------------------------------------------
+
+
+@_query("WITH $LOG SELECT op, count(*) AS n, count(*) FILTER (WHERE lsn >= 16777216000) AS later FROM log WHERE NOT (streamed AND aborted) AND op <> 'D' GROUP BY op")
+def connector_follow(spark, sf):
+    """A configured connector follows the slot and hands batches to a callback; deletes aren't published."""
+    folder, frames = storage.fresh_dir(spark, "frames"), frames_of(table(spark, sf, "events"))
+    frames.repartitionByRange(max(1, -(-frames.count() // 60_000)), "frame_seq").sortWithinPartitions("frame_seq").write.parquet(folder)
+    config = from_dict({"host": "h", "username": "u", "password": "p", "database": "d", "slot": {"name": "s"}, "publication": {"name": "p", "operations": ["INSERT", "UPDATE"], "tables": [{"name": "events"}]}})
+    counts: dict[str, list[int]] = {}
+
+    def handler(batch: DataFrame, _: int) -> None:
+        for r in batch.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lsn") >= LSN_STEP * 1000).alias("later")).collect():
+            had = counts.get(r["op"], [0, 0])
+            counts[r["op"]] = [had[0] + r["n"], had[1] + r["later"]]
+
+    connector = Connector(spark, config, folder, checkpoint=storage.fresh_dir(spark, "stream"))
+    query = connector.start(handler)
+    try:
+        query.processAllAvailable()
+    finally:
+        connector.close()
+    return spark.createDataFrame([(op, *n) for op, n in counts.items()], "op string, n bigint, later bigint")
+
+
+@_query("""SELECT mode, enabled, completed, again, enabled AND mode <> 'never' AND (again OR completed IS NOT TRUE) AS due
+FROM (VALUES ('initial'), ('never'), ('snapshot_only')) m(mode), (VALUES (true), (false)) e(enabled), (VALUES (true), (false), (NULL)) c(completed), (VALUES (true), (false)) r(again)""")
+def snapshot_due(spark, sf):
+    """When a snapshot is taken, by mode and by what is on record."""
+    cases = [(m, e, c, r) for m in MODES for e in (True, False) for c in (True, False, None) for r in (True, False)]
+    return spark.createDataFrame([(*x, snapshot.should_snapshot(*x)) for x in cases], "mode string, enabled boolean, completed boolean, again boolean, due boolean")
+
+
+@_query("""SELECT DISTINCT '7' || poll_id AS system_id, 1 AS timeline, ('0x'||split_part(trim(current_lsn),'/',1))::BIGINT*4294967296 + ('0x'||split_part(trim(current_lsn),'/',2))::BIGINT AS position, slot_name AS database
+FROM slot_info WHERE regexp_full_match(current_lsn, '\\s*[0-9A-Fa-f]+/[0-9A-Fa-f]+\\s*')""")
+def system_identity(spark, sf):
+    """What servers say of themselves, one answer a poll."""
+    said = table(spark, sf, "slot_info").select(F.concat(F.lit("7"), "poll_id").alias("systemid"), F.lit("1").alias("timeline"), F.col("current_lsn").alias("xlogpos"), F.col("slot_name").alias("dbname"))
+    return monitor.system_identity(said).filter("position is not null").distinct().withColumn("position", F.col("position").cast("bigint"))
+
+
+@_query("""SELECT * FROM (VALUES ('a = 1', true), ('  ', true), ('updated_at > now()', true), ('a; b', false), ('a -- b', false), ('a /* b', false), ('a = $$x$$', false), ('x = ''drop''', false), ('DO', false), ('a OR Delete', false), ('dropped = 1', true), ('a = 1 AND created > 2', true)) t(condition, safe)""")
+def conditions_checked(spark, sf):
+    """Which row conditions are let through."""
+
+    def safe(condition: str) -> bool:
+        try:
+            publication.check_condition(condition)
+            return True
+        except publication.UnsafeCondition:
+            return False
+
+    texts = ["a = 1", "  ", "updated_at > now()", "a; b", "a -- b", "a /* b", "a = $$x$$", "x = 'drop'", "DO", "a OR Delete", "dropped = 1", "a = 1 AND created > 2"]
+    return spark.createDataFrame([(c, safe(c)) for c in texts], "condition string, safe boolean")
