@@ -139,3 +139,10 @@ def test_names_go_by_the_company_of_their_letters():
     known = encoding.Company(dict.fromkeys((x for n in names for x in encoding.company_of(n)), 9))
     for name in names:
         assert encoding.restore_text("Author: " + garble(name, "cp1251", "cp1252"), known)[0] == "Author: " + name
+
+
+def test_what_only_looks_like_utf8_here_and_there_is_not():
+    for name in ("Былци Щущу", "Щукшафом Кшажоржор"):
+        assert "瞑" not in encoding.restore_line("Author: " + garble(name, "cp1251", "cp1252"))[0] and "濈" not in encoding.restore_line("Author: " + garble(name, "cp1251", "cp1252"))[0]
+    assert encoding.restore_line(garble("їхній буфер після збою вузла", "koi8-u", "cp1251"))[0] == "їхній буфер після збою вузла"
+    assert encoding.restore_line("Author: " + garble("郗雾雾", "gb2312", "latin-1"))[0] == "Author: 郗雾雾"

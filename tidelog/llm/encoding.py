@@ -14,8 +14,9 @@ in wide characters, where there are some).
 
 The search has no bound on states or on the length of a path. It ends because undoing
 UTF-8 or an entity shortens the text, because another encoding can only have been
-misread once, before all misreadings of UTF-8, and because no text costs less than
-nothing: a path that has already paid as much as the best text costs is given up.
+misread once, before all misreadings of UTF-8 (which then must explain the whole
+line), and because no text costs less than nothing: a path that has already paid as
+much as the best text costs is given up.
 
 Wrong letters that are all letters of some language look fine one by one. What gives
 them away is their company: letter pairs and triples are counted over all documents,
@@ -52,8 +53,8 @@ WRONG = ["latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "cp1253", "cp1254
 #: (wrong, right) for texts that weren't UTF-8 to begin with.
 PAIRS = [
     ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"),
-    *((w, r) for w in ("latin-1", "cp1252") for r in ("gb2312", "cp932", "euc_jp", "euc_kr", "cp1251", "koi8-r", "cp1250", "iso8859-2", "cp1254", "cp1253", "cp1252", "cp437", "cp850", "mac_roman", "cp1255", "cp1256", "cp874") if w != r),
-    ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "cp866"), ("iso8859-2", "cp1250"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp437", "cp866"),
+    *((w, r) for w in ("latin-1", "cp1252") for r in ("gb2312", "cp932", "euc_jp", "euc_kr", "cp1251", "koi8-u", "cp1250", "iso8859-2", "cp1254", "cp1253", "cp1252", "cp437", "cp850", "mac_roman", "cp1255", "cp1256", "cp874") if w != r),
+    ("cp1251", "koi8-u"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "cp866"), ("iso8859-2", "cp1250"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp437", "cp866"),
 ]
 #: Multi-byte encodings by which UTF-8 gets wrongly decoded.
 WIDE = ["gb18030", "cp932", "big5", "euc_kr"]
@@ -117,6 +118,11 @@ def undo_utf8(line: str, wrong: str) -> str | None:
     return "".join(p if i % 2 else rest(p) for i, p in enumerate(parts))
 
 
+def all_utf8(line: str, wrong: str) -> bool:
+    """Whether the valid UTF-8 sequences are all that the line has outside ASCII."""
+    return _UTF8_SPACED.sub("", line.translate(_to_bytes(wrong))).isascii()
+
+
 _DOUBLE = {"gb2312", "cp932", "euc_jp", "euc_kr"}
 _TWO_WIDE = re.compile("[\u3041-\u30ff\u4e00-\u9fff\uac00-\ud7a3]{2}")
 #: From the first non-ASCII character to the last and one more, apart from runs of wide characters.
@@ -248,6 +254,8 @@ def _char(c: str) -> tuple[float, str]:
         return 0.8, "heb"
     if 0x620 <= o < 0x6D3 and c.isalpha():
         return 0.8, "ara"
+    if 0x590 <= o < 0x700:
+        return 3.5, "other"  # points and marks, which running text goes without
     if 0xE01 <= o < 0xE5C:
         return 0.95, "tha"
     if 0x3041 <= o < 0x3100:
@@ -411,12 +419,13 @@ def _search(line: str) -> tuple[str, tuple[str, ...]]:
         return line, ()
     best = (start - _MIN_GAIN, line, ())
     visited = {hash(line)}
-    heap = [(start, 0, line, (), 0.0, True)]
+    heap = [(start, 0, line, (), 0.0, True, None)]
     serial = 0
     while heap:
-        at, _, text, path, spent, more = heapq.heappop(heap)
+        _, _, text, path, spent, more, parent = heapq.heappop(heap)
         if not more:
             break  # nothing is left to undo in it, and all others look worse
+        whole = parent is None or (parent[1] and (path[-1] == "unescape" or path[-1].split(">")[0] in WIDE or all_utf8(parent[0], path[-1].split(">")[0])))
         if spent + _OP_COST >= best[0]:
             continue  # whatever lies behind costs more than the best so far
         for op, new, extra in _neighbours(text):
@@ -429,9 +438,9 @@ def _search(line: str) -> tuple[str, tuple[str, ...]]:
             if any(o != "unescape" for o in way) and cost + paid < best[0]:
                 best = (cost + paid, new, way)
             serial += 1
-            heapq.heappush(heap, (cost + paid, serial, new, way, paid, op == "unescape" or _open(new, odd)))
+            heapq.heappush(heap, (cost + paid, serial, new, way, paid, op == "unescape" or _open(new, odd), (text, whole)))
         paid = spent + _OP_COST + _PAIR_COST
-        for wrong, right, new in undo_pairs(text) if paid < best[0] else ():
+        for wrong, right, new in undo_pairs(text) if whole and paid < best[0] else ():
             cost, _ = implausibility(new, best[0] - paid)
             if cost + paid < best[0]:
                 best = (cost + paid, new, (*path, f"{wrong}>{right}"))

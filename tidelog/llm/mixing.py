@@ -95,7 +95,10 @@ def ranked(texts: DataFrame, rows: int, block_rows: int = 20_000) -> DataFrame:
     placed = texts.withColumns({"size_class": F.floor(F.log2(F.col("n_tokens").cast("double")) * 4).cast("int"), "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets))})
     block = ["source", "size_class", "bucket"]
     counts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("size_class", "bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    # the classes of a source are some ten, the blocks of a class a share of the source's texts / block_rows
+    earlier = lambda part, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy("source", "size_class").agg(F.sum("n").alias("n")).select("source", "size_class", earlier(["source"], "size_class").alias("__classes"))
+    before = counts.withColumn("__blocks", earlier(["source", "size_class"], "bucket")).join(classes, ["source", "size_class"]).select(*block, (F.col("__blocks") + F.col("__classes")).alias("before"))
     within = placed.withColumn("place", F.row_number().over(Window.partitionBy(*block).orderBy("n_tokens", F.xxhash64(F.lit(7), "doc_id"), "doc_id")))
     joined = within.join(before, block)
     return joined.select("source", "doc_id", "n_tokens", *(["shared"] if "shared" in texts.columns else []), (F.coalesce("before", F.lit(0)) + F.col("place")).alias("place"))
