@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -98,7 +99,7 @@ def hot_rows_of(change_log: DataFrame, counts: DataFrame, hot_rows: int) -> Data
     if most is None:
         return None
     at = F.col("lsn").cast("bigint")
-    cuts = [F.percentile_approx(F.when(F.col("doublings") == d, at), [i / 2**d for i in range(1, 2**d)], max(10_000, 4 * 2**d)) for d in range(1, most + 1)]
+    cuts = [F.percentile_approx(F.when(F.col("doublings") == d, at), F.lit(np.arange(1, 2**d) / 2**d), max(10_000, 4 * 2**d)) for d in range(1, most + 1)]
     marks = change_log.select("table_name", "row_key", "lsn").join(hot, ["table_name", "row_key"]).groupBy("table_name", "row_key").agg(F.array_sort(F.array_distinct(F.coalesce(*cuts))).alias("bounds"))
     return storage.materialize(marks, "hot")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog import storage
@@ -15,6 +16,7 @@ from tidelog.functions.pgtypes import parse_nullable_bigint, parse_timestamp
 from tidelog.operators import apply, assemble, decode, monitor, publication, replay, scan, snapshot
 from tidelog.operators.jobs import SnapshotJob
 from tidelog.plans.source_tables import table
+from tidelog.sources import statements
 from tidelog.sources.config import MODES, from_dict
 from tidelog.sources.frames import FRAMES, split_packets, status_report
 from tidelog.sources.synthetic import LSN_STEP, ROOM, SCENE, frames_of, log_of, scenario_frames
@@ -667,3 +669,20 @@ def conditions_checked(spark, sf):
 
     texts = ["a = 1", "  ", "updated_at > now()", "a; b", "a -- b", "a /* b", "a = $$x$$", "x = 'drop'", "DO", "a OR Delete", "dropped = 1", "a = 1 AND created > 2"]
     return spark.createDataFrame([(c, safe(c)) for c in texts], "condition string, safe boolean")
+
+
+@_query("""SELECT id, 'SELECT * FROM "' || table_schema || '"."' || table_name || '"' || CASE partition_strategy
+  WHEN 'integer_range' THEN CASE WHEN range_start IS NOT NULL THEN ' WHERE "id" BETWEEN ' || range_start || ' AND ' || range_end ELSE '' END
+  WHEN 'ctid_block' THEN ' WHERE ctid >= ' || chr(39) || '(' || block_start || ',0)' || chr(39) || '::tid' || CASE WHEN block_end IS NOT NULL AND NOT is_last_chunk THEN ' AND ctid < ' || chr(39) || '(' || block_end || ',0)' || chr(39) || '::tid' ELSE '' END
+  ELSE ' ORDER BY "id" LIMIT ' || chunk_size || ' OFFSET ' || chunk_start END AS query FROM snapshot_chunks""")
+def chunk_queries(spark, sf):
+    """What each chunk on record asks of the server, for Spark's JDBC source."""
+    spec = lambda c: snapshot.TableSpec(c["table_name"], c["table_schema"], key=("id",))
+    chunks = table(spark, sf, "snapshot_chunks").select("id", "table_schema", "table_name", "partition_strategy", "range_start", "range_end", "block_start", "block_end", "is_last_chunk", "chunk_start", "chunk_size")
+
+    def ask(batches):
+        for frame in batches:
+            rows = [{k: None if pd.isna(v) else int(v) if isinstance(v, float) else v for k, v in r.items()} for r in frame.to_dict("records")]
+            yield pd.DataFrame({"id": frame["id"], "query": [statements.chunk_query(spec(r), r) for r in rows]})
+
+    return chunks.mapInPandas(ask, "id int, query string")
