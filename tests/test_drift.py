@@ -97,7 +97,7 @@ def test_every_record_comes_out_under_the_union(spark):
         for k, v in record.items():
             column, kind = where[r["table_name"], r["file_no"], k]
             text = r["cols"][column] if column not in r["rescued"] else r["rescued"][column]
-            want = None if v is None else v if isinstance(v, str) and column not in r["rescued"] else json.dumps(v, ensure_ascii=False)
+            want = None if v is None else v if isinstance(v, str) and column not in r["rescued"] else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
             assert text == want
     # one column has one name and type in a table
     per_column = {}

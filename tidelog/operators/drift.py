@@ -263,10 +263,12 @@ def _cast(value, kind: str | None) -> tuple[bool, str | None]:
     if own is None:
         return True, None
     if kind in (None, "string"):
-        return True, value if own == "string" else json.dumps(value, ensure_ascii=False)
-    if own == kind or (kind == "number" and own == "integer"):
-        return True, json.dumps(value, ensure_ascii=False)
-    return False, json.dumps(value, ensure_ascii=False)
+        return True, value if own == "string" else _written(value)
+    return own == kind or (kind == "number" and own == "integer"), _written(value)
+
+
+def _written(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def unify(files: DataFrame, schema: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
     """Every insert under its feed's union schema."""
     files = table(spark, sf, "insert_files")
-    return drift.unify(files, drift.union_schema(drift.record_file_steps(files))).select("table_name", "file_no", "record_no", "readable", F.to_json("cols").alias("cols"), F.to_json("rescued").alias("rescued"))
+    return drift.unify(files, drift.union_schema(drift.record_file_steps(files))).select("table_name", "file_no", "record_no", "readable", _text("cols").alias("row_values"), _text("rescued").alias("rescued"))
 
 
 def p2_feeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +126,36 @@ UNION ALL SELECT origin, table_name, step_no, 'added', n FROM come WHERE (origin
 UNION ALL SELECT c.origin, c.table_name, c.step_no, 'type_changed', c.n FROM c JOIN o USING (origin, step_no, n) WHERE c.t <> o.t
 """
 
+#: A field's column is sought at the end of its renames. That holds where a name that was given up doesn't come back for
+#: another column, as on the tables of up to 0.01; on those of 0.1 it does, and 757 of 13,559 rows differ from the operator's.
+#: The walk that follows such names too is tested against a plain one in tests/test_drift.py.
+_UNIFIED = """
+WITH RECURSIVE rec AS (SELECT table_name, file_no, record_no, taken_at, record_json AS j, CASE WHEN json_valid(record_json) THEN json_type(record_json) = 'OBJECT' ELSE false END AS ok FROM insert_files),
+fld AS (SELECT table_name, file_no, record_no, taken_at, j, unnest(json_keys(j)) AS f FROM rec WHERE ok),
+typ AS (SELECT *, CASE json_type(j, '$."' || f || '"') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS t FROM fld),
+cnt AS (SELECT table_name, file_no, taken_at, f, CASE t WHEN 'integer' THEN 'number' ELSE t END AS family, count(*) AS n, max(t) AS t FROM typ GROUP BY ALL),
+best AS (SELECT table_name, file_no, taken_at, f, arg_max({'t': t, 'fam': family}, (n, family)) FILTER (WHERE family IS NOT NULL) AS x FROM cnt GROUP BY ALL),
+lay AS (SELECT table_name, file_no, arg_max(json_keys(j), (len(json_keys(j)), json_keys(j))) AS ks FROM rec WHERE ok GROUP BY ALL),
+steps AS (SELECT table_name, epoch_us(taken_at) AS rnk, file_no AS step_no, list({'n': f, 't': x.fam} ORDER BY coalesce(list_position(ks, f), 1000000), f) AS cols FROM best JOIN lay USING (table_name, file_no) GROUP BY ALL),
+pairs AS (SELECT *, lag(cols) OVER (PARTITION BY table_name ORDER BY rnk, step_no) AS prev FROM steps),
+places AS (SELECT table_name, step_no, unnest(range(1, least(len(prev), len(cols)) + 1)) AS i, prev, cols FROM pairs WHERE prev IS NOT NULL),
+edges AS (SELECT DISTINCT table_name, prev[i].n AS old, cols[i].n AS new FROM places
+  WHERE NOT list_contains(list_transform(cols, lambda c: c.n), prev[i].n) AND NOT list_contains(list_transform(prev, lambda c: c.n), cols[i].n) AND (prev[i].t IS NULL OR cols[i].t IS NULL OR prev[i].t = cols[i].t)),
+fol AS (SELECT DISTINCT table_name, f, f AS cur, 0 AS d FROM best UNION ALL SELECT fol.table_name, f, edges.new, d + 1 FROM fol JOIN edges ON edges.table_name = fol.table_name AND edges.old = fol.cur),
+col AS (SELECT table_name, f, arg_max(cur, d) AS c FROM fol GROUP BY ALL),
+kinds AS (SELECT table_name, c, list_sort(list(DISTINCT x.t) FILTER (WHERE x.t IS NOT NULL)) AS ts FROM best JOIN col USING (table_name, f) GROUP BY ALL),
+kind AS (SELECT table_name, c, CASE WHEN len(coalesce(ts, [])) = 1 THEN ts[1] WHEN ts = ['integer', 'number'] THEN 'number' ELSE 'string' END AS k FROM kinds),
+cells AS (SELECT table_name, file_no, record_no, c, t, k, j->('$."' || f || '"') AS v, j->>('$."' || f || '"') AS s FROM typ JOIN col USING (table_name, f) JOIN kind USING (table_name, c)),
+vals AS (SELECT table_name, file_no, record_no, c, CASE WHEN t IS NULL THEN NULL WHEN k = 'string' AND t = 'string' THEN s WHEN k = 'string' OR t = k OR (k = 'number' AND t = 'integer') THEN v::VARCHAR END AS val,
+  CASE WHEN NOT (t IS NULL OR k = 'string' OR t = k OR (k = 'number' AND t = 'integer')) THEN v::VARCHAR END AS out FROM cells),
+wide AS (SELECT rec.table_name, rec.file_no, rec.record_no, string_agg(kind.c || '=' || coalesce(val, '<null>'), ';' ORDER BY kind.c) AS row_values, string_agg(kind.c || '=' || out, ';' ORDER BY kind.c) FILTER (WHERE out IS NOT NULL) AS rescued
+  FROM rec JOIN kind USING (table_name) LEFT JOIN vals ON vals.table_name = rec.table_name AND vals.file_no = rec.file_no AND vals.record_no = rec.record_no AND vals.c = kind.c WHERE ok GROUP BY ALL)
+SELECT table_name, file_no, record_no, true AS readable, row_values, coalesce(rescued, '') AS rescued FROM wide
+UNION ALL SELECT table_name, file_no, record_no, false, '', '_record=' || coalesce(j, '<null>') FROM rec WHERE NOT ok
+"""
+
 ORACLE = {
+    "p2_unified": _UNIFIED,
     "p1_found": """
 WITH ok AS (
   SELECT slot_name, run_no, trim(confirmed_flush_lsn) AS x FROM slot_info
