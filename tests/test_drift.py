@@ -126,6 +126,55 @@ def test_a_feed_of_many_files_is_cut_into_ranges(spark, request):
     assert all(r["cols"]["c1"] == str(r["file_no"]) for r in rows if r["table_name"] == "hot")
 
 
+def plain_union(steps):
+    """(step, field) to (column number, type) of one table's steps [(step, [(name, type)])], by walking all of them."""
+    columns, current, out, before = [], {}, {}, []
+    for step, now in steps:
+        gone = [n for n, _ in before if n not in dict(now)]
+        new = [n for n, _ in now if n not in dict(before)]
+        for (a, ta), (b, tb) in zip(before, now):
+            family = lambda t: "number" if t == "integer" else t
+            alike = ta is None or tb is None or family(ta) == family(tb)
+            if a in gone and b in new and alike and b not in current:
+                current[b] = current.pop(a)
+        for n, kind in now:
+            if n not in current:
+                columns.append(set())
+                current[n] = len(columns) - 1
+            columns[current[n]] |= {kind} - {None}
+            out[step, n] = current[n]
+        before = now
+    kind_of = lambda s: None if not s else min(s) if len(s) == 1 else "number" if s == {"integer", "number"} else "string"
+    return {k: (c, kind_of(columns[c])) for k, c in out.items()}
+
+
+def test_names_that_come_back(spark):
+    r = random.Random(6)
+    rows, want = [], {}
+    for t in ("ta", "tb", "tc"):
+        columns, steps = [("id", "integer"), ("a", "string"), ("b", "number")], []
+        for step in range(60):
+            what, i = r.choice(("add", "drop", "rename", "rename", "type", "same", "same")), r.randrange(len(columns)) if columns else 0
+            name, kind = r.choice("abcdef"), r.choice(("integer", "number", "string", "boolean", None))
+            if what == "add" and name not in dict(columns):
+                columns = [*columns, (name, kind)]
+            elif what == "drop" and len(columns) > 1:
+                columns = columns[:i] + columns[i + 1 :]
+            elif what == "rename" and name not in dict(columns):
+                columns = [*columns[:i], (name, columns[i][1]), *columns[i + 1 :]]
+            elif what == "type":
+                columns = [*columns[:i], (columns[i][0], kind), *columns[i + 1 :]]
+            steps.append((step, columns))
+            rows.append(("insert_file", t, t, step, step, [{"name": n, "type": k} for n, k in columns]))
+        want[t] = plain_union(steps)
+    r.shuffle(rows)
+    schema = drift.union_schema(spark.createDataFrame(rows, "origin string, table_name string, subject string, rank int, step_no bigint, columns array<struct<name:string,type:string>>").withColumn("rank", F.col("rank").cast("decimal(20,0)")).repartition(3))
+    got = {}
+    for x in schema.collect():
+        got.setdefault(x["table_name"], {})[x["step_no"], x["field"]] = (x["place"], x["type"])
+    assert got == want
+
+
 def test_renames_chain_and_types_promote(spark):
     files = [(1, "t", 0, ['{"id":1,"old":1,"x":1}']), (2, "t", 1, ['{"id":1,"mid":2.5,"x":"s"}']), (3, "t", 2, ['{"id":1,"new":3,"x":true,"old":"again"}'])]
     df = files_df(spark, files)
