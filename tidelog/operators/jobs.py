@@ -14,9 +14,10 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidelog import storage
+from tidelog.operators import scan
 from tidelog.operators.snapshot import CHUNK_COLUMNS, claimable, migrate_chunks
 
 _CHUNKS = ", ".join(f"{n} {t}" for n, t in CHUNK_COLUMNS.items())
@@ -62,9 +63,10 @@ class SnapshotJob:
         """Record a job with its chunks (numbered in order of table and index), unless there is one already: False."""
         if self._version():
             return False
-        order = Window.orderBy("table_schema", "table_name", "chunk_index")
+        order = [F.col(c) for c in ("table_schema", "table_name", "chunk_index")]
         name = f"chunks-1-{uuid.uuid4().hex}"
-        storage.materialize(chunks, "planned").withColumn("id", F.row_number().over(order)).select(*CHUNK_COLUMNS).write.parquet(f"{self.path}/{name}")
+        numbered = scan.numbered(chunks.drop("id"), order, "__n").withColumn("id", (F.col("__n") + 1).cast("int"))
+        numbered.select(*CHUNK_COLUMNS).write.parquet(f"{self.path}/{name}")
         if storage.put_text(self.spark, f"{self.path}/V1", json.dumps({"slot_name": slot, "snapshot_lsn": lsn, "started_at": now.isoformat(), "completed": False, "chunks": name})):
             return True
         storage.delete(self.spark, f"{self.path}/{name}")
