@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidelog import storage
 from tidelog.operators import dedup, drift, history, incremental, replay
 from tidelog.plans.source_tables import KEY_COLUMNS, table
 
@@ -76,7 +77,7 @@ def _text(columns: str):
 
 def p5_history(spark: SparkSession, sf: str) -> DataFrame:
     """Satellite rows with the time each was valid."""
-    rows = history.with_end_times(_satellites(spark, sf))
+    rows = history.with_end_times(storage.materialize(_satellites(spark, sf), "satellites"))  # it is read twice
     return rows.select("table_name", "row_key", "satellite", "lsn", "valid_from", "valid_to", "hash_diff", _text("attrs").alias("row_values"))
 
 
