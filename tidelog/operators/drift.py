@@ -254,7 +254,8 @@ def union_schema(steps: DataFrame) -> DataFrame:
         return pd.DataFrame([(table, s, f, final[i], i, types[i]) for s, f, i in out], columns=["table_name", "step_no", "field", "column", "place", "type"])
 
     walked = points.groupBy("table_name").applyInPandas(walk, "table_name string, step_no bigint, field string, column string, place int, type string")
-    return rows.select("table_name", "step_no", F.col("point.step_no").alias("point")).join(walked.withColumnRenamed("step_no", "point"), ["table_name", "point"]).select("table_name", "step_no", "field", "column", "place", "type")
+    where = rows.select("table_name", "step_no", F.col("point.step_no").alias("point")).join(walked.withColumnRenamed("step_no", "point"), ["table_name", "point"]).select("table_name", "step_no", "field", "column", "place", "type")
+    return storage.materialize(where, "schema")  # whoever casts records reads it more than once
 
 
 def _cast(value, kind: str | None) -> tuple[bool, str | None]:
