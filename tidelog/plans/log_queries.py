@@ -507,14 +507,19 @@ def _as_stream(spark: SparkSession, frames: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.dataSource.register(ReplicationSource)
     folder = storage.fresh_dir(spark, "frames")
-    files = -(-frames.count() // 60_000)
-    frames.repartitionByRange(max(1, files), "frame_seq").sortWithinPartitions("frame_seq").write.parquet(folder)
+    captured = storage.materialize(frames, "captured")  # they are counted, sampled and laid out, but encoded once
+    files = -(-captured.count() // 60_000)
+    captured.repartitionByRange(max(1, files), "frame_seq").sortWithinPartitions("frame_seq").write.parquet(folder)
+    storage.discard(captured)
     return assemble_stream(spark.readStream.format(ReplicationSource.name()).option("path", folder).option("maxFiles", "4").load())
 
 
-def _until_read(writer) -> None:
-    """A source without the AvailableNow trigger is followed until it has nothing new."""
-    query = writer.start()
+def _until_read(spark: SparkSession, writer) -> None:
+    """A source without the AvailableNow trigger is followed until it has nothing new. The frames are of one slot."""
+    from tidelog.streaming.assembly import state_of
+
+    with state_of(spark, 1):
+        query = writer.start()
     try:
         query.processAllAvailable()
     finally:
@@ -524,7 +529,7 @@ def _until_read(writer) -> None:
 @_query(_COMMITTED.replace("SELECT frame_seq, xid", "SELECT frame_seq, xid + 1 AS xid"))
 def stream_roundtrip_committed(spark, sf):
     out = storage.fresh_dir(spark, "delivered")
-    _until_read(_stream(spark, sf).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
+    _until_read(spark, _stream(spark, sf).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
     rows = spark.read.parquet(out).filter("op IN ('I', 'U', 'D')")
     return rows.select(F.floor(F.col("frame_seq") / ROOM).cast("bigint").alias("frame_seq"), "xid", "op")
 
@@ -538,7 +543,7 @@ def stream_into_table(spark, sf):
     # the place in delivery: first the commit, then the frame
     seq = F.struct("emit_seq", "frame_seq")
     keyed = changes.select(F.get_json_object(image, "$.id").cast("bigint").alias("pk"), F.get_json_object(image, "$.value").cast("double").alias("value"), "op", seq.alias("seq"))
-    _until_read(keyed.writeStream.foreachBatch(current.apply).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
+    _until_read(spark, keyed.writeStream.foreachBatch(current.apply).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
     return current.rows().select("pk", "value")
 
 
@@ -582,7 +587,7 @@ def scenes_delivered(spark, sf):
 def scenes_streamed(spark, sf):
     out = storage.fresh_dir(spark, "delivered")
     frames = scenario_frames(table(spark, sf, "orders"))
-    _until_read(_as_stream(spark, frames).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
+    _until_read(spark, _as_stream(spark, frames).writeStream.format("parquet").option("path", out).option("checkpointLocation", storage.fresh_dir(spark, "stream")))
     image = lambda c: F.from_json(c, "map<string,string>").alias(c)
     return _scenes(spark.read.parquet(out).withColumns({"before": image("before"), "after": image("after"), "truncated": F.from_json("truncated", "array<string>")}))
 

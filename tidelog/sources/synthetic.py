@@ -58,6 +58,11 @@ def _payloads(seq: int, xid: int, first: bool, last: bool, op: str, streamed: bo
             yield at + 4, wire.encode(wire.Boundary("C", flags=0, lsn=end - 1, end_lsn=end, time_micros=micros))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Encoding takes Python long for few bytes: rows are dealt out in a number of tasks, not by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def frames_of(events: DataFrame, slot: str = "events_slot") -> DataFrame:
     """The change log as captured frames."""
     log = log_of(events)
@@ -74,7 +79,7 @@ def frames_of(events: DataFrame, slot: str = "events_slot") -> DataFrame:
             columns = [pa.array(out["slot"]), pa.array(out["frame_seq"], pa.int64()), pa.array(out["wal_start"], pa.int64()).cast(pa.decimal128(20, 0)), pa.array(out["wal_end"], pa.int64()).cast(pa.decimal128(20, 0)), pa.array(out["server_time"], pa.int64()).cast(pa.timestamp("us")), pa.array(out["payload"], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_FRAME)
 
-    return rows.mapInArrow(encode, FRAMES)
+    return _spread(rows).mapInArrow(encode, FRAMES)
 
 
 #: Frame positions of one scene, and the positions that its plain and its streamed commit end at.
@@ -128,4 +133,4 @@ def scenario_frames(orders: DataFrame, slot: str = "orders_slot") -> DataFrame:
             place = pa.array(at, pa.int64()).cast(pa.decimal128(20, 0))
             yield pa.RecordBatch.from_arrays([pa.array([slot] * len(at)), pa.array(at, pa.int64()), place, place, pa.array([0] * len(at), pa.int64()).cast(pa.timestamp("us")), pa.array(payloads, pa.binary())], schema=_FRAME)
 
-    return rows.mapInArrow(encode, FRAMES)
+    return _spread(rows).mapInArrow(encode, FRAMES)
