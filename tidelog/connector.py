@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog import storage
 from tidelog.functions.naming import instance_id, next_delay, snapshot_slot_name
 from tidelog.operators import publication as pub, snapshot as snap
 from tidelog.operators.jobs import SnapshotJob
@@ -87,23 +88,36 @@ class Connector:
                 handler(begin, -1)
         at = {(x.schema, x.name): x for x in specs}
         lsn = job.header()["snapshot_lsn"]
+        laid: dict[str, dict] = {}
         while claimed := job.claim(worker, wave, now(), s.claimTimeout):
             try:
                 for (schema, name), spec in at.items():
                     mine = {c["chunk_index"]: c["id"] for c in claimed if (c["table_schema"], c["table_name"]) == (schema, name)}
                     if not mine:
                         continue
-                    rows = storage.materialize(snap.chunk_rows(snap.table_of(self.tables, spec), spec, s.chunkSize, only=list(mine)), "chunks")
-                    handler(snap.data_events(rows, spec, slot, lsn), -1)
-                    ids = self.spark.createDataFrame(list(mine.items()), "__chunk bigint, id int")
-                    job.complete(worker, ids.join(rows.groupBy("__chunk").agg(F.count(F.lit(1)).alias("n")), "__chunk", "left").select("id", F.coalesce("n", F.lit(0)).alias("rows")), now())
-                    storage.discard(rows)
+                    parts, counts = [], {}
+                    for stretch in sorted({n // snap.STRETCH for n in mine}):
+                        known = self._laid(laid, job, spec, stretch)
+                        own = [n for n in mine if n // snap.STRETCH == stretch]
+                        parts.append(snap.laid_rows(self.spark, known, own))
+                        counts |= {mine[n]: known["rows"].get(str(n), 0) for n in own}
+                    handler(snap.data_events(reduce(DataFrame.unionByName, parts), spec, slot, lsn), -1)
+                    job.complete(worker, counts, now())
             except BaseException:
                 job.release(worker)
                 raise
         if not job.header()["completed"] and job.finish():
             handler(end, -1)
 
+    def _laid(self, laid: dict[str, dict], job: SnapshotJob, spec: snap.TableSpec, stretch: int) -> dict:
+        """Where the rows of a stretch of a table's chunks lie; made when its first chunk is claimed."""
+        size = self.config.snapshot.chunkSize
+        name = f"{hashlib.sha256(repr((spec, size)).encode()).hexdigest()[:16]}-{stretch}"
+        if name not in laid:
+            numbers = [*range(stretch * snap.STRETCH, (stretch + 1) * snap.STRETCH)]
+            laid[name] = job.laid(name, lambda folder: snap.lay_out(snap.table_of(self.tables, spec), spec, size, folder, numbers))
+        return laid[name]
+
     def start(self, handler: Callable[[DataFrame, int], None], *, snapshot_lsn: int = 0, job_completed: bool | None = None, job_path: str | None = None, once: bool = False) -> StreamingQuery | None:
         """Snapshot (as batch -1) if one is due, then the changes after it.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from decimal import Decimal
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -165,7 +167,7 @@ def with_chunk(df: DataFrame, key: str, lo: Column, size: int) -> DataFrame:
     return df.withColumn("chunk_index", F.floor((F.col(key) - lo) / F.lit(size)).cast("bigint"))
 
 
-def mark_last(df: DataFrame, chunk: str, key: str, size: int) -> DataFrame:
+def mark_last(df: DataFrame, chunk: str | list[str], key: str, size: int) -> DataFrame:
     """Adds ``is_last``: the last row of each chunk that isn't full. A chunk is one bounded window."""
     w = Window.partitionBy(chunk)
     return df.withColumn("is_last", (F.row_number().over(w.orderBy(F.desc(key))) == 1) & (F.count(F.lit(1)).over(w) < size))
@@ -193,9 +195,13 @@ def _positions(df: DataFrame, out: str) -> DataFrame:
     if not _in_files(df):
         return df.withColumn(out, F.monotonically_increasing_id())
     path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    files = df.select(path.alias("__path"), at.alias("at")).groupBy("__path").agg((F.max("at") + 1).alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
-    return df.select("*", path.alias("__path"), at.alias("__row")).join(files.select("__path", start.alias("__start")), "__path").withColumn(out, F.col("__start") + F.col("__row")).drop("__path", "__row", "__start")
+    files = df.select(path.alias("__path"), at.alias("at")).groupBy("__path").agg((F.max("at") + 1).alias("n")).orderBy("__path").collect()
+    starts = [0, *accumulate(f["n"] for f in files)]
+    if len(files) < 2:
+        return df.withColumn(out, at)
+    # a local table has a size that Spark knows, so that rows don't move for a short one
+    start = df.sparkSession.createDataFrame(pa.table({"__path": [f["__path"] for f in files], "__start": pa.array(starts[:-1], pa.int64())}))
+    return df.select("*", path.alias("__path"), at.alias("__row")).join(start, "__path").withColumn(out, F.col("__start") + F.col("__row")).drop("__path", "__row", "__start")
 
 
 def _stretches(numbers: list[int]) -> list[tuple[int, int]]:
@@ -209,11 +215,8 @@ def _stretches(numbers: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def chunk_rows(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, only: list[int] | None = None) -> DataFrame:
-    """The table's rows and columns for the snapshot, with ``__chunk`` and ``__last``, by the chunks that would be planned.
-
-    All chunks, or those with the numbers in ``only``, are read in one pass; ranges of the key reach the scan as filters.
-    """
+def _in_chunks(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int, only: list[int] | None) -> DataFrame:
+    """Rows with ``__chunk``, and ``__at``, by which a chunk's rows are in order."""
     strategy = choose_strategy(df.schema, list(spec.key), spec.strategy)
     wanted = [*dict.fromkeys([*spec.columns, *spec.key])] if spec.columns else df.columns
     if strategy == RANGE:
@@ -235,10 +238,54 @@ def chunk_rows(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int =
             inside = inside | place.between(first + a * width, first + (b + 1) * width - 1)
         rows = rows.filter(inside)
     rows = select_columns(rows.withColumn("__at", at), [*wanted, "__at"])
-    rows = rows.withColumn("__chunk", F.floor((F.col("__at") - F.lit(first)) / F.lit(width)).cast("bigint"))
+    return rows.withColumn("__chunk", F.floor((F.col("__at") - F.lit(first)) / F.lit(width)).cast("bigint"))
+
+
+def chunk_rows(df: DataFrame, spec: TableSpec, size: int, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, only: list[int] | None = None) -> DataFrame:
+    """The table's rows and columns for the snapshot, with ``__chunk`` and ``__last``, by the chunks that would be planned.
+
+    All chunks, or those with the numbers in ``only``, are read in one pass; ranges of the key reach the scan as filters.
+    """
+    rows = _in_chunks(df, spec, size, rows_per_block, only)
     return mark_last(rows, "__chunk", "__at", size).withColumnRenamed("is_last", "__last").drop("__at")
 
 
+#: Chunks that lie in one folder, and chunks of a table that are laid out in one pass.
+GROUP, STRETCH = 32, 10_016
+
+
+def lay_out(df: DataFrame, spec: TableSpec, size: int, folder: str, only: list[int], rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> dict:
+    """Write the rows of ``chunk_rows`` by groups of chunks; gives their schema and the rows of each chunk.
+
+    However few chunks are claimed at a time, the table is read once a stretch.
+    Blocks of files lie in order already, so their rows stay where they are read.
+    """
+    rows = _in_chunks(df, spec, size, rows_per_block, only).withColumn("__group", F.floor(F.col("__chunk") / GROUP).cast("int"))
+    if choose_strategy(df.schema, list(spec.key), spec.strategy) == BLOCK and _in_files(df):
+        ends = rows.groupBy("__chunk").agg(F.count(F.lit(1)).alias("n"), F.max("__at").alias("end")).filter(F.col("n") < size).collect()  # one row a chunk
+        last = df.sparkSession.createDataFrame(pa.table({"__at": pa.array([c["end"] for c in ends], pa.int64()), "__last": pa.array([True] * len(ends), pa.bool_())}))
+        rows = rows.join(last, "__at", "left").withColumn("__last", F.coalesce("__last", F.lit(False)))
+    else:
+        rows = mark_last(rows.repartition("__group"), ["__group", "__chunk"], "__at", size).withColumnRenamed("is_last", "__last")
+    rows = rows.drop("__at")
+    rows.write.partitionBy("__group").parquet(folder)
+    schema = rows.drop("__group").schema
+    written = df.sparkSession.read.schema(rows.schema).parquet(folder)
+    return {"schema": schema.jsonValue(), "rows": {str(c): n for c, n in written.groupBy("__chunk").count().collect()}}  # one row a chunk
+
+
+def laid_rows(spark: SparkSession, laid: dict, numbers: list[int]) -> DataFrame:
+    """The rows of some chunks from what ``lay_out`` wrote."""
+    kind = T.StructType.fromJson(laid["schema"])
+    groups = sorted({n // GROUP for n in numbers if str(n) in laid["rows"]})
+    if not groups:
+        return spark.createDataFrame([], kind)
+    wanted = " OR ".join(f"__chunk BETWEEN {a} AND {b}" for a, b in _stretches(numbers))
+    return spark.read.schema(kind).parquet(*(f"{laid['folder']}/__group={g}" for g in groups)).filter(wanted)
+
+
+
+
 def take_snapshot(tables: dict[str, DataFrame], specs: list[TableSpec], slot: str, lsn: int, *, general_condition: str | None = None, size: int = 8000, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """All rows of all tables as one stream of events between markers.
 
